@@ -6,7 +6,7 @@ import importlib
 
 from tracewarden.plans.registry import ORACLES, QUERIES
 
-GROUPS = ["windows"]
+GROUPS = ["windows", "chains"]
 
 
 def _load() -> None:

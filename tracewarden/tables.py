@@ -80,3 +80,32 @@ def values_sql(rows: list[tuple]) -> str:
         return "NULL" if v is None else str(v)
 
     return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+
+# Likely next paths after a phase, (phase, path, probability in percent).
+NEXT_PATHS = [
+    ("recon", "/robots.txt", 85), ("recon", "/sitemap.xml", 70), ("recon", "/.git/", 65), ("recon", "/.svn/", 50),
+    ("recon", "/phpinfo.php", 60), ("recon", "/admin/", 55), ("recon", "/wp-admin/", 50), ("recon", "/pma/", 45),
+    ("recon", "/info.php", 40), ("recon", "/config.php", 35),
+    ("probe", "?id=1", 90), ("probe", "?id=1%27", 85), ("probe", "?id=1%20or%201=1", 80),
+    ("probe", "?id=1%20union%20select", 75), ("probe", "../etc/passwd", 65), ("probe", "?cmd=whoami", 60),
+    ("probe", "<script>alert(1)</script>", 70), ("probe", "?file=index.php", 55),
+    ("attempt", "?id=1 union select 1,2,3", 85), ("attempt", "?id=1 union select 1,version(),3", 80),
+    ("attempt", "?id=1 union select 1,group_concat(table_name),3", 75),
+    ("attempt", "?id=1 union select 1,group_concat(column_name),3", 70), ("attempt", "?id=1 sleep(5)", 65),
+    ("attempt", "?id=1 updatexml(1,concat(0x7e,version()),1)", 60), ("attempt", "?file=../../etc/passwd", 70),
+    ("attempt", "?cmd=ls%20-la", 60),
+    ("attack", "/admin/login.php", 85), ("attack", "/wp-admin/admin-ajax.php", 70), ("attack", "/phpmyadmin/", 65),
+    ("attack", "/uploads/", 60), ("attack", "/shell.php", 80), ("attack", "/backdoor.php", 75),
+    ("exploit", "/etc/passwd", 90), ("exploit", "/root/.ssh/id_rsa", 80), ("exploit", "/var/www/html/config.php", 75),
+    ("exploit", "/etc/cron.d/", 70), ("exploit", "/proc/self/environ", 65), ("exploit", "/dev/tcp/", 60),
+]
+
+# Likely next parameters after a phase, (phase, name, probability in percent).
+NEXT_PARAMS = [
+    ("recon", "id", 80), ("recon", "page", 70), ("recon", "file", 60), ("recon", "url", 55), ("recon", "action", 50),
+    ("probe", "id", 95), ("probe", "search", 75), ("probe", "q", 70), ("probe", "username", 65), ("probe", "email", 60),
+    ("attempt", "id", 95), ("attempt", "username", 80), ("attempt", "password", 75), ("attempt", "file", 70),
+    ("attempt", "url", 65),
+    ("attack", "admin", 85), ("attack", "token", 80), ("attack", "session", 75), ("attack", "user_id", 70),
+    ("exploit", "cmd", 95), ("exploit", "exec", 90), ("exploit", "eval", 85),
+]
