@@ -6,7 +6,7 @@ import importlib
 
 from tracewarden.plans.registry import ORACLES, QUERIES
 
-GROUPS = ["windows", "chains"]
+GROUPS = ["windows", "chains", "columns"]
 
 
 def _load() -> None:
