@@ -61,18 +61,13 @@ def count_chars(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def with_chars(df: DataFrame, text: str, out: str = "_c") -> DataFrame:
-    """Adds the text's characters as an array, for ``char_grams``."""
-    return df.withColumn(out, F.filter(F.split(text, ""), lambda c: c != ""))
+def char_grams(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters in order, with repeats.
 
-
-def char_grams(chars: str, n: int) -> Column:
-    """All runs of ``n`` characters of a character array column, in order, with repeats.
-
-    Reads the array by position; ``substr`` would walk the text from its start every time.
+    One pass of an empty match that looks ahead; ``substr`` by position would walk the text
+    from its start every time.
     """
-    first = F.slice(chars, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))
-    return F.transform(first, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
 
 
 def url_decoded(text: Column) -> Column:

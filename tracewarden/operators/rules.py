@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewarden import rulesets
 from tracewarden.functions.scores import band, first_of, points, whole
-from tracewarden.functions.text import char_grams, java_regex, matches, with_chars
+from tracewarden.functions.text import char_grams, java_regex, matches
 from tracewarden.tables import KILL_CHAIN
 
 ONE = F.lit(1)
@@ -46,12 +46,11 @@ def learned_rule_hits(df: DataFrame, ids: Sequence[str], text: str, rules: DataF
     r = rules.select(F.lower("pattern").alias("pattern"), "type", "severity").distinct().filter(F.length("pattern") > 0)
     r = r.withColumn("_n", F.least(F.lit(gram), F.length("pattern"))).withColumn("_g", F.substr("pattern", F.lit(1), F.col("_n")))
     low = df.select(*ids, F.lower(text).alias("_t"))
-    chars = with_chars(low, "_t").drop("_t")
     used = r.select("_n", "_g").distinct()
     grams = None
     for n in range(1, gram + 1):
         needed = r.agg(F.count_if(F.col("_n") == n) > 0).scalar()
-        g = chars.filter(needed).select(*ids, F.lit(n).alias("_n"), F.explode(F.array_distinct(char_grams("_c", n))).alias("_g"))
+        g = low.filter(needed).select(*ids, F.lit(n).alias("_n"), F.explode(F.array_distinct(char_grams(F.col("_t"), n))).alias("_g"))
         grams = g if grams is None else grams.unionByName(g)
     found = grams.join(used, ["_n", "_g"], "left_semi").join(r, ["_n", "_g"])
     return found.select(*ids, "pattern", "type", "severity").join(low, list(ids)).filter(F.contains("_t", F.col("pattern"))).drop("_t")

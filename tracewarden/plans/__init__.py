@@ -6,7 +6,7 @@ import importlib
 
 from tracewarden.plans.registry import ORACLES, QUERIES
 
-GROUPS = ["windows", "chains", "columns", "rules"]
+GROUPS = ["windows", "chains", "columns", "rules", "knowledge"]
 
 
 def _load() -> None:

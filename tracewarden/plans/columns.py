@@ -8,7 +8,7 @@ from tracewarden.functions import audit, net, scores, text, uri
 from tracewarden.functions.scores import first_of
 from tracewarden.operators import params as pr
 from tracewarden.operators.joins import url_allowlist
-from tracewarden.plans.registry import EVENTS_SQL, events, query, table
+from tracewarden.plans.registry import EVENTS_SQL, events, query, table, texts
 from tracewarden.tables import values_sql
 
 
@@ -23,11 +23,11 @@ qp AS (SELECT page_id, url, split_part(pair, '=', 1) AS name, regexp_replace(pai
 
 
 def pages(spark, d):
-    return table(spark, d, "pages")
+    return texts(spark, d, "pages")
 
 
 def documents(spark, d):
-    return table(spark, d, "documents")
+    return texts(spark, d, "documents")
 
 
 @query("p1_json_params", """

@@ -33,6 +33,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table of long texts, spread over the cores.
+
+    A small file is one task, which would do all the pattern matching alone; tables that
+    come in more files than there are cores are left as they are.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Request stand-in: user_id = client, event_type = endpoint, value = risk, k = parameter."""
     e = table(spark, folder, "events")
