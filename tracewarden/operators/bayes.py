@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tracewarden.functions.scores import first_of
 from tracewarden.functions.text import char_grams, matches
 
-ONE = F.lit(1)
 
 # Marker tokens and the patterns that set them.
 MARKERS = [
@@ -34,14 +33,14 @@ def token_counts(df: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
     t = F.col("_t")
     marks = F.filter(F.array(*[F.when(matches(F.col("_t"), p), F.lit(m)) for m, p in MARKERS]), lambda m: m.isNotNull())
     toks = F.when(F.length(t) < 4, F.array(t)).otherwise(F.concat(char_grams(t, 2), char_grams(t, 3), marks))
-    return d.select(*ids, F.explode(toks).alias("token")).groupBy(*ids, "token").agg(F.count(ONE).alias("n"))
+    return d.select(*ids, F.explode(toks).alias("token")).groupBy(*ids, "token").agg(F.count("*").alias("n"))
 
 
 def train(df: DataFrame, ids: Sequence[str], text: str, label: str) -> tuple[DataFrame, DataFrame]:
     """Class counts and token counts per class; texts without a token are left out."""
     used = df.filter(F.trim(text) != "")
     tokens = token_counts(used, [*ids, label], text).groupBy(F.col(label).alias("class"), "token").agg(F.sum("n").alias("n"))
-    return used.groupBy(F.col(label).alias("class")).agg(F.count(ONE).alias("n")), tokens
+    return used.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n")), tokens
 
 
 def merge(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -61,7 +60,7 @@ def score(df: DataFrame, ids: Sequence[str], text: str, classes: DataFrame, toke
 
     model = tokens.groupBy("token").agg(F.sum(F.when(F.col("class") == attack, F.col("n")).otherwise(0)).alias("a"),
                                         F.sum(F.when(F.col("class") == normal, F.col("n")).otherwise(0)).alias("b"))
-    totals = model.agg(F.struct(F.greatest(F.count(ONE), F.lit(1)).alias("v"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"),
+    totals = model.agg(F.struct(F.greatest(F.count("*"), F.lit(1)).alias("v"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"),
                                 F.coalesce(F.sum("b"), F.lit(0)).alias("b"))).scalar()
     texts = classes.agg(F.struct(of(attack).alias("a"), of(normal).alias("b"))).scalar()
     t = token_counts(df, ids, text).join(model, "token", "left").na.fill(0, ["a", "b"])

@@ -13,7 +13,6 @@ from tracewarden.operators.chains import histories, phase_index
 from tracewarden.operators.timeline import SECOND
 from tracewarden.tables import REQUEST_PHASES
 
-ONE = F.lit(1)
 
 
 def trailing_baseline(df, keys, t, tie, means: Sequence[str], sets: Sequence[str] = (), n=10, piece=tl.DAY) -> DataFrame:
@@ -186,7 +185,7 @@ def decayed_sum(df, keys, t, score, recorded: Column, window=1800 * SECOND, half
 def client_profile(df, keys, uri, risk, phase) -> DataFrame:
     """Totals, variety, high-risk and reconnaissance rows per key."""
     return df.groupBy(*keys).agg(
-        F.count(ONE).alias("total"), F.count_distinct(uri).alias("paths"),
+        F.count("*").alias("total"), F.count_distinct(uri).alias("paths"),
         F.count_if(F.col(risk) >= 40).alias("high_risk"), F.count_if(F.col(phase).isin("recon", "probe")).alias("recon"),
         F.bool_and(F.col(risk) <= 5).alias("all_clean"))
 
@@ -209,7 +208,7 @@ def actor_types(df, keys, t, tie, uri, risk, phase, window=60 * SECOND, heavy=20
 def attacker_profile(df, keys, t, payload, attack_type, unit=SECOND) -> DataFrame:
     """Scanner, script kiddie, advanced or persistent attacker from gap and variety."""
     g = df.groupBy(*keys).agg(
-        F.count(ONE).alias("n"), ((F.max(t) - F.min(t)) / unit).alias("_span"),
+        F.count("*").alias("n"), ((F.max(t) - F.min(t)) / unit).alias("_span"),
         F.count_distinct(F.md5(F.col(payload).cast("string"))).alias("payloads"), F.count_distinct(attack_type).alias("patterns"))
     c = F.col
     gap = F.when(c("n") >= 2, c("_span") / (c("n") - 1)).otherwise(0.0)
@@ -229,13 +228,13 @@ def exact_quantile(df: DataFrame, col: str, q: float, small: int = 100_000, accu
     """
     v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     eps = 4.0 / small
-    bounds = v.agg(F.count(ONE).alias("n"), F.percentile_approx("v", [max(0.0, q - eps), min(1.0, q + eps)], accuracy).alias("b"))
+    bounds = v.agg(F.count("*").alias("n"), F.percentile_approx("v", [max(0.0, q - eps), min(1.0, q + eps)], accuracy).alias("b"))
     ends = bounds.select("n", *[F.when(F.col("n") > small, F.col("b")[i]).otherwise(F.lit(far)).alias(c)
                                 for i, c, far in ((0, "lo", float("-inf")), (1, "hi", float("inf")))])
     n, lo, hi = (ends.select(c).scalar() for c in ("n", "lo", "hi"))
     marked = v.withColumn("lo", lo).withColumn("hi", hi)
     below = marked.agg(F.count_if(F.col("v") < F.col("lo")).alias("c")).scalar()
-    near = marked.filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("v").agg(F.count(ONE).alias("c"))
+    near = marked.filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("v").agg(F.count("*").alias("c"))
     ranked = near.withColumn("cum", F.sum("c").over(Window.orderBy("v"))).withColumn("below", below) \
         .withColumn("rank", (n - 1) * F.lit(q))
     at = F.col("below") + F.col("cum")
@@ -248,8 +247,8 @@ def exact_quantile(df: DataFrame, col: str, q: float, small: int = 100_000, accu
 def population_outliers(df, keys, risk, params, size, q=0.95, min_clients=5) -> DataFrame:
     """Keys above the quantile in mean risk or row count, or two deviations off in the rest."""
     g = df.groupBy(*keys).agg(F.avg(risk).alias("avg_risk"), F.avg(params).alias("avg_params"), F.avg(size).alias("avg_size"),
-                              F.count(ONE).alias("n"))
-    s = g.agg(F.count(ONE).alias("clients"), F.avg("avg_params").alias("mp"), F.stddev_pop("avg_params").alias("sp"),
+                              F.count("*").alias("n"))
+    s = g.agg(F.count("*").alias("clients"), F.avg("avg_params").alias("mp"), F.stddev_pop("avg_params").alias("sp"),
               F.avg("avg_size").alias("ms"), F.stddev_pop("avg_size").alias("ss"))
     d = g.withColumn("risk_q", exact_quantile(g, "avg_risk", q).scalar()).withColumn("n_q", exact_quantile(g, "n", q).scalar())
     for c in ("clients", "mp", "sp", "ms", "ss"):
@@ -268,7 +267,7 @@ def population_outliers(df, keys, risk, params, size, q=0.95, min_clients=5) ->
 def multi_baseline(df, keys, t, tie, uri, params, size, risk, hour, agent, history=100) -> DataFrame:
     """Per key, from its newest rows: concentration, spread, hours, risk trend, agents."""
     g = tl.last_rows(df, keys, t, tie, history).groupBy(*keys).agg(
-        F.count(ONE).alias("n"), F.avg(params).alias("params_mean"), F.stddev_pop(params).alias("params_sd"),
+        F.count("*").alias("n"), F.avg(params).alias("params_mean"), F.stddev_pop(params).alias("params_sd"),
         F.avg(size).alias("size_mean"), F.stddev_pop(size).alias("size_sd"),
         F.array_sort(F.collect_set(hour)).alias("hours"), F.regr_slope(F.col(risk), F.col("rn")).alias("risk_slope"),
         F.size(F.collect_set(agent)).cast("bigint").alias("agents"), F.collect_list(uri).alias("_u"))
@@ -279,7 +278,7 @@ def multi_baseline(df, keys, t, tie, uri, params, size, risk, hour, agent, histo
 def vector_distance(df, key, order, vector, limit=0.5) -> DataFrame:
     """Distance of each key's newest vector to the mean of its earlier ones."""
     long = df.select(key, order, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    d = long.groupBy(key, "dim").agg(F.sum("x").alias("s"), F.count(ONE).alias("n"), F.max_by("x", order).alias("x"))
+    d = long.groupBy(key, "dim").agg(F.sum("x").alias("s"), F.count("*").alias("n"), F.max_by("x", order).alias("x"))
     diff = F.col("x") - (F.col("s") - F.col("x")) / (F.col("n") - 1)
     return d.filter(F.col("n") >= 2).groupBy(key).agg(F.sqrt(F.sum(diff * diff)).alias("distance")) \
         .withColumn("flagged", F.col("distance") > limit)
@@ -288,7 +287,7 @@ def vector_distance(df, key, order, vector, limit=0.5) -> DataFrame:
 def cohort_comparison(df, key, segment, risk, sds=1.5, least=25.0, peers=3) -> DataFrame:
     """Keys whose mean risk lies well above that of the other keys of their segment."""
     g = df.groupBy(segment, key).agg(F.avg(risk).alias("m"))
-    s = g.groupBy(segment).agg(F.count(ONE).alias("c"), F.sum("m").alias("s1"), F.sum(F.col("m") * F.col("m")).alias("s2"))
+    s = g.groupBy(segment).agg(F.count("*").alias("c"), F.sum("m").alias("s1"), F.sum(F.col("m") * F.col("m")).alias("s2"))
     d = g.join(s, segment)
     n = F.col("c") - 1
     mean = (F.col("s1") - F.col("m")) / F.nullif(n, F.lit(0))

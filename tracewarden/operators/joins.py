@@ -11,7 +11,6 @@ from tracewarden.functions.text import RATIO_FEATURES, structural_features
 from tracewarden.operators.timeline import DAY, running, sliding_sums
 from tracewarden.rulesets import literal
 
-ONE = F.lit(1)
 
 
 def url_allowlist(df: DataFrame, url: str, exact: DataFrame, prefixes: Sequence[str], patterns: Sequence[str]) -> DataFrame:
@@ -93,8 +92,8 @@ def decoy_hits(df: DataFrame, key: str, t: str, uri: str, decoys: Sequence[str],
 def endpoint_coverage(df: DataFrame, key: str, endpoint: str, known: DataFrame) -> DataFrame:
     """Share of the known endpoints that each key has visited."""
     k = known.select(endpoint).distinct()
-    seen = df.select(key, endpoint).distinct().join(k, endpoint, "left_semi").groupBy(key).agg(F.count(ONE).alias("visited"))
-    return seen.withColumn("coverage", F.col("visited") / k.agg(F.count(ONE)).scalar())
+    seen = df.select(key, endpoint).distinct().join(k, endpoint, "left_semi").groupBy(key).agg(F.count("*").alias("visited"))
+    return seen.withColumn("coverage", F.col("visited") / k.agg(F.count("*")).scalar())
 
 
 def pattern_similarity(df: DataFrame, ids: Sequence[str], text: str, patterns: Sequence[tuple[str, str, str]], weights: dict[str, float], least: float = 0.5) -> DataFrame:

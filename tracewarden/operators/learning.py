@@ -11,13 +11,12 @@ from tracewarden import rulesets
 from tracewarden.functions.scores import first_of
 from tracewarden.operators import timeline as tl
 
-ONE = F.lit(1)
 
 
 def payload_frequency(df: DataFrame, payload: str, t: str, kind: str) -> DataFrame:
     """Per payload: count, first and last time, and its most frequent type (the first by name on ties)."""
     by_kind = df.groupBy(F.md5(F.col(payload).cast("string")).alias("payload_id"), kind).agg(
-        F.count(ONE).alias("n"), F.min(t).alias("a"), F.max(t).alias("b"))
+        F.count("*").alias("n"), F.min(t).alias("a"), F.max(t).alias("b"))
     return by_kind.groupBy("payload_id").agg(
         F.sum("n").alias("seen"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"),
         F.min_by(kind, F.struct(-F.col("n"), F.col(kind))).alias("main_type"))
@@ -58,7 +57,7 @@ def learn_rules(df: DataFrame, payload: str, kind: str, seen: int = 3, sources:
     beyond ``seen - 1`` over its payloads. Severity is 60, from 10 hits on 60 + hits up to 80.
     The first ``sources`` source ids by value are kept with each rule.
     """
-    p = df.groupBy(payload, kind).agg(F.count(ONE).alias("n")).groupBy(payload).agg(
+    p = df.groupBy(payload, kind).agg(F.count("*").alias("n")).groupBy(payload).agg(
         F.sum("n").alias("n"), F.min_by(kind, F.struct(-F.col("n"), F.col(kind))).alias("type")).filter(F.col("n") >= seen)
     t = p.select(F.md5(payload).alias("id"), "n", "type", F.explode(tokens(F.col(payload))).alias("token"))
     w = Window.partitionBy("token", "type").orderBy("id")
@@ -83,7 +82,7 @@ def adaptive_weights(df: DataFrame, kind: str, day: str, as_of: Column, base: di
 
     ``feedback`` (type, adjustment) is one row per type; the moved weight stays in 0.5..2.
     """
-    recent = df.filter((F.col(day) > F.date_sub(as_of, days)) & (F.col(day) <= as_of)).groupBy(F.col(kind).alias("type")).agg(F.count(ONE).alias("n"))
+    recent = df.filter((F.col(day) > F.date_sub(as_of, days)) & (F.col(day) <= as_of)).groupBy(F.col(kind).alias("type")).agg(F.count("*").alias("n"))
     known = recent.filter(F.col("type").isin(list(base)))
     # One row per attack type: the window holds a handful of rows.
     w = known.withColumn("top", F.max("n").over(Window.partitionBy(F.lit(1))))
@@ -127,8 +126,8 @@ def feedback_adjustment(df: DataFrame, kind: str, t: str, tie: str, false_positi
 
 def normal_paths(df: DataFrame, path: str, t: str, names: str) -> DataFrame:
     """Per path: count, first and last time, number of distinct parameter names."""
-    base = df.groupBy(path).agg(F.count(ONE).alias("seen"), F.min(t).alias("first_seen"), F.max(t).alias("last_seen"))
-    n = normal_names(df, path, names).groupBy(path).agg(F.count(ONE).alias("names"))
+    base = df.groupBy(path).agg(F.count("*").alias("seen"), F.min(t).alias("first_seen"), F.max(t).alias("last_seen"))
+    n = normal_names(df, path, names).groupBy(path).agg(F.count("*").alias("names"))
     return base.join(n, path, "left").na.fill(0, ["names"])
 
 
@@ -147,7 +146,7 @@ def normal_deviation(df: DataFrame, ids: Sequence[str], path: str, names: str, p
     req = df.select(*ids, path, F.size(names).alias("_total"),
                     (F.coalesce(F.col(risk), F.lit(0.0)) if risk else F.lit(0.0)).alias("_risk"))
     per_name = df.select(*ids, path, F.explode(names).alias("name")).withColumn("name", F.lower("name"))
-    unknown = per_name.join(known, [path, "name"], "left_anti").groupBy(*ids).agg(F.count(ONE).alias("_unknown"))
+    unknown = per_name.join(known, [path, "name"], "left_anti").groupBy(*ids).agg(F.count("*").alias("_unknown"))
     d = req.join(paths.select(path, "seen"), path, "left").join(unknown, list(ids), "left")
     share = F.least(F.lit(1.0), F.coalesce(F.col("_unknown"), F.lit(0)) / F.greatest(F.col("_total"), F.lit(1)))
     base = first_of([(F.col("seen").isNull(), 0.3), (F.col("seen") < min_seen, 0.2)], share)
@@ -157,7 +156,7 @@ def normal_deviation(df: DataFrame, ids: Sequence[str], path: str, names: str, p
 def client_event_risk(df: DataFrame, key: str, t: str, as_of: Column, freeze: int = 3) -> DataFrame:
     """Client risk from its file events: by count, halved after 7 days, none after 30."""
     day = tl.DAY
-    g = df.groupBy(key).agg(F.count(ONE).alias("events"), F.max(t).alias("last"))
+    g = df.groupBy(key).agg(F.count("*").alias("events"), F.max(t).alias("last"))
     age = (as_of - F.col("last")) / day
     base = first_of([(F.col("events") >= 10, 1.0), (F.col("events") >= 3, 0.6)], 0.3)
     risk = first_of([(age > 30, F.lit(0.0)), (age > 7, base * 0.5)], base)
@@ -179,7 +178,7 @@ def learn_templates(df: DataFrame, method: str, template: str, names: str, score
     false_positives) lifts a template to ``least`` samples and degrades it at ``degrade``.
     """
     keys = [method, template, names]
-    g = df.filter(F.col(score) < below).groupBy(*keys).agg(F.count(ONE).alias("samples"))
+    g = df.filter(F.col(score) < below).groupBy(*keys).agg(F.count("*").alias("samples"))
     if feedback is None:
         return g.withColumn("degraded", F.lit(False))
     d = g.join(feedback, keys, "full_outer")

@@ -9,7 +9,6 @@ from tracewarden.functions.scores import first_of, points
 from tracewarden.functions.text import java_regex
 from tracewarden.functions.uri import query_pairs
 
-ONE = F.lit(1)
 PAIR = "array<struct<name:string,value:string>>"
 
 
@@ -132,7 +131,7 @@ def parameter_profile(params: DataFrame, group) -> DataFrame:
     """Counts per group and name: rows, category, value types, mismatches."""
     d = params.withColumn("category", name_category(F.col("name"))).withColumn("type", value_type(F.col("value")))
     d = d.withColumn("mismatch", type_mismatch(F.col("category"), F.col("value"), F.col("type")))
-    return d.groupBy(*group, "name", "category", "type").agg(F.count(ONE).alias("n"), F.count_if("mismatch").alias("mismatches"))
+    return d.groupBy(*group, "name", "category", "type").agg(F.count("*").alias("n"), F.count_if("mismatch").alias("mismatches"))
 
 
 # Threats by parameter name and position, (name, position, threat, weight).
@@ -194,7 +193,7 @@ def enumeration(params: DataFrame, key) -> DataFrame:
     """Per key and name: distinct values, and whether they look enumerated."""
     d = params.select(*key, "name", "value").distinct()
     number = F.col("value").rlike(r"^\s*[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$")
-    g = d.groupBy(*key, "name").agg(F.count(ONE).alias("distinct_values"), F.bool_and(number).alias("numeric"),
+    g = d.groupBy(*key, "name").agg(F.count("*").alias("distinct_values"), F.bool_and(number).alias("numeric"),
                                     F.stddev_pop(F.octet_length("value")).alias("length_sd"))
     return g.withColumn("enumerated", ((F.col("distinct_values") >= 3) & F.col("numeric"))
                         | ((F.col("distinct_values") >= 5) & (F.col("length_sd") < 2)))
@@ -217,7 +216,7 @@ def payload_evolution(params: DataFrame, key, endpoint: str, words=EVOLUTION_WOR
         return hit
 
     d = params.select(*key, endpoint, "name", "value").distinct()
-    g = d.groupBy(*key, endpoint, "name").agg(F.count(ONE).alias("distinct_values"), F.count_if(any_of(words)).alias("worded"),
+    g = d.groupBy(*key, endpoint, "name").agg(F.count("*").alias("distinct_values"), F.count_if(any_of(words)).alias("worded"),
                                               F.count_if(any_of(marks)).alias("disguised"))
     return g.withColumn("evolving", (F.col("worded") >= 2) & (F.col("disguised") >= 1))
 

@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE = F.lit(1)
 
 
 def summary(df: DataFrame, client: str, kind: str, day: str) -> DataFrame:
     """Total and counts by class, by day and by client in one pass: (part, item, n)."""
     g = df.groupingSets([[], [kind], [day], [client]], kind, day, client).agg(
-        F.count(ONE).alias("n"), F.grouping_id().alias("gid"))
+        F.count("*").alias("n"), F.grouping_id().alias("gid"))
     part = F.when(F.col("gid") == 7, "total").when(F.col("gid") == 3, "type").when(F.col("gid") == 5, "day").otherwise("client")
     item = F.coalesce(F.col(kind).cast("string"), F.col(day).cast("string"), F.col(client).cast("string"), F.lit("all"))
     return g.select(part.alias("part"), item.alias("item"), "n")
@@ -29,7 +28,7 @@ def dashboard(df: DataFrame, client: str, kind: str, day: str, top: int = 10) ->
 
 def top_n(df: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` most frequent values, smaller values first on ties."""
-    return df.groupBy(key).agg(F.count(ONE).alias("n")).orderBy(F.desc("n"), F.asc(key)).limit(n)
+    return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(key)).limit(n)
 
 
 def latest(df: DataFrame, t: str, tie: str, n: int) -> DataFrame:
@@ -38,7 +37,7 @@ def latest(df: DataFrame, t: str, tie: str, n: int) -> DataFrame:
 
 def rate_per_minute(df: DataFrame, t: str, as_of: Column, minute: int = 60_000_000) -> DataFrame:
     """Rows of the minute before ``as_of`` and the hourly rate they make."""
-    d = df.filter((F.col(t) > as_of - F.lit(minute)) & (F.col(t) <= as_of)).agg(F.count(ONE).alias("per_minute"))
+    d = df.filter((F.col(t) > as_of - F.lit(minute)) & (F.col(t) <= as_of)).agg(F.count("*").alias("per_minute"))
     return d.withColumn("per_hour", F.col("per_minute") * 60)
 
 
@@ -58,4 +57,4 @@ def top_paths(df: DataFrame, uri: str, n: int = 10) -> DataFrame:
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts per combination of the columns."""
-    return df.groupBy(*columns).agg(F.count(ONE).alias("n"))
+    return df.groupBy(*columns).agg(F.count("*").alias("n"))

@@ -12,7 +12,6 @@ from tracewarden.functions.scores import band, first_of, points, whole
 from tracewarden.functions.text import char_grams, java_regex, matches
 from tracewarden.tables import KILL_CHAIN
 
-ONE = F.lit(1)
 
 
 def hits(text: Column, rules: Sequence[tuple[str, Sequence]], fields: Sequence[str]) -> Column:
@@ -92,7 +91,7 @@ def detection_score(found: DataFrame, ids: Sequence[str], weights: dict[str, flo
     """
     w = rulesets.TYPE_WEIGHTS if weights is None else weights
     weight = first_of([(F.col("type") == t, F.lit(float(x))) for t, x in w.items()], F.lit(1.0))
-    per_type = found.groupBy(*ids, "type").agg(F.least(F.lit(100.0), F.sum(F.col("severity") * weight)).alias("s"), F.count(ONE).alias("n"),
+    per_type = found.groupBy(*ids, "type").agg(F.least(F.lit(100.0), F.sum(F.col("severity") * weight)).alias("s"), F.count("*").alias("n"),
                                                F.count_if(F.col("severity") >= 80).alias("high"))
     d = per_type.groupBy(*ids).agg(F.max("s").alias("base"), F.max_by("type", F.struct("s", "type")).alias("top_type"), F.sum("n").alias("hits"),
                                    F.sum("high").alias("high_hits"))
@@ -123,12 +122,12 @@ def intent_evidence(found: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Top intent, deepest phase and confidence per text from its evidence."""
     order = F.array_position(F.array(*[F.lit(p) for p in KILL_CHAIN]), F.col("phase"))
     g = found.withColumn("o", order).groupBy(*ids, "intent").agg(
-        F.sum("weight").alias("w"), F.count(ONE).alias("n"), F.count_distinct("node").alias("nodes"), F.max("o").alias("o"))
+        F.sum("weight").alias("w"), F.count("*").alias("n"), F.count_distinct("node").alias("nodes"), F.max("o").alias("o"))
     w = F.col("w") + first_of([(F.col("n") >= 4, 12), (F.col("n") == 3, 10), (F.col("n") == 2, 5)], 0) \
         + first_of([(F.col("nodes") >= 3, 8), (F.col("nodes") == 2, 4)], 0)
     g = g.withColumn("w", w)
     best = F.max_by(F.struct("intent", "w", "n"), F.struct("w", "n", "intent")).alias("b")
-    d = g.groupBy(*ids).agg(best, F.sum("n").alias("evidence"), F.count(ONE).alias("intents"), F.max("o").alias("o"))
+    d = g.groupBy(*ids).agg(best, F.sum("n").alias("evidence"), F.count("*").alias("intents"), F.max("o").alias("o"))
     conf = F.least(F.lit(40.0), F.col("evidence") * 12.0) + F.least(F.lit(25.0), F.col("b.n") * 8.0) \
         + first_of([(F.col("intents") >= 3, 20.0), (F.col("intents") == 2, 12.0)], 0.0) + F.col("o") / 7.0 * 15.0
     return d.select(*ids, F.col("b.intent").alias("intent"), F.col("b.w").alias("weight"), "evidence", "intents",

@@ -13,7 +13,6 @@ from tracewarden.functions.scores import first_of, points, whole
 from tracewarden.operators import timeline as tl
 from tracewarden.operators.timeline import SECOND
 
-ONE = F.lit(1)
 
 
 def _flag(c: Column) -> Column:
@@ -82,7 +81,7 @@ def gap_statistics(df, keys, t, tie, history=200, min_rows=5, robot_sd=0.5, robo
     gaps = tl.last_rows(df, keys, t, tie, history).withColumn("_gap", (F.col(t) - F.lag(t).over(w)) / SECOND)
     g = (
         gaps.groupBy(*keys)
-        .agg(F.count(ONE).alias("n"), F.avg("_gap").alias("mean_gap"), F.stddev_pop("_gap").alias("sd_gap"))
+        .agg(F.count("*").alias("n"), F.avg("_gap").alias("mean_gap"), F.stddev_pop("_gap").alias("sd_gap"))
         .filter(F.col("n") >= min_rows)
     )
     cv = F.when(F.col("mean_gap") > 0, F.col("sd_gap") / F.col("mean_gap"))
@@ -114,7 +113,7 @@ def pace_pattern(df, keys, t, tie, history=100, unit=SECOND) -> DataFrame:
         tl.last_rows(df, keys, t, tie, history)
         .withColumn("_gap", F.col(t) - F.lag(t).over(w))
         .groupBy(*keys)
-        .agg(F.count(ONE).alias("n"), (F.max(t) - F.min(t)).alias("_span"),
+        .agg(F.count("*").alias("n"), (F.max(t) - F.min(t)).alias("_span"),
              F.sum(_flag(F.col("_gap") <= unit)).alias("_short"))
     )
     n, avg = F.col("n"), F.col("avg_gap")

@@ -279,7 +279,7 @@ def last_rows(df: DataFrame, keys: Sequence[str], t: str, tie: str, n: int) -> D
     return (
         df.withColumn("_n", F.row_number().over(newest))
         .filter(F.col("_n") <= n)
-        .withColumn("kept", F.count(F.lit(1)).over(group))
+        .withColumn("kept", F.count("*").over(group))
         .withColumn("rn", (F.col("kept") - F.col("_n") + 1).cast("bigint"))
         .drop("_n")
     )

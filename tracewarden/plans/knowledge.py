@@ -23,7 +23,6 @@ from tracewarden.tables import values_sql
 AS_OF = "2024-01-20"
 DAYS = f"CAST(ts AS DATE) > DATE '{AS_OF}' - 7 AND CAST(ts AS DATE) <= DATE '{AS_OF}'"
 AS_OF_US = 1705708800000000
-ONE = F.lit(1)
 
 
 def as_of():
@@ -247,7 +246,7 @@ def requests(spark, d):
 
 
 def templates(r):
-    fb = r.filter("value >= 190").groupBy("method", "template", "names").agg(F.count(ONE).alias("false_positives"))
+    fb = r.filter("value >= 190").groupBy("method", "template", "names").agg(F.count("*").alias("false_positives"))
     return ln.learn_templates(r, "method", "template", "names", "value", fb, below=3)
 
 
@@ -319,7 +318,7 @@ SELECT conv_id, change, count(*) AS lines FROM d GROUP BY 1, 2""")
 def _(spark, d):
     c = table(spark, d, "conversations")
     r = jn.line_diff(c.filter("role = 'user'"), c.filter("role = 'assistant'"), ["conv_id"], "text")
-    return r.groupBy("conv_id", "change").agg(F.count(ONE).alias("lines"))
+    return r.groupBy("conv_id", "change").agg(F.count("*").alias("lines"))
 
 
 @query("j13_decoy_hits", f"""
@@ -387,7 +386,7 @@ SELECT token, round(ln((a + 1) / (ta + v)) - ln((b + 1) / (tb + v)), 5) AS log_o
 def _(spark, d):
     tokens = nb.train(_labelled(spark, d), ["doc_id"], "text", "label")[1]
     m = tokens.groupBy("token").agg(F.sum(F.when(F.col("class") == "attack", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("class") == "normal", F.col("n")).otherwise(0)).alias("b"))
-    t = m.agg(F.count(ONE).alias("v"), F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    t = m.agg(F.count("*").alias("v"), F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     for c in ("v", "ta", "tb"):
         m = m.withColumn(c, t.select(c).scalar())
     return m.select("token", F.round(F.log((F.col("a") + 1) / (F.col("ta") + F.col("v"))) - F.log((F.col("b") + 1) / (F.col("tb") + F.col("v"))), 5).alias("log_odds"))
@@ -528,14 +527,14 @@ def _(spark, d):
 
 
 @query("a24_final_score", f"""
-WITH {EVENTS_SQL}, b AS (SELECT *, least(100, round((k * 3 % 101) * 0.08::DOUBLE + sqrt(value) * 4.5::DOUBLE + (k * 11 % 101) * 0.20::DOUBLE + (k * 13 % 101) * 0.12::DOUBLE + (k * 17 % 101) * 0.08::DOUBLE + k % 20, 1)) AS base FROM ev),
+WITH {EVENTS_SQL}, b AS (SELECT *, least(100, round((k * 3 % 101) * 0.08::DOUBLE + ln(value + 1) * 15 * 0.45::DOUBLE + (k * 11 % 101) * 0.20::DOUBLE + (k * 13 % 101) * 0.12::DOUBLE + (k * 17 % 101) * 0.08::DOUBLE + k % 20, 1)) AS base FROM ev),
 c AS (SELECT *, greatest(0, base - CASE WHEN event_type IN ('view', 'click') THEN CASE WHEN k >= 90 THEN 30 WHEN k >= 75 THEN 15 ELSE 5 END ELSE 0 END) AS x FROM b),
 d AS (SELECT *, least(100, greatest(greatest(0, x - CASE WHEN k % 5 = 0 THEN 10 ELSE 0 END), CASE WHEN event_type = 'error' THEN 72 ELSE 0 END) + least(25, value * 0.3)) AS total FROM c)
 SELECT event_id, round(total, 4) AS total, CASE WHEN total >= 75 THEN 'block' WHEN total >= 50 THEN 'observe' WHEN total >= 30 THEN 'log' ELSE 'pass' END AS action,
   CASE WHEN total >= 80 THEN 'critical' WHEN total >= 60 THEN 'high' WHEN total >= 40 THEN 'medium' WHEN total >= 20 THEN 'low' ELSE 'clean' END AS risk FROM d""")
 def _(spark, d):
     k, t = F.col("k"), F.col("event_type")
-    r = sc.final_score(events(spark, d), entropy=k * 3 % 101, semantic=F.sqrt("value") * 10, structure=k * 11 % 101, deviation=k * 13 % 101, bayes=k * 17 % 101, bonus=k % 20,
+    r = sc.final_score(events(spark, d), entropy=k * 3 % 101, semantic=F.log(F.col("value") + 1) * 15, structure=k * 11 % 101, deviation=k * 13 % 101, bayes=k * 17 % 101, bonus=k % 20,
                        false_positive=t.isin("view", "click"), fp_confidence=k, verify=k % 5 == 0, evidence=F.when(t == "error", 72.0).otherwise(0.0), behaviour=F.col("value"))
     return r.select("event_id", F.round("total", 4).alias("total"), "action", "risk")
 

@@ -162,7 +162,7 @@ def _(spark, d):
 
 @query("a31_scan_summary", f"WITH s AS ({_content_sql()}) SELECT band, count(*) AS scanned, count(*) FILTER (WHERE malicious) AS malicious, round(avg(score), 4) AS mean_score FROM s GROUP BY 1")
 def _(spark, d):
-    return _scan(spark, d).groupBy("band").agg(F.count(F.lit(1)).alias("scanned"), F.count_if("malicious").alias("malicious"), F.round(F.avg("score"), 4).alias("mean_score"))
+    return _scan(spark, d).groupBy("band").agg(F.count("*").alias("scanned"), F.count_if("malicious").alias("malicious"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
 @query("a33_hit_lines", f"""
