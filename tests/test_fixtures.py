@@ -143,9 +143,9 @@ def test_bayes_separates_and_stays_cold(spark):
     normal = [f"article {i} about gardens and rivers" for i in range(20)]
     train = spark.createDataFrame([(i, t, "attack") for i, t in enumerate(attack)] + [(100 + i, t, "normal") for i, t in enumerate(normal)], "id int, text string, label string")
     test = spark.createDataFrame([(1, "union select password from users"), (2, "rivers and gardens in spring")], "id int, text string")
-    got = {x["id"]: x for x in bayes.score(test, ["id"], "text", *bayes.train(train, ["id"], "text", "label")).collect()}
+    got = {x["id"]: x for x in bayes.score(test, ["id"], "text", *bayes.train(train, "text", "label")).collect()}
     assert got[1]["class"] == "attack" and got[1]["score"] > 90 and got[2]["class"] == "normal" and got[2]["score"] < 10
-    cold = bayes.score(test, ["id"], "text", *bayes.train(train.filter("id < 5"), ["id"], "text", "label")).first()
+    cold = bayes.score(test, ["id"], "text", *bayes.train(train.filter("id < 5"), "text", "label")).first()
     assert (cold["class"], cold["probability"], cold["confidence"], cold["score"]) == ("unknown", 0.5, 0.0, 0.0)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re._constants as _re
+import re._parser as _re_parser
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,8 +51,54 @@ def java_regex(pattern: str) -> str:
     return pattern.replace(r"\b", _EDGE)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(java_regex(pattern))
+def required_pieces(pattern: str) -> list[str] | None:
+    """Lower-case substrings of which every match holds one, or None if there is no such list.
+
+    Read from the pattern itself: the longest literal run that cannot be left out, one per
+    branch where the pattern branches.
+    """
+    def of(items) -> list[str] | None:
+        best: list[str] | None = None
+        run = ""
+        options = []
+        for op, arg in items:
+            if op is _re.LITERAL and arg < 128:
+                run += chr(arg).lower()
+                continue
+            if run:
+                options.append([run])
+            run = ""
+            if op is _re.SUBPATTERN:
+                options.append(of(arg[3]))
+            elif op in (_re.MAX_REPEAT, _re.MIN_REPEAT) and arg[0] >= 1:
+                options.append(of(arg[2]))
+            elif op is _re.BRANCH:
+                each = [of(b) for b in arg[1]]
+                options.append(None if None in each else [x for e in each for x in e])
+        if run:
+            options.append([run])
+        for o in options:
+            if o and (best is None or min(map(len, o)) > min(map(len, best))):
+                best = o
+        return best
+
+    return of(_re_parser.parse(pattern))
+
+
+def matches(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether the text holds a match of the pattern.
+
+    With ``low``, the lower-case text, the pattern runs only where a substring that every
+    match needs is found: a byte scan instead of a regex walk for most rules and texts.
+    """
+    hit = text.rlike(java_regex(pattern))
+    pieces = required_pieces(pattern) if low is not None else None
+    if not pieces:
+        return hit
+    gate = F.contains(low, F.lit(pieces[0]))
+    for p in pieces[1:]:
+        gate = gate | F.contains(low, F.lit(p))
+    return gate & hit
 
 
 def count_of(text: Column, pattern: str) -> Column:

@@ -23,26 +23,47 @@ MARKERS = [
 ]
 
 
-def token_counts(df: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
-    """(ids, token, n): character pairs, triples and markers of the lower-case text.
+def tokens_of(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+    """(keep.., token): character pairs, triples and markers of the lower-case text, with repeats.
 
-    A text of under four characters is one token. Counting starts in the map tasks, so what
-    is shuffled is one row per text and distinct token.
+    A text of under four characters is one token.
     """
-    d = df.select(*ids, F.lower(F.trim(text)).alias("_t")).filter(F.col("_t") != "")
+    d = df.select(*keep, F.lower(F.trim(text)).alias("_t")).filter(F.col("_t") != "")
     t = F.col("_t")
-    marks = F.filter(F.array(*[F.when(matches(F.col("_t"), p), F.lit(m)) for m, p in MARKERS]), lambda m: m.isNotNull())
+    marks = F.filter(F.array(*[F.when(matches(t, p, t), F.lit(m)) for m, p in MARKERS]), lambda m: m.isNotNull())
     toks = F.when(F.length(t) < 4, F.array(t)).otherwise(F.concat(char_grams(t, 2), char_grams(t, 3), marks))
-    return d.select(*ids, F.explode(toks).alias("token")).groupBy(*ids, "token").agg(F.count("*").alias("n"))
+    return d.select(*keep, F.explode(toks).alias("token"))
 
 
-def train(df: DataFrame, ids: Sequence[str], text: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """Class counts and token counts per class; texts without a token are left out."""
+def token_counts(df: DataFrame, ids: Sequence[str], text: str, parts: int | None = None) -> DataFrame:
+    """(ids, token, n), laid out by the ids.
+
+    The texts are spread by id before they are cut up, so what crosses the network is the
+    text and not its many tokens, and counting per text needs no further shuffle.
+    """
+    spread = df.repartition(*ids) if parts is None else df.repartition(parts, *ids)
+    return tokens_of(spread, ids, text).groupBy(*ids, "token").agg(F.count("*").alias("n"))
+
+
+def train(df: DataFrame, text: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Class counts and token counts per class; texts without a token are left out.
+
+    Tokens are counted in the map tasks; one row per class and distinct token is shuffled.
+    """
     used = df.filter(F.trim(text) != "")
-    tokens = token_counts(used, [*ids, label], text).groupBy(F.col(label).alias("class"), "token").agg(F.sum("n").alias("n"))
+    tokens = tokens_of(used, [label], text).groupBy(F.col(label).alias("class"), "token").agg(F.count("*").alias("n"))
     return used.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n")), tokens
 
 
+def store(model: tuple[DataFrame, DataFrame], path: str) -> tuple[DataFrame, DataFrame]:
+    """Writes the model's tables. Read back, Spark knows their size and broadcasts only small ones."""
+    out = []
+    for name, df in zip(("classes", "tokens"), model):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        out.append(df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}"))
+    return out[0], out[1]
+
+
 def merge(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts of two models added up."""
     return old.unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"))

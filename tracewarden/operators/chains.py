@@ -61,20 +61,17 @@ def phase_jumps(df, keys, t, tie, phase, order=REQUEST_PHASES, direct=4) -> Data
         .drop("_i", "_prev")
 
 
-def lcs_length(seq: Column, template: Sequence[str]) -> Column:
-    """Longest common subsequence with a short fixed sequence, one table row per step."""
-    tpl = F.array(*[F.lit(p) for p in template])
-    zero = F.array_repeat(F.lit(0), len(template) + 1)
-
+def lcs_length(seq: Column, template: Column) -> Column:
+    """Longest common subsequence with a short sequence, one table row per step."""
     def step(prev: Column, x: Column) -> Column:
         return F.aggregate(
-            F.sequence(F.lit(1), F.lit(len(template))), F.array(F.lit(0)),
+            F.sequence(F.lit(1), F.size(template)), F.array(F.lit(0)),
             lambda cur, j: F.concat(cur, F.array(
-                F.when(x == F.element_at(tpl, j), F.element_at(prev, j) + 1)
+                F.when(x == F.element_at(template, j), F.element_at(prev, j) + 1)
                 .otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(cur, j))))),
         )
 
-    return F.element_at(F.aggregate(seq, zero, step), -1)
+    return F.element_at(F.aggregate(seq, F.array_repeat(F.lit(0), F.size(template) + 1), step), -1)
 
 
 def collapse(seq: Column) -> Column:
@@ -83,24 +80,28 @@ def collapse(seq: Column) -> Column:
 
 
 def template_matches(seq: Column, templates=CHAIN_TEMPLATES) -> Column:
-    """Per template (key, risk, lcs, similarity, progress, seq no) for a collapsed sequence."""
-    items = []
-    for i, (key, phases, risk) in enumerate(templates):
-        lcs = lcs_length(seq, phases)
-        items.append(F.struct(
-            (lcs / F.greatest(F.size(seq), F.lit(len(phases)))).alias("similarity"), F.lit(-i).alias("rank"),
-            F.lit(key).alias("key"), F.lit(risk).alias("risk"), lcs.alias("lcs"),
-            F.round(lcs / len(phases) * 100).cast("bigint").alias("progress")))
-    return F.when(F.size(seq) >= 2, F.array(*items)).otherwise(F.array().cast(_MATCHES))
+    """Per template (similarity, rank, key, risk, lcs, progress) for a collapsed sequence of
+    at least two phases; no templates for a shorter one.
+
+    Make it a column of its own: what reads it twice would work it out twice.
+    """
+    table = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(r).alias("risk"), F.lit(-i).alias("rank"), F.array(*[F.lit(p) for p in ph]).alias("ph"))
+                      for i, (k, ph, r) in enumerate(templates)])
+    scored = F.transform(table, lambda t: F.struct(t["key"].alias("key"), t["risk"].alias("risk"), t["rank"].alias("rank"), F.size(t["ph"]).alias("n"),
+                                                   lcs_length(seq, t["ph"]).alias("lcs")))
+    full = F.transform(scored, lambda m: F.struct(
+        (m["lcs"] / F.greatest(F.size(seq), m["n"])).alias("similarity"), m["rank"].alias("rank"), m["key"].alias("key"), m["risk"].alias("risk"),
+        m["lcs"].alias("lcs"), F.round(m["lcs"] / m["n"] * 100).cast("bigint").alias("progress")))
+    return F.when(F.size(seq) >= 2, full).otherwise(F.array().cast(_MATCHES))
 
 
 _MATCHES = "array<struct<similarity:double,rank:int,key:string,risk:string,lcs:int,progress:bigint>>"
 
 
-def best_match(matches: Column, least: float = 0.3) -> Column:
-    """Most similar template (the first on ties) or null below ``least``."""
+def with_best(df: DataFrame, matches: str, out: str, least: float = 0.3) -> DataFrame:
+    """Adds the most similar template of a match column (the first on ties), null below ``least``."""
     best = F.array_max(F.filter(matches, lambda m: m["lcs"] >= 2))
-    return F.when(best["similarity"] >= least, best)
+    return df.withColumn("_b", best).withColumn(out, F.when(F.col("_b.similarity") >= least, F.col("_b"))).drop("_b")
 
 
 def histories(df, keys, t, tie, cols: Sequence[str], n=100) -> DataFrame:
@@ -112,7 +113,7 @@ def histories(df, keys, t, tie, cols: Sequence[str], n=100) -> DataFrame:
 def chain_matches(df, keys, t, tie, phase, templates=CHAIN_TEMPLATES, history=100) -> DataFrame:
     """Similarity of each key's phase sequence to each template with at least two common steps."""
     h = histories(df, keys, t, tie, [phase], history)
-    seq = h.select(*keys, collapse(F.col(f"h.{phase}")).alias("seq"))
+    seq = h.select(*keys, F.col(f"h.{phase}").alias("seq")).withColumn("seq", collapse(F.col("seq")))
     return (
         seq.select(*keys, F.explode(template_matches(F.col("seq"), templates)).alias("m"))
         .filter(F.col("m.lcs") >= 2)
@@ -131,17 +132,16 @@ def _chain_switch(h: DataFrame, phase: str) -> DataFrame:
     phases = F.col(f"h.{phase}")
     n = F.size("h")
     mid = whole(n / 2).cast("int")
-    d = h.withColumn("n", n).withColumn("seq", collapse(phases))
-    d = d.withColumn("_m", template_matches(F.col("seq")))
-    d = d.withColumn("chains", F.size(F.filter("_m", lambda m: (m["lcs"] >= 2) & (m["similarity"] >= 0.3))))
-    halves = d.withColumn("_e", collapse(F.slice(phases, 1, F.greatest(mid, F.lit(0))))) \
-        .withColumn("_l", collapse(F.slice(phases, mid + 1, F.col("n"))))
-    early = best_match(template_matches(F.col("_e")))["key"]
-    late = best_match(template_matches(F.col("_l")))["key"]
-    switched = (F.col("n") >= 6) & (F.col("chains") >= 1) & F.coalesce(early != late, F.lit(False))
-    return halves.withColumn("switched", switched).withColumn(
+    d = h.withColumn("n", n).withColumn("_mid", mid).withColumn("_ph", phases)
+    for name, part in (("seq", F.col("_ph")), ("_e", F.slice("_ph", 1, F.col("_mid"))), ("_l", F.slice("_ph", F.col("_mid") + 1, F.col("n")))):
+        d = d.withColumn(name, part).withColumn(name, collapse(F.col(name)))
+        d = d.withColumn(f"_m{name}", template_matches(F.col(name)))
+        d = with_best(d, f"_m{name}", f"_b{name}")
+    d = d.withColumn("chains", F.size(F.filter("_mseq", lambda m: (m["lcs"] >= 2) & (m["similarity"] >= 0.3))))
+    switched = (F.col("n") >= 6) & (F.col("chains") >= 1) & F.coalesce(F.col("_b_e.key") != F.col("_b_l.key"), F.lit(False))
+    return d.withColumn("switched", switched).withColumn(
         "switch_anomaly", F.least(F.lit(40), points((F.col("chains") >= 2, 20), (F.col("switched"), 15))).cast("bigint")
-    ).withColumn("best", best_match(F.col("_m"))).drop("_e", "_l", "_m")
+    ).withColumnRenamed("_bseq", "best").drop("_e", "_l", "_mid", "_ph", "_mseq", "_m_e", "_m_l", "_b_e", "_b_l")
 
 
 def chain_switches(df, keys, t, tie, phase, history=100) -> DataFrame:

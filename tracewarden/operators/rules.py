@@ -14,8 +14,8 @@ from tracewarden.tables import KILL_CHAIN
 
 
 
-def hits(text: Column, rules: Sequence[tuple[str, Sequence]], fields: Sequence[str]) -> Column:
-    """Array of the rules (pattern, values..) that the text matches.
+def hits(text: Column, low: Column, rules: Sequence[tuple[str, Sequence]], fields: Sequence[str]) -> Column:
+    """Array of the rules (pattern, values..) that the text matches; ``low`` is its lower case.
 
     Rules of an operator are settings, compiled into the expression: each pattern is
     compiled once per task, and no row is multiplied before a rule has hit.
@@ -23,7 +23,7 @@ def hits(text: Column, rules: Sequence[tuple[str, Sequence]], fields: Sequence[s
     def rule(values):
         return F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, values)])
 
-    return F.filter(F.array(*[F.when(matches(text, p), rule(v)) for p, v in rules]), lambda h: h.isNotNull())
+    return F.filter(F.array(*[F.when(matches(text, p, low), rule(v)) for p, v in rules]), lambda h: h.isNotNull())
 
 
 def rule_hits(df: DataFrame, ids: Sequence[str], text: str, rules=None) -> DataFrame:
@@ -31,7 +31,7 @@ def rule_hits(df: DataFrame, ids: Sequence[str], text: str, rules=None) -> DataF
     rules = rulesets.detection_rules() if rules is None else rules
     keyed = [(p, (i, t, s)) for i, (p, t, s) in enumerate(rules)]
     low = df.select(*ids, F.lower(text).alias("_t"))
-    return low.select(*ids, F.explode(hits(F.col("_t"), keyed, ["rule_id", "type", "severity"])).alias("h")).select(*ids, "h.*")
+    return low.select(*ids, F.explode(hits(F.col("_t"), F.col("_t"), keyed, ["rule_id", "type", "severity"])).alias("h")).select(*ids, "h.*")
 
 
 def learned_rule_hits(df: DataFrame, ids: Sequence[str], text: str, rules: DataFrame, gram: int = 4) -> DataFrame:
@@ -61,19 +61,18 @@ def family_hits(params: DataFrame, families=None) -> DataFrame:
     ``params`` has ``name`` and ``value``.
     """
     families = rulesets.FAMILIES if families is None else families
-    v, low = F.trim("value"), F.lower("name")
-    items = []
-    for fam, (rules, names, named, other) in families.items():
-        is_named = low.isin(names) if names else F.lit(False)
-
-        def best(mult: float) -> Column:
-            return F.greatest(F.lit(0), *[F.when(matches(v, p), F.lit(int(s * mult))).otherwise(0) for p, s in rules])
-
-        score = F.when(is_named, best(named)).otherwise(best(other)) if names else best(named)
-        items.append(F.struct(F.lit(fam).alias("family"), score.alias("score")))
-    d = params.withColumn("_f", F.explode(F.array(*items))).filter(F.col("_f.score") > 0)
-    return d.withColumn("family", F.col("_f.family")).withColumn("score", F.col("_f.score")) \
-        .withColumn("detected", F.col("score") >= 50).drop("_f")
+    name = F.lower("name")
+    rows = [(p, (fam, int(s * named), int(s * (other if names else named)))) for fam, (rules, names, named, other) in families.items() for p, s in rules]
+    named_in = F.filter(F.array(*[F.when(name.isin(names), F.lit(fam)) for fam, (_, names, _, _) in families.items() if names]), lambda f: f.isNotNull())
+    d = params.withColumn("_v", F.trim("value")).withColumn("_l", F.lower("value")).withColumn("_n", named_in)
+    d = d.withColumn("_h", hits(F.col("_v"), F.col("_l"), rows, ["family", "named", "other"])).drop("_v", "_l")
+    scored = F.transform("_h", lambda h: F.struct(
+        h["family"].alias("family"), F.when(F.array_contains("_n", h["family"]), h["named"]).otherwise(h["other"]).alias("score")))
+    d = d.withColumn("_h", scored).drop("_n")
+    best = F.transform(F.array_distinct("_h.family"), lambda f: F.struct(
+        f.alias("family"), F.array_max(F.transform(F.filter("_h", lambda h: h["family"] == f), lambda h: h["score"])).alias("score")))
+    d = d.withColumn("_f", F.explode(best)).drop("_h").filter(F.col("_f.score") > 0)
+    return d.withColumn("family", F.col("_f.family")).withColumn("score", F.col("_f.score")).withColumn("detected", F.col("score") >= 50).drop("_f")
 
 
 def id_name_hits(params: DataFrame) -> DataFrame:
@@ -115,7 +114,8 @@ def evidence_hits(df: DataFrame, ids: Sequence[str], text: str, rules=None) -> D
     """One row per text and matched evidence rule: (ids, intent, weight, phase, node)."""
     rules = rulesets.EVIDENCE if rules is None else rules
     keyed = [(p, (c, w, ph, n)) for c, p, w, ph, n in rules]
-    return df.select(*ids, F.explode(hits(F.col(text), keyed, ["intent", "weight", "phase", "node"])).alias("h")).select(*ids, "h.*")
+    d = df.select(*ids, F.col(text).alias("_t"), F.lower(text).alias("_l"))
+    return d.select(*ids, F.explode(hits(F.col("_t"), F.col("_l"), keyed, ["intent", "weight", "phase", "node"])).alias("h")).select(*ids, "h.*")
 
 
 def intent_evidence(found: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -138,17 +138,18 @@ def intent_evidence(found: DataFrame, ids: Sequence[str]) -> DataFrame:
 def keyword_intents(df: DataFrame, ids: Sequence[str], text: Column, intents=None) -> DataFrame:
     """Top intent by the share of its indicators found, with a confidence."""
     intents = rulesets.INTENTS if intents is None else intents
+    df = df.withColumn("_t", text).withColumn("_l", F.lower("_t"))
     items = []
     for i, (name, (weight, patterns)) in enumerate(intents.items()):
         n = F.lit(0)
         for p in patterns:
-            n = n + matches(text, p).cast("int")
+            n = n + matches(F.col("_t"), p, F.col("_l")).cast("int")
         items.append(F.struct(n.alias("n"), F.lit(len(patterns)).alias("of"), F.lit(weight).alias("weight"), F.lit(-i).alias("rank"), F.lit(name).alias("intent")))
     found = F.filter(F.array(*items), lambda x: x["n"] > 0)
-    scored = F.transform(found, lambda x: F.struct(
+    scored = F.transform("_n", lambda x: F.struct(
         F.least(F.lit(100.0), F.round(x["n"] * 100.0 / x["of"] * first_of([(x["n"] >= 3, 1.3), (x["n"] == 2, 1.15)], 1.0) * (x["weight"] / 100.0))).alias("score"),
         x["rank"].alias("rank"), x["intent"].alias("intent"), x["n"].alias("n")))
-    d = df.select(*ids, F.array_max(scored).alias("b"))
+    d = df.select(*ids, found.alias("_n")).select(*ids, F.array_max(scored).alias("b"))
     score = F.coalesce(F.col("b.score"), F.lit(0.0)).cast("bigint")
     return d.select(*ids, score.alias("score"), F.coalesce("b.intent", F.lit("unknown")).alias("intent"),
                     F.when(score > 0, F.least(F.lit(100.0), F.round(score * 0.7 + F.col("b.n") * 8))).otherwise(0).cast("bigint").alias("confidence"))
@@ -163,19 +164,20 @@ def content_scan(df: DataFrame, ids: Sequence[str], text: str, signatures=None,
     The threshold falls by 5, 10 or 15 when two, three or four engines agree.
     """
     signatures = rulesets.CONTENT_SIGNATURES if signatures is None else signatures
-    t = F.col(text)
+    df = df.select(*ids, F.col(text).alias("_t"), F.lower(text).alias("_l"))
+    t, low = F.col("_t"), F.col("_l")
     raw = F.lit(0)
     for p, w in signatures:
-        raw = raw + F.when(matches(t, p), w).otherwise(0)
+        raw = raw + F.when(matches(t, p, low), w).otherwise(0)
     b64, chrs, gotos = (F.regexp_count(t, F.lit(p)) for p in (r"(?i)base64_decode\s*\(", r"(?i)chr\s*\(\s*\d+\s*\)", r"(?i)goto\s+\w+\s*;"))
-    packed = t.rlike(r"(?i)(?:eval|base64_decode|assert|system|exec|passthru|shell_exec|str_rot13|gzinflate|gzuncompress)\s*\([^)]*[A-Za-z0-9+/]{80,}={0,2}")
+    packed = matches(t, r"(?i)(?:eval|base64_decode|assert|system|exec|passthru|shell_exec|str_rot13|gzinflate|gzuncompress)\s*\([^)]*[A-Za-z0-9+/]{80,}={0,2}", low)
     heuristic = F.when(b64 > 2, F.least(F.lit(15), b64 * 4)).otherwise(0) + F.when(chrs > 5, F.least(F.lit(12), chrs * 2)).otherwise(0) + points(
         (packed, 10), (gotos > 3, 10), (F.array_max(F.transform(F.split(t, "\n"), lambda x: F.octet_length(x))) > 2000, 10),
         (F.regexp_count(t, F.lit(r"\$[O0lI]{4,}")) > 3, 8))
-    d = df.select(*ids, t.alias("_t"), F.least(F.lit(80), raw).alias("signature"), F.least(F.lit(40), heuristic).alias("heuristic"))
+    d = df.select(*ids, "_l", F.least(F.lit(80), raw).alias("signature"), F.least(F.lit(40), heuristic).alias("heuristic"))
     keyed = [(p, (ty, s)) for p, ty, s in rulesets.detection_rules()]
-    h = hits(F.lower("_t"), keyed, ["type", "severity"])
-    d = d.select(*ids, "signature", "heuristic", F.aggregate(h, F.lit(0), lambda a, x: F.greatest(a, x["severity"])).alias("detection"), F.size(h).alias("hits"))
+    d = d.select(*ids, "signature", "heuristic", hits(F.col("_l"), F.col("_l"), keyed, ["type", "severity"]).alias("_h"))
+    d = d.select(*ids, "signature", "heuristic", F.aggregate("_h", F.lit(0), lambda a, x: F.greatest(a, x["severity"])).alias("detection"), F.size("_h").alias("hits"))
     detected = (F.col("detection") >= 70) & (F.col("hits") >= 2)
     engines = (F.col("signature") > 0).cast("int") + detected.cast("int") + (F.col("heuristic") > 0).cast("int")
     score = F.least(F.col("signature") * 0.6, F.lit(40.0)) + F.when(detected, F.least(F.col("detection") * 0.35, F.lit(35.0))).otherwise(0.0) \

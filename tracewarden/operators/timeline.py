@@ -30,7 +30,7 @@ def micros(ts: Column) -> Column:
 
 
 def piece_of(t: Column, length: int) -> Column:
-    return F.floor(t / F.lit(length)).cast("bigint")
+    return ((t - F.pmod(t, F.lit(length).cast("bigint"))) / F.lit(length)).cast("bigint")
 
 
 @dataclass(frozen=True)
@@ -99,24 +99,22 @@ def span_sums(
         F.array(*entries),
         lambda e: e.isNotNull() & (e["is_row"] | (F.greatest(*[F.abs(e[n]) for n in spans], zero) > 0)),
     )
-    cut = rows.select(
+    # Flat columns, so that those nobody asks for are pruned down to the scan; empty on marks.
+    cut = rows.select("*", F.explode(useful).alias("_e")).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.struct(*[F.col(c) for c in df.columns]).alias("_r"),
-        F.explode(useful).alias("_e"),
-    ).select(
-        *[f"_k{i}" for i in range(len(keys))],
-        F.when(F.col("_e.is_row"), F.col("_r")).alias("_r"),
-        "_e.*",
+        *[F.when(F.col("_e.is_row"), F.col(c)).alias(c) for c in df.columns],
+        F.col("_e.at").alias("_at"), F.col("_e.piece").alias("_pc"), F.col("_e.is_row").alias("_is_row"),
+        *[F.col(f"_e.{n}").alias(f"_d_{n}") for n in spans],
     )
     w = (
-        Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "piece")
-        .orderBy("at")
+        Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "_pc")
+        .orderBy("_at")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        cut.select("is_row", "_r", *[F.sum(n).over(w).alias(n) for n in spans])
-        .filter("is_row")
-        .select("_r.*", *spans)
+        cut.select(*df.columns, "_is_row", *[F.sum(f"_d_{n}").over(w).alias(n) for n in spans])
+        .filter("_is_row")
+        .select(*df.columns, *spans)
     )
 
 

@@ -10,7 +10,7 @@ from tracewarden.operators import chains as ch
 from tracewarden.operators.timeline import HOUR
 from tracewarden.plans.registry import EVENTS_SQL, events, query, table
 from tracewarden.plans.windows import KEY, LAST, frame, hours
-from tracewarden.tables import CHAIN_PHASES, INTENT_TRANSITIONS, chain_pairs, kill_chain_pairs, transition_table, values_sql
+from tracewarden.tables import CHAIN_PHASES, CHAIN_TEMPLATES, INTENT_TRANSITIONS, chain_pairs, kill_chain_pairs, transition_table, values_sql
 
 # Which phase an event type stands for.
 CHAIN_OF = {"view": "RECON", "click": "SCAN", "signup": "ENUM", "error": "INJECT", "purchase": "EXPLOIT"}
@@ -81,12 +81,43 @@ def _(spark, d):
     return ch.phase_jumps(mapped(events(spark, d), REQUEST_OF), KEY, "us", "event_id", "phase").select("event_id", "jump")
 
 
-@query("j15_chain_match")
+def lcs_sql(seq: str, tpl: str) -> str:
+    """Longest common subsequence by folding the table rows over the sequence."""
+    return f"""list_reduce(list_transform({seq}, lambda p: {{'p': p, 'r': []::INT[]}}), lambda a, x: {{'p': x.p, 'r': list_reduce(
+  list_transform(range(1, len({tpl}) + 1), lambda j: [j::INT]), lambda c, j: list_append(c, CASE WHEN {tpl}[j[1]] = x.p THEN a.r[j[1]] + 1 ELSE greatest(a.r[j[1] + 1], c[j[1]]) END), [0::INT])}},
+  {{'p': '', 'r': list_transform(range(0, len({tpl}) + 1), lambda j: 0::INT)}}).r[-1]"""
+
+
+def collapse_sql(seq: str) -> str:
+    return f"list_filter({seq}, lambda p, i: i = 1 OR p <> {seq}[i - 1])"
+
+
+TEMPLATES_SQL = f"tp(ord, template, phases, risk) AS (VALUES {values_sql([(i, k, ph, r) for i, (k, ph, r) in enumerate(CHAIN_TEMPLATES)])})"
+HIST_SQL = f"""{LAST.format(n=12)}, hs AS (SELECT user_id, list({case(CHAIN_OF)} ORDER BY rn) AS ps, list(us ORDER BY rn) AS ts, list(k % 5 ORDER BY rn) AS px,
+  list(value ORDER BY rn) AS vs, count(*) AS n FROM hr GROUP BY 1), sq AS (SELECT *, {collapse_sql('ps')} AS seq, {collapse_sql('ps[1:n // 2]')} AS e, {collapse_sql('ps[n // 2 + 1:n]')} AS l FROM hs)"""
+
+
+def _match_sql(name: str, seq: str) -> str:
+    return f"""{name}_l AS (SELECT user_id, ord, template, risk, len(phases) AS m, len({seq}) AS s, {lcs_sql(seq, 'phases')} AS lcs FROM sq, tp WHERE len({seq}) >= 2),
+{name} AS (SELECT *, lcs / greatest(m, s) AS sim FROM {name}_l WHERE lcs >= 2),
+{name}_b AS (SELECT user_id, arg_max(template, (sim, -ord)) AS key, arg_max(risk, (sim, -ord)) AS risk, max(sim) AS sim, arg_max(CAST(round(lcs / m * 100) AS BIGINT), (sim, -ord)) AS progress
+  FROM {name} GROUP BY 1 HAVING max(sim) >= 0.3)"""
+
+
+SWITCH_SQL = f"""{TEMPLATES_SQL}, {HIST_SQL}, {_match_sql('al', 'seq')}, {_match_sql('ea', 'e')}, {_match_sql('la', 'l')},
+ac AS (SELECT user_id, count(*) FILTER (WHERE sim >= 0.3) AS c FROM al GROUP BY 1),
+sw AS (SELECT sq.*, coalesce(c, 0) AS chains, coalesce(n >= 6 AND c >= 1 AND ea_b.key <> la_b.key, false) AS switched FROM sq LEFT JOIN ac USING (user_id) LEFT JOIN ea_b USING (user_id) LEFT JOIN la_b USING (user_id)),
+sa AS (SELECT *, CAST(least(40, (chains >= 2)::INT * 20 + switched::INT * 15) AS BIGINT) AS switch_anomaly FROM sw)"""
+
+
+@query("j15_chain_match", f"""
+WITH {EVENTS_SQL}, {TEMPLATES_SQL}, {HIST_SQL}, {_match_sql('al', 'seq')}
+SELECT user_id, template, risk, lcs, round(sim, 6) AS similarity, CAST(round(lcs / m * 100) AS BIGINT) AS progress FROM al""")
 def _(spark, d):
-    return ch.chain_matches(mapped(events(spark, d), CHAIN_OF), KEY, "us", "event_id", "phase", history=12)
+    return ch.chain_matches(mapped(events(spark, d), CHAIN_OF), KEY, "us", "event_id", "phase", history=12).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("w25_chain_switch")
+@query("w25_chain_switch", f"WITH {EVENTS_SQL}, {SWITCH_SQL} SELECT user_id, n, chains, switched, switch_anomaly FROM sa")
 def _(spark, d):
     return ch.chain_switches(mapped(events(spark, d), CHAIN_OF), KEY, "us", "event_id", "phase", history=12)
 
@@ -99,12 +130,29 @@ def _(spark, d):
     return ch.lateral_movement(e, KEY, "us", "event_id", "phase", "prefix")
 
 
-@query("w27_chain_risk")
+@query("w27_chain_risk", f"""
+WITH {EVENTS_SQL}, {SWITCH_SQL}, pr(f, g, p) AS (VALUES {values_sql(chain_pairs())}),
+x AS (SELECT sa.*, b.key AS chain, coalesce(b.sim, 0) AS sim, coalesce(b.progress, 0) AS progress, b.risk, list_max(list_transform(ps, lambda p: list_position({CHAIN_PHASES}, p) - 1)) AS pi,
+  (ts[-1] - ts[1]) / {HOUR}.0 / nullif(n - 1, 0) AS gap, len(list_filter(vs, lambda v: v >= 40)) AS hot, len(list_filter(ts, lambda t: t >= ts[-1] - {hours(6)})) AS s1,
+  len(list_filter(ts, lambda t: t >= ts[-1] - {hours(24)})) AS s2, len(list_filter(ts, lambda t: t >= ts[-1] - {hours(96)})) AS s3,
+  len(list_distinct(list_filter(list_transform(ps, lambda p, i: CASE WHEN p IN ('INJECT', 'EXPLOIT', 'PERSIST', 'EXFIL') THEN px[i] END), lambda v: v IS NOT NULL))) AS pre, seq[-2] AS pf, seq[-1] AS pt
+  FROM sa LEFT JOIN al_b b USING (user_id)),
+y AS (SELECT x.*, CASE WHEN pi = 0 THEN 10 WHEN pi <= 2 THEN 20 WHEN pi <= 4 THEN 35 ELSE 50 END AS phs, CASE WHEN sim >= 0.6 THEN 70 + trunc((sim - 0.6) / 0.4 * 20) WHEN sim >= 0.3 THEN 40 + trunc((sim - 0.3) / 0.3 * 20) ELSE 0 END AS chs,
+  CASE WHEN n >= 20 AND gap <= 2 THEN 15 WHEN n >= 10 AND gap <= 5 THEN 10 WHEN n >= 50 AND gap <= 30 THEN 8 WHEN n >= 20 AND gap <= 60 THEN 5 WHEN n BETWEEN 5 AND 15 AND gap BETWEEN 30 AND 300 THEN 3 ELSE 0 END AS tmp,
+  CASE WHEN hot >= 5 THEN 10 WHEN hot >= 3 THEN 5 ELSE 0 END AS hp,
+  CAST(CASE WHEN n < 2 THEN 0 WHEN s1 > 3 THEN 25 + least(15, (s1 - 3) // 4) WHEN s2 > 5 THEN 15 + least(10, (s2 - 5) // 12) WHEN s3 >= 5 AND s1 <= 2 AND s2 <= 4 THEN CASE WHEN pi > 0 THEN 20 ELSE 5 END ELSE 0 END AS BIGINT) AS timing,
+  CAST(CASE WHEN pre >= 2 THEN 30 + least(20, (pre - 2) * 5) ELSE 0 END AS BIGINT) AS lat,
+  CAST(CASE WHEN len(seq) < 2 THEN 0 WHEN pr.p IS NULL THEN 30 WHEN pr.p >= 0.2 THEN 0 WHEN pr.p >= 0.1 THEN 5 WHEN pr.p >= 0.05 THEN 10 WHEN pr.p >= 0.01 THEN 20 ELSE 30 END AS BIGINT) AS transition
+  FROM x LEFT JOIN pr ON f = pf AND g = pt),
+z AS (SELECT *, CAST(least(100, greatest(phs, chs) + tmp + hp) AS BIGINT) AS base FROM y), q AS (SELECT *, least(100, base + switch_anomaly + timing + lat + transition) AS score FROM z)
+SELECT user_id, n, chain, round(sim, 6) AS similarity, progress, base, switch_anomaly, timing, lat AS "lateral", transition, score,
+  CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' WHEN score >= 15 THEN 'low' ELSE 'clean' END AS band,
+  coalesce(score >= 70 OR (chain IS NOT NULL AND progress >= 50 AND risk IN ('critical', 'high')), false) AS block_early FROM q""")
 def _(spark, d):
     e = mapped(events(spark, d), CHAIN_OF).withColumn("prefix", F.col("k") % 5)
     probs = {(a, b): p for a, b, p in chain_pairs()}
     return ch.chain_risk(e, KEY, "us", "event_id", "phase", "prefix", "value", probs, history=12, unit=HOUR,
-                         windows=(6, 24, 96), burst=3, sustained=5, slow=(5, 2, 4))
+                         windows=(6, 24, 96), burst=3, sustained=5, slow=(5, 2, 4)).withColumn("similarity", F.round("similarity", 6))
 
 
 PATHS = [("view", "CLICK", 80), ("view", "sign", 50), ("click", "err", 70), ("error", "purch", 65), ("purchase", "vie", 90), ("signup", "ic", 60)]

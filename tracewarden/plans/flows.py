@@ -211,7 +211,7 @@ g AS (SELECT role, unnest(list_transform(range(1, length(t)), lambda i: substr(t
 SELECT role AS class, token, count(*) AS n FROM g GROUP BY 1, 2""")
 def _(spark, d):
     s = runner.file_stream(spark, d, table(spark, d, "conversations").schema, "conversations.parquet")
-    return runner.run_with_state(s, "r10t", trackers.token_learner(["conv_id", "turn"], "text", "role"), "class string, token string, n bigint")[1]
+    return runner.run_with_state(s, "r10t", trackers.token_learner("text", "role"), "class string, token string, n bigint")[1]
 
 
 @query("r11_enrichment", f"""

@@ -18,6 +18,7 @@ from tracewarden.plans.columns import PAIRS_SQL, PATH, documents, pages, stored
 from tracewarden.plans.registry import EVENTS_SQL, events, query, table
 from tracewarden.plans.rules import TOKENS_SQL
 from tracewarden.plans.windows import hours
+from tracewarden.session import new_path
 from tracewarden.tables import values_sql
 
 AS_OF = "2024-01-20"
@@ -376,7 +377,7 @@ def _labelled(spark, d):
 
 @query("a9_bayes_train", f"WITH {BAYES_SQL} SELECT class, token, n FROM md")
 def _(spark, d):
-    return nb.train(_labelled(spark, d), ["doc_id"], "text", "label")[1]
+    return nb.train(_labelled(spark, d), "text", "label")[1]
 
 
 @query("j9_token_scores", f"""
@@ -384,7 +385,7 @@ WITH {BAYES_SQL}, pv AS (SELECT token, coalesce(sum(n) FILTER (WHERE class = 'at
 v AS (SELECT count(*) AS v, sum(a) AS ta, sum(b) AS tb FROM pv)
 SELECT token, round(ln((a + 1) / (ta + v)) - ln((b + 1) / (tb + v)), 5) AS log_odds FROM pv, v""")
 def _(spark, d):
-    tokens = nb.train(_labelled(spark, d), ["doc_id"], "text", "label")[1]
+    tokens = nb.train(_labelled(spark, d), "text", "label")[1]
     m = tokens.groupBy("token").agg(F.sum(F.when(F.col("class") == "attack", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("class") == "normal", F.col("n")).otherwise(0)).alias("b"))
     t = m.agg(F.count("*").alias("v"), F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     for c in ("v", "ta", "tb"):
@@ -401,14 +402,14 @@ p AS (SELECT doc_id, match, round(1 / (1 + exp(least(700, lb + ln((nb + 1) / (na
 f AS (SELECT *, round(abs(pr - 0.5) * 2 * CASE WHEN match < 0.1 THEN 0.5 ELSE 1 END, 4) AS cf FROM p)
 SELECT doc_id, CASE WHEN pr > 0.5 THEN 'attack' ELSE 'normal' END AS class, pr AS probability, cf AS confidence, round(least(100, pr * 100 * cf), 1) AS score FROM f""")
 def _(spark, d):
-    classes, tokens = nb.train(_labelled(spark, d), ["doc_id"], "text", "label")
+    classes, tokens = nb.store(nb.train(_labelled(spark, d), "text", "label"), new_path(spark, "model"))
     return nb.score(documents(spark, d), ["doc_id"], "text", classes, tokens).select("doc_id", "class", "probability", "confidence", "score")
 
 
 @query("a11_model_merge", f"WITH {BAYES_SQL}, b2 AS (SELECT class, token, n FROM md UNION ALL SELECT 'normal', token, sum(n)::BIGINT FROM tc GROUP BY 2) SELECT class, token, sum(n)::BIGINT AS n FROM b2 GROUP BY 1, 2")
 def _(spark, d):
-    old = nb.train(_labelled(spark, d), ["doc_id"], "text", "label")[1]
-    new = nb.train(documents(spark, d).withColumn("label", F.lit("normal")), ["doc_id"], "text", "label")[1]
+    old = nb.train(_labelled(spark, d), "text", "label")[1]
+    new = nb.train(documents(spark, d).withColumn("label", F.lit("normal")), "text", "label")[1]
     return nb.merge(old, new, ["class", "token"])
 
 

@@ -107,10 +107,10 @@ def path_learner(path: str, t: str, control: DataFrame | None = None):
     return step
 
 
-def token_learner(ids: Sequence[str], text: str, label: str):
+def token_learner(text: str, label: str):
     """Token counts of the text model, added up over batches."""
     def step(batch: DataFrame, state: DataFrame):
-        new = bayes.train(batch, ids, text, label)[1]
+        new = bayes.train(batch, text, label)[1]
         return new, bayes.merge(state, new, ["class", "token"])
 
     return step
