@@ -174,7 +174,7 @@ def decayed_sum(df, keys, t, score, recorded: Column, window=1800 * SECOND, half
 
     end = F.col(t) + F.lit(window + 1)
     own_start = tl.piece_of(F.col(t), length) * F.lit(length)
-    d = tl.span_sums(df, keys, t, {"_acc": tl.Span(F.col(t), end, weighted), "_cnt": tl.Span(F.col(t), end, mark)},
+    d = tl.span_sums(df, keys, t, {"_acc": tl.Span(F.col(t), end, weighted, "w"), "_cnt": tl.Span(F.col(t), end, mark, "w")},
                      window + 1, tl.HOUR, dtype="double")
     d = d.withColumn("accumulated", F.col("_acc") * F.pow(F.lit(2.0), (own_start - F.col(t)) / half_life) - value) \
         .withColumn("prior", F.round(F.col("_cnt") - mark).cast("bigint"))

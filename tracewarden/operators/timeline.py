@@ -44,6 +44,8 @@ class Span:
     start: Column
     end: Column
     value: Column | Callable[[Column], Column]
+    # Spans of one group have the same start and end, and so share their marks.
+    group: str | None = None
 
     def at(self, piece_start: Column) -> Column:
         return self.value(piece_start) if callable(self.value) else self.value
@@ -66,7 +68,7 @@ def span_sums(
     reaches at most one piece further, where it is opened again at the piece's start.
     """
     length = max(piece, longest)
-    rows = df.withColumn("_t", F.col(t))
+    rows = df.withColumn("_span_t", F.col(t))
     zero = F.lit(0).cast(dtype)
 
     def entry(at: Column, p: Column, is_row: Column, deltas: dict[str, Column]) -> Column:
@@ -80,40 +82,48 @@ def span_sums(
     def start_of(p: Column) -> Column:
         return p * F.lit(length)
 
-    own_piece = piece_of(F.col("_t"), length)
+    groups: dict[str, dict[str, Span]] = {}
+    for n, s in spans.items():
+        groups.setdefault(s.group or n, {})[n] = s
+    own_piece = piece_of(F.col("_span_t"), length)
     entries = [
         entry(
-            F.col("_t"), own_piece, F.lit(True),
-            {n: F.when(s.start == F.col("_t"), s.at(start_of(own_piece))).otherwise(zero)
+            F.col("_span_t"), own_piece, F.lit(True),
+            {n: F.when(s.start == F.col("_span_t"), s.at(start_of(own_piece))).otherwise(zero)
              for n, s in spans.items()},
         )
     ]
-    for n, s in spans.items():
-        p0, p1 = piece_of(s.start, length), piece_of(s.end, length)
+    for members in groups.values():
+        first = next(iter(members.values()))
+        p0, p1 = piece_of(first.start, length), piece_of(first.end, length)
+
+        def plus(p: Column, members=members) -> dict[str, Column]:
+            return {n: s.at(start_of(p)) for n, s in members.items()}
+
         entries += [
-            F.when(s.start != F.col("_t"), entry(s.start, p0, F.lit(False), {n: s.at(start_of(p0))})),
-            F.when(p1 > p0, entry(start_of(p1), p1, F.lit(False), {n: s.at(start_of(p1))})),
-            entry(s.end, p1, F.lit(False), {n: -s.at(start_of(p1))}),
+            F.when(first.start != F.col("_span_t"), entry(first.start, p0, F.lit(False), plus(p0))),
+            F.when(p1 > p0, entry(start_of(p1), p1, F.lit(False), plus(p1))),
+            entry(first.end, p1, F.lit(False), {n: -x for n, x in plus(p1).items()}),
         ]
     useful = F.filter(
         F.array(*entries),
         lambda e: e.isNotNull() & (e["is_row"] | (F.greatest(*[F.abs(e[n]) for n in spans], zero) > 0)),
     )
     # Flat columns, so that those nobody asks for are pruned down to the scan; empty on marks.
-    cut = rows.select("*", F.explode(useful).alias("_e")).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        *[F.when(F.col("_e.is_row"), F.col(c)).alias(c) for c in df.columns],
-        F.col("_e.at").alias("_at"), F.col("_e.piece").alias("_pc"), F.col("_e.is_row").alias("_is_row"),
-        *[F.col(f"_e.{n}").alias(f"_d_{n}") for n in spans],
+    cut = rows.select("*", F.explode(useful).alias("_span")).select(
+        *[F.col(k).alias(f"_span_k{i}") for i, k in enumerate(keys)],
+        *[F.when(F.col("_span.is_row"), F.col(c)).alias(c) for c in df.columns],
+        F.col("_span.at").alias("_span_at"), F.col("_span.piece").alias("_span_piece"), F.col("_span.is_row").alias("_span_row"),
+        *[F.col(f"_span.{n}").alias(f"_span_d_{n}") for n in spans],
     )
     w = (
-        Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "_pc")
-        .orderBy("_at")
+        Window.partitionBy(*[f"_span_k{i}" for i in range(len(keys))], "_span_piece")
+        .orderBy("_span_at")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        cut.select(*df.columns, "_is_row", *[F.sum(f"_d_{n}").over(w).alias(n) for n in spans])
-        .filter("_is_row")
+        cut.select(*df.columns, "_span_row", *[F.sum(f"_span_d_{n}").over(w).alias(n) for n in spans])
+        .filter("_span_row")
         .select(*df.columns, *spans)
     )
 
@@ -132,7 +142,7 @@ def sliding_sums(
     ``(t - length, t]``, or ``[t - length, t]`` when ``closed``.
     """
     extra = 1 if closed else 0
-    spans = {n: Span(F.col(t), F.col(t) + F.lit(w + extra), v) for n, (w, v) in frames.items()}
+    spans = {n: Span(F.col(t), F.col(t) + F.lit(w + extra), v, f"w{w}") for n, (w, v) in frames.items()}
     return span_sums(df, keys, t, spans, max(w for w, _ in frames.values()) + extra, piece)
 
 

@@ -183,7 +183,7 @@ WITH {ENTROPY_SQL}, p AS (SELECT d.*, entropy, strlen(text) AS n FROM documents
 SELECT doc_id, round(least(1.0, n / 4096), 5) AS payload_length, round(least(1.0, length(lang) / 20), 5) AS param_count, round(least(1.0, entropy / 8), 5) AS entropy,
   round(round(len(regexp_extract_all(text, '[<>"'';%|&`$(){{}}\\/*#=?!\[\]]')) / n * 100, 2) / 100, 5) AS special_ratio,
   round(len(regexp_extract_all(text, '[0-9]')) / n, 5) AS numeric_ratio, round(len(regexp_extract_all(text, '[A-Z]')) / n, 5) AS uppercase_ratio,
-  round((n - len(regexp_extract_all(text, '[\x00-\x7F]'))) / n, 5) AS non_ascii_ratio, 0.1 AS url_depth, 0.1 AS path_segments,
+  round((n - len(regexp_extract_all(text, '[\x00-\x7F]'))) / n, 5) AS non_ascii_ratio, 0.1::DOUBLE AS url_depth, 0.1::DOUBLE AS path_segments,
   round(least(1.0, length(lang) / 20), 5) AS query_params, round(least(1.0, (doc_id % 101) / 100), 5) AS risk FROM p""")
 def _(spark, d):
     f = text.feature_vector(F.col("text"), F.concat(F.lit("/"), "source"), F.length("lang"), F.col("doc_id") % 101, text.byte_entropy(F.col("text")))
