@@ -30,7 +30,7 @@ def test_detection_scores(spark):
     assert not any(p in got for (p,) in plain)
 
 
-FAMILY = [("ldap", "filter", "(&(objectClass=*)(uid=*))"), ("xpath", "query", "' or '1'='1"), ("xxe", "xml", '<!DOCTYPE a [<!ENTITY b SYSTEM "file:///etc/passwd">]>'),
+FAMILY = [("ldap", "filter", "(&(objectClass=*)(uid=*))"), ("xpath", "query", "//user[name='' or '1'='1']"), ("xxe", "xml", '<!DOCTYPE a [<!ENTITY b SYSTEM "file:///etc/passwd">]>'),
           ("deserialization", "data", 'O:8:"stdClass":0:{}'), ("file_inclusion", "page", "php://filter/convert.base64-encode/resource=x"),
           ("open_redirect", "next", "//evil.example"), ("template", "q", "{{x.__class__}}"), ("nosql", "q", "{ $ne : 1 }"), ("crlf", "q", "a%0d%0ab"),
           ("cache", "q", "%0d%0aSet-Cookie: a=b"), ("ssrf", "url", "http://169.254.169.254/latest"), ("api_values", "p", "/proc/self/environ"), ("idor_values", "id", "-1")]
@@ -50,6 +50,14 @@ def test_family_factor_depends_on_name(spark):
     assert got == {"filter": (70, True), "color": (42, False)}
 
 
+def test_family_context(spark):
+    """Quote logic counts in full only beside a path, XML rules in full beside an XML head."""
+    df = spark.createDataFrame([("query", "' or '1'='1"), ("query", "/a' or '1'='1"), ("note", "file:///x"), ("note", "<?xml?>file:///x")], "name string, value string")
+    got = {(x["value"], x["family"]): x["score"] for x in rules.family_hits(df).collect()}
+    assert got[("' or '1'='1", "xpath")] == 47 and got[("/a' or '1'='1", "xpath")] == 95
+    assert got[("file:///x", "xxe")] == 42 and got[("<?xml?>file:///x", "xxe")] == 85
+
+
 def test_learned_rules_equal_plain_search(spark):
     rnd = random.Random(4)
     docs = [(i, "".join(rnd.choice("abcd é") for _ in range(rnd.randrange(0, 60)))) for i in range(60)]

@@ -21,21 +21,24 @@ def _sql(value) -> str:
     return str(value)
 
 
-def hits(text: str, low: str, rules: Sequence[tuple[str, Sequence]], fields: Sequence[str]) -> Column:
+def hits(text: str, low: str, rules: Sequence[tuple], fields: Sequence[str]) -> Column:
     """Array of the rules (pattern, values..) that the text column matches; ``low`` names its
     lower-case column.
 
+    A rule is (pattern, values) or (pattern, values, second pattern that must match too).
     Rules of an operator are settings, compiled into the expression: each pattern is
     compiled once per task, and no row is multiplied before a rule has hit. Given to Spark
     as one SQL text, which is far quicker than hundreds of calls from Python. A rule's
     pattern runs only where a substring that it needs is found.
     """
     cases = []
-    for pattern, values in rules:
+    for pattern, values, *also in rules:
         cond = f"{text} rlike {_sql(java_regex(pattern))}"
         pieces = required_pieces(pattern)
         if pieces:
             cond = "(" + " or ".join(f"contains({low}, {_sql(p)})" for p in pieces) + f") and {cond}"
+        if also and also[0]:
+            cond += f" and {text} rlike {_sql(java_regex(also[0]))}"
         rule = ", ".join(f"{_sql(f)}, {_sql(v)}" for f, v in zip(fields, values))
         cases.append(f"case when {cond} then named_struct({rule}) end")
     return F.expr(f"filter(array({', '.join(cases)}), h -> h is not null)")
@@ -77,7 +80,7 @@ def family_hits(params: DataFrame, families=None) -> DataFrame:
     """
     families = rulesets.FAMILIES if families is None else families
     name = F.lower("name")
-    rows = [(p, (fam, int(s * named), int(s * (other if names else named)))) for fam, (rules, names, named, other) in families.items() for p, s in rules]
+    rows = [(p, (fam, named, other), also) for fam, p, also, named, other in rulesets.family_rows(families)]
     named_in = F.filter(F.array(*[F.when(name.isin(names), F.lit(fam)) for fam, (_, names, _, _) in families.items() if names]), lambda f: f.isNotNull())
     d = params.withColumn("_v", F.trim("value")).withColumn("_l", F.lower("value")).withColumn("_n", named_in)
     d = d.withColumn("_h", hits("_v", "_l", rows, ["family", "named", "other"])).drop("_v", "_l")

@@ -19,7 +19,7 @@ def _flag(c: Column) -> Column:
     return F.when(c, 1).otherwise(0)
 
 
-def sliding_rate(df, keys, t, window=60 * SECOND, limit=120, piece=tl.HOUR) -> DataFrame:
+def sliding_rate(df, keys, t, window=60 * SECOND, limit=120, piece=None) -> DataFrame:
     """Requests in the trailing open window and whether the row is over the limit.
 
     Attempts are counted, not admissions: a row is refused when at least ``limit`` earlier
@@ -29,7 +29,7 @@ def sliding_rate(df, keys, t, window=60 * SECOND, limit=120, piece=tl.HOUR) -> D
     return n.withColumn("refused", F.col("in_window") - 1 >= limit)
 
 
-def path_limits(df, keys, t, rules: list[tuple[str, Column, int, int]], piece=tl.HOUR) -> DataFrame:
+def path_limits(df, keys, t, rules: list[tuple[str, Column, int, int]], piece=None) -> DataFrame:
     """Limits per path rule; the first matching of (name, condition, limit, window) counts.
 
     Rows that match no rule are left out. The row itself counts.

@@ -51,13 +51,22 @@ class Span:
         return self.value(piece_start) if callable(self.value) else self.value
 
 
+def piece_length(piece: int | None, longest: int) -> int:
+    """Length of the pieces for windows of at most ``longest``: four windows if none is given.
+
+    Long enough that few rows reach into the next piece, short enough that a key with very
+    many rows per window still makes many pieces.
+    """
+    return max(4 * longest if piece is None else piece, longest)
+
+
 def span_sums(
     df: DataFrame,
     keys: Sequence[str],
     t: str,
     spans: dict[str, Span],
     longest: int,
-    piece: int = HOUR,
+    piece: int | None = None,
     dtype: str = "bigint",
 ) -> DataFrame:
     """Rows plus, per span name, the sum of all spans of the key that cover the row.
@@ -67,7 +76,7 @@ def span_sums(
     range frame adds every frame up anew. Spans are at most ``longest`` long, so a span
     reaches at most one piece further, where it is opened again at the piece's start.
     """
-    length = max(piece, longest)
+    length = piece_length(piece, longest)
     rows = df.withColumn("_span_t", F.col(t))
     zero = F.lit(0).cast(dtype)
 
@@ -134,7 +143,7 @@ def sliding_sums(
     t: str,
     frames: dict[str, tuple[int, Column]],
     closed: bool = False,
-    piece: int = HOUR,
+    piece: int | None = None,
 ) -> DataFrame:
     """Trailing-window sums of whole numbers, the row and its peers included.
 
@@ -154,7 +163,7 @@ def sliding_distinct(
     width: int,
     out: str,
     closed: bool = False,
-    piece: int = HOUR,
+    piece: int | None = None,
 ) -> DataFrame:
     """Number of distinct non-null values in the trailing window of each row.
 
@@ -163,7 +172,7 @@ def sliding_distinct(
     previous one is looked up in a per-value piece holding copies of rows young enough.
     """
     reach = width + (1 if closed else 0)
-    length = max(piece, reach)
+    length = piece_length(piece, reach)
     own = piece_of(F.col(t), length)
     copies = F.array_distinct(F.array(own, piece_of(F.col(t) + F.lit(reach), length)))
     w = Window.partitionBy(*keys, value, PIECE).orderBy(t)

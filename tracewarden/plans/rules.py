@@ -32,16 +32,14 @@ def _(spark, d):
 
 
 def _family_sql() -> str:
-    rows = []
-    for fam, (rules, names, named, other) in rulesets.FAMILIES.items():
-        for p, s in rules:
-            rows.append((fam, p, int(s * named), int(s * other) if names else int(s * named), "," + ",".join(names) + ","))
+    names = {f: "," + ",".join(n) + "," for f, (_, n, _, _) in rulesets.FAMILIES.items()}
+    rows = [(*r, names[r[0]]) for r in rulesets.family_rows()]
+    pick = "max(CASE WHEN contains(names, ',' || name || ',') THEN named ELSE other END)"
     return f"""
-WITH r(family, pattern, named, other, names) AS (VALUES {values_sql(rows)}),
+WITH r(family, pattern, also, named, other, names) AS (VALUES {values_sql(rows)}),
 p AS (SELECT page_id, 'url' AS name, trim(url) AS value FROM pages UNION ALL SELECT page_id, 'data', trim(html) FROM pages)
-SELECT page_id, name, family, max(CASE WHEN contains(names, ',' || name || ',') THEN named ELSE other END) AS score,
-  max(CASE WHEN contains(names, ',' || name || ',') THEN named ELSE other END) >= 50 AS detected
-FROM p JOIN r ON regexp_matches(value, pattern) GROUP BY 1, 2, 3 HAVING max(CASE WHEN contains(names, ',' || name || ',') THEN named ELSE other END) > 0"""
+SELECT page_id, name, family, {pick} AS score, {pick} >= 50 AS detected
+FROM p JOIN r ON regexp_matches(value, pattern) AND (also = '' OR regexp_matches(value, also)) GROUP BY 1, 2, 3 HAVING {pick} > 0"""
 
 
 @query("j4_family_scan", _family_sql())
