@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import pu_quality
+from tracewarden.llm import pu_quality, simhash_ring
 from tracewarden.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     model = pu_quality.train(docs, read(spark, folder, "labels"))
     scored = pu_quality.score(docs.select("doc_id", "text"), model, ["doc_id"])
     return scored.select("doc_id", pu_quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op10_simhash_ring")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash_ring.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
