@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import pu_quality, simhash_ring
+from tracewarden.llm import pu_quality, sentencepiece_bpe, simhash_ring
 from tracewarden.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    """File of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -32,6 +39,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", pu_quality.held_out().alias("held_out"), "score", "predicted")
 
 
+@query("op7_sentencepiece_bpe")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document and the text that they decode to, as digests."""
+    return sentencepiece_bpe.digests(read(spark, folder, "documents"), model_path())
+
+
 @query("op10_simhash_ring")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
