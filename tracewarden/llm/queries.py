@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewarden.llm import pu_quality, sentencepiece_bpe, simhash_ring
+from tracewarden.llm import html_consensus, pu_quality, sentencepiece_bpe, simhash_ring, url_filter
 from tracewarden.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,37 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Rules of the contract.
+URL_RULES = [
+    url_filter.Rule("org", "/", True),
+    url_filter.Rule("example.org", "/es/", False),
+    url_filter.Rule("example.org", "/en/1", False),
+    url_filter.Rule("com", "/fr/", True),
+    url_filter.Rule("com", "/de/", False),
+]
+#: The small labelled table: words of hosts that are to be blocked and of ordinary ones.
+BLOCKED_WORDS = "casino win bets betting poker slots jackpot lottery pills cheap pharma viagra spam farm link-farm adult xxx x porn cams escort ads track tracker tracking adserver banner popup click clicks malware phish free-money loans payday crypto-win torrent warez crack keygen".split()
+ORDINARY_WORDS = "news daily times herald river garden kitchen school library science history travel weather health doctor music books cinema theatre nature forest mountain harbour village market museum letters reading writing teacher student city council research journal review archive atlas bridge".split()
+ORDINARY_WORDS += "that this there their with which table stable thing nothing tion other than thin ereth hether stone enther tingon hesta ounder athe rion lestra dure mendo carre".split()
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """(url, block): each word as a host of its own and within longer hosts, under every domain and language."""
+    words = spark.createDataFrame([(w, True) for w in BLOCKED_WORDS] + [(w, False) for w in ORDINARY_WORDS], "word string, block boolean")
+    spread = lambda *x: F.explode(F.array(*map(F.lit, x)))
+    rows = words.withColumn("host", F.explode(F.array(*(F.concat(F.lit(a), "word", F.lit(b)) for a in ("", "www.", "m.", "blog.") for b in ("", "-site", "s")))))
+    rows = rows.withColumn("top", spread("com", "net", "org")).withColumn("lang", spread("en", "de"))
+    number = F.abs(F.xxhash64("host", "top")) % 10000
+    return rows.select(F.concat(F.lit("https://"), "host", F.lit(".example."), "top", F.lit("/"), "lang", F.lit("/"), number).alias("url"), "block")
+
+
+@query("op1_url_filter")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's url."""
+    model = url_filter.train(labelled_urls(spark))
+    return url_filter.judge(read(spark, folder, "pages"), URL_RULES, model)
+
+
 @query("op4_pu_quality")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document; labels of held-out ids are never seen."""
@@ -45,6 +77,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_bpe.digests(read(spark, folder, "documents"), model_path())
 
 
+@query("op8_html_consensus")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    text = html_consensus.extract(read(spark, folder, "pages"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op10_simhash_ring")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
