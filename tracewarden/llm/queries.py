@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import html_consensus, pu_quality, sentencepiece_bpe, simhash_ring, url_filter
+from tracewarden.llm import html_consensus, line_dedup, pu_quality, sentencepiece_bpe, simhash_ring, url_filter
 from tracewarden.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,22 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op9_line_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document the numbers of its lines that an earlier line matches, and the digest of the rest."""
+    rows, lines = line_dedup.marked(read(spark, folder, "documents").select("doc_id", "text"))
+    left = F.when(F.col(lines).isNull(), F.col("text")).otherwise(line_dedup.without(F.col("text"), F.col(lines)))
+    count = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    removed = F.coalesce(F.size(F.array_distinct(lines)), F.lit(0)).cast("long")
+    return rows.select(
+        "doc_id",
+        count.alias("n_lines"),
+        F.when(F.col(lines).isNull(), F.lit(0)).otherwise(removed).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(lines, ","), F.lit("")).alias("removed_lines"),
+        F.sha2(F.coalesce(left, F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 @query("op10_simhash_ring")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
