@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import html_consensus, line_dedup, pu_quality, sentencepiece_bpe, simhash_ring, url_filter
+from tracewarden.llm import bit_sliced, html_consensus, license_scan, line_dedup, pu_quality, sentencepiece_bpe, simhash_ring, url_filter, winnowing
 from tracewarden.llm.common import read
+from tracewarden.llm.licence_texts import TEXTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +63,52 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(read(spark, folder, "pages"), URL_RULES, model)
 
 
+OP2_SQL = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+p AS (SELECT id, generate_subscripts(q, 1) AS i, unnest(q) AS x FROM v),
+s AS (
+  SELECT a.id AS query_id, b.id AS vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM p a JOIN p b ON a.i = b.i AND a.id <> b.id WHERE a.id % 100 = 0 GROUP BY ALL)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@query("op2_bit_sliced_top_k", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best candidates of every vector whose id is divisible by 100."""
+    rows = read(spark, folder, "embeddings")
+    sizes = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").where("size > 0").first()
+    size = sizes["size"] if sizes else 1
+    vectors = bit_sliced.quantised(rows, size)
+    return bit_sliced.top_k(vectors, vectors.where(F.col("id") % 100 == 0), 10, size)
+
+
+@query("op3_winnowing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    rows = winnowing.compared(read(spark, folder, "documents"))
+    kept = rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        *(F.sha2(F.array_join(F.col(c).cast("array<string>"), " ").cast("binary"), 256).alias(d) for c, d in (("marks", "fingerprint"), ("edited_marks", "edited_fingerprint"))),
+        *(winnowing.hashes(F.col(c)).alias(c) for c in ("marks", "edited_marks", "next_marks")),
+    )
+    return kept.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        winnowing.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
+        winnowing.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+        F.size("marks").alias("n_marks"),
+    )
+
+
 @query("op4_pu_quality")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document; labels of held-out ids are never seen."""
@@ -71,6 +118,39 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", pu_quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def _templates_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({i}, {quote(t.licence)}, {quote(t.form)}, {quote(t.text)})" for i, t in enumerate(sorted(TEXTS, key=lambda t: (t.licence, t.form))))
+
+
+def _bigrams_sql(body: str) -> str:
+    words = f"string_split(trim(regexp_replace(lower({body}), '[^a-z0-9ß-ɏ]+', ' ', 'g')), ' ')"
+    return f"list_distinct(list_transform(list_zip({words}[:-2], {words}[2:]), lambda x: x[1] || ' ' || x[2]))"
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, string_split_regex(text, '\\n\\s*\\n') AS gaps FROM d),
+u AS (
+  SELECT doc_id, 'line' AS unit, unnest(range(len(lines))) AS number, unnest(lines) AS body FROM p
+  UNION ALL SELECT doc_id, 'block', unnest(range(len(gaps))), unnest(gaps) FROM p WHERE len(gaps) > 1
+  UNION ALL SELECT doc_id, 'text', 0, text FROM p WHERE len(lines) > 1),
+b AS (SELECT doc_id, unit, number, {_bigrams_sql("body")} AS b FROM u WHERE length(body) > 4),
+t AS (SELECT k, licence, form, {_bigrams_sql("body")} AS b FROM (VALUES {_templates_sql()}) v(k, licence, form, body)),
+m AS (
+  SELECT doc_id, unit, number, licence, form, k, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice
+  FROM b JOIN t ON len(b.b) > 0 AND len(b.b) BETWEEN len(t.b) * 0.66 AND len(t.b) * 1.51)
+SELECT doc_id, unit, CAST(number AS INTEGER) AS number, licence, form, dice FROM m WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC, k) = 1
+"""
+
+
+@query("op6_license_scan", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line, block or document that is a licence text or notice."""
+    return license_scan.scan(read(spark, folder, "documents"), TEXTS)
+
+
 @query("op7_sentencepiece_bpe")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the text that they decode to, as digests."""
