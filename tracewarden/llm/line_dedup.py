@@ -31,7 +31,7 @@ THRESHOLD = 0.8
 #: Hash buckets that word counts are kept in; the table of them is what is sent to the executors.
 BUCKETS = 1 << 16
 #: Lines of one prefix word that one task takes at a time.
-BLOCK = 1024
+BLOCK = 1 << 15
 #: Runs longer than this go to verification whole, without a look at the masks.
 LONG_RUN = 512
 
@@ -158,11 +158,11 @@ def allowed(n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def suspects(table: DataFrame, threshold: float) -> DataFrame:
-    """Ids of lines that share a prefix word with another line behind all filters."""
+    """id, words: lines that share a prefix word with another line behind all filters, and those words."""
     rows = table.where(F.col("prefix").isNotNull()).select("id", "mask", "n", F.posexplode("prefix").alias("pos", "word"))
     rows = rows.select("word", "id", "mask", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("meta"))
 
-    return rows.repartition("word").sortWithinPartitions("word", "id").mapInArrow(_scan(threshold), "id long").distinct()
+    return rows.repartition("word").sortWithinPartitions("word", "id").mapInArrow(_scan(threshold), "id long, word long").groupBy("id").agg(F.collect_set("word").alias("words"))
 
 
 def _scan(threshold: float):
@@ -181,21 +181,22 @@ def _scan(threshold: float):
             last = int(np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))[-1])
             if len(cols[0]) - last > LONG_RUN:
                 # a long run is suspect as a whole; enough rows are held for the rest of it to count as long
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(cols[1][last:]))], ["id"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[1][last:]), pa.array(cols[0][last:])], ["id", "word"])
                 held = [x[last:][-LONG_RUN - 1 :] for x in cols]
             else:
                 held = [x[last:] for x in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(_paired(*(x[:last] for x in cols), threshold))], ["id"])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _paired(*(x[:last] for x in cols), threshold))), ["id", "word"])
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(_paired(*held, threshold))], ["id"])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _paired(*held, threshold))), ["id", "word"])
 
     return run
 
 
-def _paired(word: np.ndarray, ident: np.ndarray, mask: np.ndarray, meta: np.ndarray, threshold: float) -> np.ndarray:
-    """Ids that have a partner of the same word behind the filters; all ids of long runs."""
+def _paired(word: np.ndarray, ident: np.ndarray, mask: np.ndarray, meta: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(id, word) of rows that have a partner of the same word behind the filters; all rows of long runs."""
     if not len(word):
-        return ident[:0]
+        return ident[:0], word[:0]
+    every = word
     mask = mask.view(np.uint64)
     start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
     size = np.diff(np.append(start, len(word)))
@@ -216,7 +217,7 @@ def _paired(word: np.ndarray, ident: np.ndarray, mask: np.ndarray, meta: np.ndar
         ok &= np.bitwise_count(mask[a] ^ mask[b]) <= n[a] + n[b] - 2 * need
         hit[a[ok]] = hit[b[ok]] = True
     out[some[hit]] = True
-    return np.unique(ident[out])
+    return ident[out], every[out]
 
 
 def fetched(docs: DataFrame, lines: DataFrame, place: np.ndarray, threshold: float) -> DataFrame:
@@ -244,55 +245,119 @@ def fetched(docs: DataFrame, lines: DataFrame, place: np.ndarray, threshold: flo
     return rows.mapInArrow(run, f"doc_id {kind}, th long, line int, id long, words array<long>").dropDuplicates(["id"])
 
 
-def verified(sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, by): a line that an earlier line matches, and the earliest such line of a shared prefix word."""
-    order = sets.select("id", "words", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line").alias("o"))
-    take = F.size("words") - F.ceil(F.size("words") * F.lit(threshold) - 1e-9) + 1
-    rows = order.select("id", "words", "o", F.explode(F.slice("words", F.lit(1), take.cast("int"))).alias("word"))
-    rows = stored(rows, "line-sets")
-    rows, key = bounded_groups(rows, "word", "id", BLOCK)
+def candidates(rows: DataFrame, threshold: float, most: int | None, open_: DataFrame | None) -> DataFrame:
+    """(id, o, by): for each line the first earlier lines (at most `most` of a word) behind the filters.
+
+    rows: word, id, n, mask, o (order). open_: ids that still look for a match; all if not given.
+    """
+    asks = F.lit(True)
+    if open_ is not None:
+        rows = rows.join(open_.withColumn("asks", F.lit(True)), "id", "left")
+        asks = F.coalesce("asks", F.lit(False))
+    rows, key = bounded_groups(rows.select("word", "id", "n", "mask", "o", asks.alias("asks")), "word", "id", BLOCK)
 
     def run(batches):
         for table, starts in runs(batches, key):
-            ids = table.column("id").to_numpy()
-            sets_ = pa.concat_arrays(table.column("words").chunks)
-            off, flat = sets_.offsets.to_numpy(), sets_.values.to_numpy()
-            later, by = [], []
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if e - s > 1:
-                    _matches(ids[s:e], [flat[off[k] : off[k + 1]] for k in range(s, e)], threshold, later, by)
-            yield pa.RecordBatch.from_arrays([pa.array(later, pa.int64()), pa.array(by, pa.int64())], ["id", "by"])
-
-    return rows.repartition(*key).sortWithinPartitions(*key, "o").select(*key, "id", "words").mapInArrow(run, "id long, by long").distinct()
-
-
-def _matches(ids: np.ndarray, sets: list[np.ndarray], threshold: float, later: list[int], by: list[int]) -> None:
-    """For each set of a group, in order, the first earlier set that is similar to it."""
-    size = np.array([len(x) for x in sets])
-    masks = np.array([np.bitwise_xor.reduce(np.uint64(1) << (mixed(x.view(np.uint64)) >> np.uint64(58))) for x in sets])
-    for k in range(1, len(sets)):
-        n = size[k]
-        need = allowed(size[:k], n, threshold)
-        ok = (np.minimum(size[:k], n) >= need) & (np.bitwise_count(masks[:k] ^ masks[k]) <= size[:k] + n - 2 * need) & (ids[:k] != ids[k])
-        for j in np.flatnonzero(ok).tolist():
-            common = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
-            if common >= need[j]:
-                later.append(int(ids[k]))
-                by.append(int(ids[j]))
+            ids, n, mask, asking = (table.column(c).to_numpy() for c in ("id", "n", "mask", "asks"))
+            later, earlier = _earlier(starts, n.astype(np.int64), mask.view(np.uint64), asking, threshold, most)
+            later, earlier = later[ids[later] != ids[earlier]], earlier[ids[later] != ids[earlier]]
+            o = pa.concat_arrays(table.column("o").take(pa.array(earlier)).chunks) if len(earlier) else table.column("o").slice(0, 0).combine_chunks()
+            o = pa.concat_arrays(o.chunks) if isinstance(o, pa.ChunkedArray) and o.num_chunks else o
+            if len(later):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[later]), o, pa.array(ids[earlier])], ["id", "o", "by"])
+
+    out = rows.repartition(*key).sortWithinPartitions(*key, "o").select(*key, "id", "n", "mask", "asks", "o")
+    return out.mapInArrow(run, out.select("id", "o").withColumn("by", F.lit(0).cast("long")).schema)
+
+
+def _earlier(starts: np.ndarray, n: np.ndarray, mask: np.ndarray, asks: np.ndarray, threshold: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, earlier row of its group) behind the length and mask filters, the first ones of each row."""
+
+    def near(a, b):
+        need = allowed(n[a], n[b], threshold)
+        return (np.minimum(n[a], n[b]) >= need) & (np.bitwise_count(mask[a] ^ mask[b]) <= n[a] + n[b] - 2 * need)
+
+    size = np.diff(starts)
+    later, earlier = [], []
+    if most == 1:
+        small = np.repeat(size <= LONG_RUN, size)
+        place = np.arange(len(n)) - np.repeat(starts[:-1], size)
+        found = np.full(len(n), -1)
+        left = np.flatnonzero(small & asks & (place > 0))
+        for d in range(1, LONG_RUN):
+            left = left[place[left] >= d]
+            if not len(left):
                 break
+            ok = left[near(left, left - d)]
+            found[ok] = ok - d  # the last one found is the earliest
+        hit = np.flatnonzero(found >= 0)
+        later.append(hit)
+        earlier.append(found[hit])
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if most == 1 and e - s <= LONG_RUN:
+            continue
+        for at in range(s, e, 256):
+            x = np.arange(at, min(at + 256, e))
+            x = x[asks[x]]
+            left = np.full(len(x), most if most is not None else e)
+            for y0 in range(s, min(at + 256, e), 1024):
+                if not len(x):
+                    break
+                y = np.arange(y0, min(y0 + 1024, at + 256, e))
+                ok = near(x[:, None], y[None, :]) & (y[None, :] < x[:, None])
+                ok &= np.cumsum(ok, axis=1) <= left[:, None]
+                i, j = np.nonzero(ok)
+                later.append(x[i])
+                earlier.append(y[j])
+                left = left - ok.sum(1)
+                x, left = x[left > 0], left[left > 0]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(later), np.concatenate(earlier)) if later else (none, none)
+
+
+def verified(flagged: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Ids of lines that an earlier line matches.
+
+    flagged: id, words, n, mask, o. sets: id, words. First every line is held against the earliest
+    line behind the filters, which settles most groups of near copies with one pair a line; lines
+    without a match are held against more, and at last against all that are left.
+    """
+    rows = stored(flagged.select(F.explode("words").alias("word"), "id", "n", "mask", "o"), "line-words")
+    whole = sets.select("id", F.col("words").alias("set"))
+    other = whole.select(F.col("id").alias("by"), F.col("set").alias("with"))
+    open_, done = None, None
+    for most in (1, 32, None):
+        found = candidates(rows, threshold, most, open_)
+        if most == 1:  # the earliest over all words
+            found = found.groupBy("id").agg(F.min(F.struct("o", "by")).alias("m")).select("id", "m.by")
+        else:
+            found = found.select("id", "by").distinct()
+        common = F.size(F.array_intersect("set", "with"))
+        tested = whole.join(found, "id").join(other, "by").select("id", (common >= F.lit(threshold) * (F.size("set") + F.size("with") - common) - 1e-9).alias("ok"))
+        tested = stored(tested.groupBy("id").agg(F.max("ok").alias("ok")), "lines-tested")
+        hits = tested.where("ok").select("id")
+        done = hits if done is None else done.unionByName(hits)
+        open_ = stored(tested.where(~F.col("ok")).select("id"), "lines-open")
+        if open_.isEmpty():
+            break
+    return done
 
 
 def removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, th, lines: the numbers of the lines to remove, for documents that have any."""
     place = rarity(word_counts(docs))
     table = stored(line_table(docs, place, threshold), "lines")
-    tuple_ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
-    first = stored(table.groupBy("id").agg(F.min(tuple_).alias("o")), "lines-first")
-    some = first.join(suspects(table, threshold), "id", "left_semi").select("id", "o.*").drop("none")
-    pairs = verified(fetched(docs, stored(some, "lines-suspect"), place, threshold), threshold)
-    known = first.join(pairs.select("id").distinct().withColumn("similar", F.lit(True)), "id", "left")
-    own = table.select("id", "doc_id", "th", "line").join(known, "id")
-    gone = own.where(F.coalesce("similar", F.lit(False)) | ~tuple_.eqNullSafe(F.col("o")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
+    flags = stored(suspects(table, threshold), "lines-suspect")
+    count = flags.count()
+    first = table.groupBy("id").agg(F.min(order).alias("o"))
+    own = join_ids(table.select("id", "n", "mask", order.alias("o")), flags, ["id"], "inner", count)
+    flagged = stored(own.groupBy("id").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("mask").alias("mask"), F.first("words").alias("words")), "lines-flagged")
+    sets = stored(fetched(docs, flagged.select("id", "o.*").drop("none"), place, threshold), "line-sets")
+    similar = verified(flagged, sets, threshold).withColumn("similar", F.lit(True))
+    known = join_ids(first, similar, ["id"], "left")
+    every = table.select("id", "doc_id", "th", "line").join(known, "id")
+    gone = every.where(F.coalesce("similar", F.lit(False)) | ~order.eqNullSafe(F.col("o")))
     # repeated rows name a line twice
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
