@@ -136,7 +136,9 @@ def forest(filed: np.ndarray, every: np.ndarray, at: int, distance: int) -> list
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) between different fingerprints that connect all that are near one another."""
-    keys = fps.select("fp").distinct().select("fp", F.explode(ring_keys(distance)).alias("k")).select("fp", "k.*")
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the few different fingerprints are dealt out before each becomes many keys
+    keys = fps.select("fp").distinct().repartition(parts, "fp").select("fp", F.explode(ring_keys(distance)).alias("k")).select("fp", "k.*")
     keys = stored(keys, "simhash-keys")
     rows, key = bounded_groups(keys, "key", "fp", BLOCK)
 
