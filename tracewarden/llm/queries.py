@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bit_sliced, html_consensus, license_scan, line_dedup, pu_quality, sentencepiece_bpe, simhash_ring, url_filter, winnowing
+from tracewarden.llm import bit_sliced, html_consensus, license_scan, line_dedup, pu_quality, sentencepiece_bpe, simhash_ring, source_mixing, url_filter, winnowing
 from tracewarden.llm.common import read
 from tracewarden.llm.licence_texts import TEXTS
 
@@ -118,6 +118,21 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", pu_quality.held_out().alias("held_out"), "score", "predicted")
 
 
+#: Target shares of tokens by language.
+MIXTURE = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+@query("op5_source_mixing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of every document so that the expected tokens of the languages reach their shares."""
+    rated, names = source_mixing.rates(read(spark, folder, "documents"), read(spark, folder, "labels"), "lang", MIXTURE)
+    best = F.array_max(F.transform("p", lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
+    name = F.array(*map(F.lit, names))[-best["i"]] if names else F.lit(None).cast("string")
+    return rated.select(
+        "doc_id", F.col("tokens").alias("n_tokens"), name.alias("domain"), best["p"].alias("posterior"), "rate", source_mixing.copies(F.col("rate")).alias("copies")
+    )
+
+
 def _templates_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     return ", ".join(f"({i}, {quote(t.licence)}, {quote(t.form)}, {quote(t.text)})" for i, t in enumerate(sorted(TEXTS, key=lambda t: (t.licence, t.form))))

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tracewarden.llm.common import text_or_empty, worker_cache
 
@@ -262,7 +263,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s, 256), ids, pa.array(plain, pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("ids", "array<int>").add("decoded", "string"))
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("ids", ArrayType(IntegerType())).add("decoded", "string"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tracewarden.llm import features
 from tracewarden.llm.common import chunks, fresh, stored, text_or_empty, words
@@ -44,10 +45,10 @@ class DomainModel:
     bias: np.ndarray
 
 
-def train(labelled: DataFrame, domain: str, rows: int = FIT_ROWS, steps: int = 200, rate: float = 0.05, decay: float = 1e-4) -> DomainModel | None:
-    """Classifier of the domain column from the texts of at most `rows` labelled ids."""
-    known = labelled.where(F.col(domain).isNotNull()).select("doc_id", "text", F.col(domain).cast("string").alias("domain"))
-    sample = sample_vectors(known, sample_ids(known, rows), rows, keep="domain")
+def train(docs: DataFrame, labels: DataFrame, domain: str, rows: int = FIT_ROWS, steps: int = 200, rate: float = 0.05, decay: float = 1e-4) -> DomainModel | None:
+    """Classifier of the domain column of the documents from at most `rows` that the table of labels has."""
+    known = docs.where(F.col(domain).isNotNull()).select("doc_id", "text", F.col(domain).cast("string").alias("domain"))
+    sample = sample_vectors(known, sample_ids(labels, rows), rows, keep="domain")
     if not sample:
         return None
     names = sorted({r["domain"] for r in sample})
@@ -88,7 +89,7 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n), p], ["doc_id", "th", "tokens", "p"])
 
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
-    return rows.mapInArrow(run, rows.select("doc_id", "th").schema.add("tokens", "long").add("p", "array<double>"))
+    return rows.mapInArrow(run, rows.select("doc_id", "th").schema.add("tokens", "long").add("p", ArrayType(DoubleType())))
 
 
 def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
@@ -123,9 +124,9 @@ def fit(table: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, tolerance:
     return steps, error
 
 
-def rates(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, float]) -> tuple[DataFrame, list[str]]:
+def rates(docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float]) -> tuple[DataFrame, list[str]]:
     """doc_id, th, tokens, p, rate of every row, and the domains that p lists."""
-    model = train(labelled, domain)
+    model = train(docs, labels, domain)
     if model is None:
         rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), F.size(F.split(F.trim(text_or_empty()), r"\s+")).cast("long").alias("tokens"))
         return rows.withColumns({"p": F.array().cast("array<double>"), "rate": F.lit(1.0)}), []
@@ -141,10 +142,10 @@ def copies(rate: Column, doc_id: str = "doc_id", th: str = "th") -> Column:
     return F.floor(rate + even).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, float]) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float]) -> DataFrame:
     """The documents with their own columns, each as often as its rate says."""
     none, first, th, n = fresh(docs, "_none", "_first", "_th", "_n")
-    rated, _ = rates(docs, labelled, domain, targets)
+    rated, _ = rates(docs, labels, domain, targets)
     times = rated.select(F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0)).alias(first), F.col("th").alias(th), copies(F.col("rate")).alias(n)).distinct()
     tagged = docs.withColumns({none: F.col("doc_id").isNull(), first: F.coalesce("doc_id", F.lit(0)), th: F.xxhash64(text_or_empty())})
     rows = tagged.join(times.where(F.col(n) > 0), [none, first, th])
