@@ -33,7 +33,9 @@ BUCKETS = 1 << 16
 #: Lines of one prefix word that one task takes at a time.
 BLOCK = 1 << 15
 #: Runs longer than this go to verification whole, without a look at the masks.
-LONG_RUN = 512
+LONG_RUN = 4096
+#: Bits of a sort key that hold the line within a chunk; word keys have the other 50.
+LINE_BITS = 14
 
 
 def tokenised(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,17 +74,23 @@ def rarity(counts: np.ndarray) -> np.ndarray:
 
 
 def ranked(h: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Word keys whose order is that of rarity; different hashes give different keys."""
+    """Word keys of 50 bits whose order is that of rarity: the bucket's place and more of the hash."""
     low = h & np.uint64(BUCKETS - 1)
-    return (place[low] << np.uint64(48)) | (h >> np.uint64(16))
+    return (place[low] << np.uint64(34)) | (h >> np.uint64(30))
 
 
 def line_sets(data: np.ndarray, off: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct word keys by (line, rarity); borders of each line with words; that line; first lines of rows."""
     h, line, first = tokenised(data, off)
     key = ranked(h, place)
-    order = np.lexsort((key, line))
-    key, line = key[order], line[order]
+    step = np.append(True, line[1:] != line[:-1])[: len(line)]  # words come line by line
+    named, dense = line[step], np.cumsum(step) - 1
+    if len(named) <= 1 << LINE_BITS:  # one sort of one number
+        both = np.sort((dense.astype(np.uint64) << np.uint64(64 - LINE_BITS)) | key)
+        line, key = named[(both >> np.uint64(64 - LINE_BITS)).astype(np.int64)], both & np.uint64((1 << (64 - LINE_BITS)) - 1)
+    else:
+        order = np.lexsort((key, line))
+        key, line = key[order], line[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
     key, line = key[new], line[new]
@@ -211,7 +219,8 @@ def _paired(word: np.ndarray, ident: np.ndarray, mask: np.ndarray, meta: np.ndar
         left = left[word[left] == word[left + d]]
         if not len(left):
             break
-        a, b = left, left + d
+        a = left[~(hit[left] & hit[left + d])]
+        b = a + d
         need = allowed(n[a], n[b], threshold)
         ok = (np.minimum(n[a], n[b]) >= need) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b]) >= need)
         ok &= np.bitwise_count(mask[a] ^ mask[b]) <= n[a] + n[b] - 2 * need
