@@ -31,9 +31,10 @@ from pyspark.sql.types import ArrayType, IntegerType
 from tracewarden.llm.common import text_or_empty, worker_cache
 
 MARK = "▁"
-#: Words, and pairs of pieces, whose result a worker remembers before it starts afresh.
-WORDS_KEPT = 500_000
-PAIRS_KEPT = 1_000_000
+#: Words whose result a worker remembers before it takes these for old ones and forgets the old ones
+#: before them, and pairs of pieces remembered before it starts afresh.
+WORDS_KEPT = 120_000
+PAIRS_KEPT = 300_000
 
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
@@ -76,6 +77,7 @@ class Encoder:
         self.fits: dict[tuple[str, str], bool] = {}
         self.packed: dict[str, bytes] = {}
         self.plain: dict[str, str] = {}
+        self.old: tuple[dict[str, bytes], dict[str, str]] = {}, {}
 
     def merged(self, text: str) -> list[str]:
         """The characters of a short text merged by rank, leftmost first."""
@@ -163,14 +165,18 @@ class Encoder:
         return first, out
 
     def learn(self, word: str) -> tuple[bytes, str]:
-        """Ids as bytes, and the text they decode to inside a longer text."""
-        ids = self.encode_word(word)
-        packed, plain = array("I", ids).tobytes(), self.decode(ids, inside=True)
+        """Ids as bytes, and the text they decode to inside a longer text, of a mark and a word."""
+        packed = self.old[0].get(word)
+        if packed is not None:
+            plain = self.old[1][word]
+        else:
+            ids = self.encode_word(MARK + word)
+            packed, plain = array("I", ids).tobytes(), self.decode(ids, inside=True)
         if len(word) <= 64:
             if len(self.packed) >= WORDS_KEPT:
-                self.packed.clear()
-                self.plain.clear()
-            self.packed[word[1:]], self.plain[word[1:]] = packed, plain
+                self.old = self.packed, self.plain
+                self.packed, self.plain = {}, {}
+            self.packed[word], self.plain[word] = packed, plain
         return packed, plain
 
     def coded(self, text: str) -> tuple[bytes, str]:
@@ -181,7 +187,7 @@ class Encoder:
         if None in packed:
             for k, w in enumerate(words):
                 if packed[k] is None:
-                    packed[k], plain[k] = self.learn(MARK + w)
+                    packed[k], plain[k] = self.learn(w)
         if first:
             ids = self.encode_word(first)
             packed.insert(0, array("I", ids).tobytes())
