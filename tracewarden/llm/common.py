@@ -16,7 +16,7 @@ from tracewarden.session import new_path
 #: Rows up to which a table of ids is sent to every executor; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that one numpy step works on.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

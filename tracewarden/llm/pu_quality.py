@@ -114,15 +114,15 @@ def score(docs: DataFrame, model: QualityModel | None, columns: list[str], thres
     if model is None:
         out = docs.select(*columns).withColumn(name, F.lit(0.5))
     else:
-        fields = docs.select(*columns).schema.add(name, "double")
+        weights, bias = model.weights, np.array([model.bias])
 
-        def run(batches):
-            for b in batches:
-                g = features.scores(b.column(b.num_columns - 1), model.weights, np.array([model.bias]))[:, 0]
-                s = pa.array(1 / (1 + np.exp(-np.clip(g, -500, 500))))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], [*columns, name])
+        # only the text goes to Python and only the score comes back
+        @F.arrow_udf("double")
+        def scored(texts: pa.Array) -> pa.Array:
+            g = features.scores(texts, weights, bias)[:, 0]
+            return pa.array(1 / (1 + np.exp(-np.clip(g, -500, 500))))
 
-        out = docs.select(*columns, text_or_empty().alias(fresh(docs, "_text")[0])).mapInArrow(run, fields)
+        out = docs.select(*columns, scored(text_or_empty()).alias(name))
     return out.withColumn(fresh(docs, "predicted")[0], (F.col(name) >= threshold).cast("int"))
 
 
