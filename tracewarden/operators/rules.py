@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden import rulesets
+from tracewarden import family_rules, rulesets
+from tracewarden.family_rules import Family
 from tracewarden.functions.scores import band, first_of, points, whole
 from tracewarden.functions.text import char_grams, java_regex, matches, required_pieces
 from tracewarden.tables import KILL_CHAIN
 
 
-
 def _sql(value) -> str:
     """A literal in SQL text."""
     if isinstance(value, str):
@@ -73,30 +73,64 @@ def learned_rule_hits(df: DataFrame, ids: Sequence[str], text: str, rules: DataF
     return found.select(*ids, "pattern", "type", "severity").join(low, list(ids)).filter(F.contains("_t", F.col("pattern"))).drop("_t")
 
 
-def family_hits(params: DataFrame, families=None) -> DataFrame:
-    """Score per parameter and family: best of severity times the name's factor; found from 50.
+def family_rule_hits(params: DataFrame, families: dict[str, Family] | None = None) -> DataFrame:
+    """One row per parameter and matched rule: the columns of ``params`` (with ``name`` and ``value``),
+    rule_id, family, category and score.
 
-    ``params`` has ``name`` and ``value``.
+    The score is the severity times the weight of the name times the share for a missing second
+    pattern. Every pattern runs once on a value, every second pattern and context once, and rules
+    that hold for certain names run only there.
+    """
+    families = family_rules.FAMILIES if families is None else families
+    rows = family_rules.rule_rows(families)
+    seconds = list(dict.fromkeys(r[5] for r in rows if r[5]))
+    name, value = F.lower("name"), F.col("_v")
+    d = params.withColumn("_v", F.trim("value")).withColumn("_l", F.lower("_v"))
+    flags = {f"_s{i}": value.rlike(java_regex(p)) for i, p in enumerate(seconds)}
+    for fam, f in families.items():
+        flags[f"_n_{fam}"] = F.coalesce(name.isin(f.names), F.lit(False)) if f.names else F.lit(True)
+        flags[f"_w_{fam}"] = F.lit(True) if not f.names else F.coalesce(name.isin(f.names), F.lit(False)) | (value.rlike(java_regex(f.context)) if f.context else F.lit(False))
+    d = d.withColumns(flags)
+    cases = []
+    for rule_id, fam, category, pattern, severity, also, gated in rows:
+        f = families[fam]
+        score = f"{severity} * if(_w_{fam}, 1.0D, {f.other}D)" + (f" * if(_s{seconds.index(also)}, 1.0D, {f.short}D)" if also else "")
+        cond = f"_v rlike {_sql(java_regex(pattern))}"
+        if pieces := required_pieces(pattern):
+            cond = "(" + " or ".join(f"contains(_l, {_sql(p)})" for p in pieces) + f") and {cond}"
+        if gated:
+            cond = f"_n_{fam} and {cond}"
+        if also and not f.short:
+            cond = f"_s{seconds.index(also)} and {cond}"
+        cases.append(f"case when {cond} then named_struct('rule_id', {_sql(rule_id)}, 'family', {_sql(fam)}, 'category', {_sql(category)}, 'score', cast(floor({score}) as int)) end")
+    d = d.withColumn("_h", F.expr(f"filter(array({', '.join(cases)}), h -> h is not null and h.score > 0)")).drop("_v", "_l", *flags)
+    # an outer explode: for a plain one Spark would put the whole expression into a filter once more
+    return d.select(*params.columns, F.explode_outer("_h").alias("_h")).filter(F.col("_h").isNotNull()).select(*params.columns, "_h.*")
+
+
+def family_hits(params: DataFrame, families: dict[str, Family] | None = None) -> DataFrame:
+    """Best score per parameter row and family, and whether it is found (from 50).
+
+    Equal parameter rows are one; give them an id to keep them apart.
     """
-    families = rulesets.FAMILIES if families is None else families
-    name = F.lower("name")
-    rows = [(p, (fam, named, other), also) for fam, p, also, named, other in rulesets.family_rows(families)]
-    named_in = F.filter(F.array(*[F.when(name.isin(names), F.lit(fam)) for fam, (_, names, _, _) in families.items() if names]), lambda f: f.isNotNull())
-    d = params.withColumn("_v", F.trim("value")).withColumn("_l", F.lower("value")).withColumn("_n", named_in)
-    d = d.withColumn("_h", hits("_v", "_l", rows, ["family", "named", "other"])).drop("_v", "_l")
-    scored = F.transform("_h", lambda h: F.struct(
-        h["family"].alias("family"), F.when(F.array_contains("_n", h["family"]), h["named"]).otherwise(h["other"]).alias("score")))
-    d = d.withColumn("_h", scored).drop("_n")
-    best = F.transform(F.array_distinct("_h.family"), lambda f: F.struct(
-        f.alias("family"), F.array_max(F.transform(F.filter("_h", lambda h: h["family"] == f), lambda h: h["score"])).alias("score")))
-    d = d.withColumn("_f", F.explode(best)).drop("_h").filter(F.col("_f.score") > 0)
-    return d.withColumn("family", F.col("_f.family")).withColumn("score", F.col("_f.score")).withColumn("detected", F.col("score") >= 50).drop("_f")
-
-
-def id_name_hits(params: DataFrame) -> DataFrame:
-    """Parameters whose name carries an object id, with the worst severity of the name."""
-    score = F.greatest(F.lit(0), *[F.when(F.col("name").rlike(p), s).otherwise(0) for p, s in rulesets.ID_NAMES])
-    return params.withColumn("score", score).filter(F.col("score") > 0)
+    best = family_rule_hits(params, families).groupBy(*params.columns, "family").agg(F.max("score").alias("score"))
+    return best.withColumn("detected", F.col("score") >= 50)
+
+
+def id_hits(params: DataFrame) -> DataFrame:
+    """Parameters that carry object ids: ``params`` has ``name``, ``value`` and ``path``.
+
+    The first name rule that fits gives the score, an odd value may raise it, and a sensitive path
+    counts 1.3 times. Names of many ids count by themselves.
+    """
+    name, value, path = F.col("name"), F.trim("value"), F.lower("path")
+    one = first_of([(name.rlike(p), F.lit(s)) for p, s in family_rules.ID_NAMES], F.lit(0))
+    many = F.greatest(*[F.when(name.rlike(p) & value.contains(","), s).otherwise(0) for p, s in family_rules.BATCH_NAMES])
+    odd = F.greatest(*[F.when(value.rlike(p), s).otherwise(0) for _, p, s in family_rules.ID_VALUES])
+    base = F.when(one > 0, F.greatest(one, odd)).otherwise(0)
+    near = F.exists(F.array(*map(F.lit, family_rules.SENSITIVE_PATHS)), lambda x: (path == x) | path.startswith(F.concat(x, F.lit("/"))))
+    score = F.greatest(F.when(F.coalesce(near, F.lit(False)), F.least(F.lit(100), F.floor(base * 1.3))).otherwise(base), many).cast("int")
+    return params.withColumn("score", score).filter(F.col("score") > 0).withColumn("detected", F.col("score") >= 50)
 
 
 def detection_score(found: DataFrame, ids: Sequence[str], weights: dict[str, float] | None = None, depth: DataFrame | None = None,
@@ -207,10 +241,21 @@ def content_scan(df: DataFrame, ids: Sequence[str], text: str, signatures=None,
 
 
 def hit_lines(df: DataFrame, ids: Sequence[str], text: str, rules=None) -> DataFrame:
-    """Where rules hit: (ids, line_no, position, rule_id), counted from 1."""
+    """Where rules hit: (ids, line_no, position, rule_id), counted from 1; every match of a line.
+
+    The matches of a rule follow one another from the left. A match's position is the length of
+    what stands before it: the pieces between matches and the matches so far.
+    """
     rules = rulesets.detection_rules() if rules is None else rules
     lines = df.select(*ids, F.posexplode(F.split(F.lower(text), "\n")).alias("pos", "line"))
-    at = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.regexp_instr("line", F.lit(java_regex(r[0]))).alias("position"))
-                   for i, r in enumerate(rules)])
-    return lines.select(*ids, (F.col("pos") + 1).alias("line_no"), F.explode(F.filter(at, lambda x: x["position"] > 0)).alias("h")).select(
-        *ids, "line_no", "h.*")
+    found = []
+    for i, r in enumerate(rules):
+        pattern = java_regex(r[0])
+        texts = F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
+        gaps = F.split("line", pattern, -1)
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all"))
+        pairs = F.zip_with(texts, F.slice(gaps, F.lit(1), F.size(texts)), lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g")))
+        places = F.aggregate(pairs, start, lambda s, p: F.struct((s["at"] + p["g"] + p["m"]).alias("at"), F.array_append(s["all"], s["at"] + p["g"]).alias("all")), lambda s: s["all"])
+        where = F.when(F.col("line").rlike(pattern), places)
+        found.append(F.transform(F.coalesce(where, F.array().cast("array<int>")), lambda x, i=i: F.struct(F.lit(i).alias("rule_id"), x.alias("position"))))
+    return lines.select(*ids, (F.col("pos") + 1).alias("line_no"), F.explode(F.concat(*found)).alias("h")).select(*ids, "line_no", "h.*")

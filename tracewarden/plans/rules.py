@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewarden import rulesets
+from tracewarden import family_rules, rulesets
 from tracewarden.operators import joins as jn
 from tracewarden.operators import learning as ln
 from tracewarden.operators import rules as rl
@@ -32,22 +32,33 @@ def _(spark, d):
 
 
 def _family_sql() -> str:
-    names = {f: "," + ",".join(n) + "," for f, (_, n, _, _) in rulesets.FAMILIES.items()}
-    rows = [(*r, names[r[0]]) for r in rulesets.family_rows()]
-    pick = "max(CASE WHEN contains(names, ',' || name || ',') THEN named ELSE other END)"
-    return f"""
-WITH r(family, pattern, also, named, other, names) AS (VALUES {values_sql(rows)}),
-p AS (SELECT page_id, 'url' AS name, trim(url) AS value FROM pages UNION ALL SELECT page_id, 'data', trim(html) FROM pages)
-SELECT page_id, name, family, {pick} AS score, {pick} >= 50 AS detected
-FROM p JOIN r ON regexp_matches(value, pattern) AND (also = '' OR regexp_matches(value, also)) GROUP BY 1, 2, 3 HAVING {pick} > 0"""
+    rows = [
+        (i, fam, c, p, sev, also, gated, "," + ",".join(f.names) + "," if f.names else "", float(f.other), float(f.short), f.context)
+        for i, fam, c, p, sev, also, gated in family_rules.rule_rows()
+        for f in [family_rules.FAMILIES[fam]]
+    ]
+    return f"""r(rule_id, family, category, pattern, severity, also, gated, names, other, short, context) AS (VALUES {values_sql(rows)}),
+p AS (SELECT page_id, 'url' AS name, trim(url) AS value FROM pages UNION ALL SELECT page_id, 'data', trim(html) FROM pages),
+m AS (SELECT page_id, name, value, r.*, names = '' OR contains(names, ',' || name || ',') AS own FROM p JOIN r ON regexp_matches(value, pattern)),
+h AS (SELECT page_id, name, rule_id, family, category, CAST(floor(severity * CASE WHEN own OR (context <> '' AND regexp_matches(value, context)) THEN 1.0::DOUBLE ELSE other END
+  * CASE WHEN also = '' OR regexp_matches(value, also) THEN 1.0::DOUBLE ELSE short END) AS INTEGER) AS score FROM m WHERE gated = 0 OR own)"""
+
 
+def _params(spark, d):
+    p = pages(spark, d).withColumn("host", F.regexp_extract("url", "://([^/?#]*)", 1))
+    return p.select("page_id", "host", F.lit("url").alias("name"), F.col("url").alias("value")).unionByName(p.select("page_id", "host", F.lit("data").alias("name"), F.col("html").alias("value")))
 
-@query("j4_family_scan", _family_sql())
+
+@query("j4_family_scan", f"WITH {_family_sql()} SELECT page_id, name, family, max(score) AS score, max(score) >= 50 AS detected FROM h WHERE score > 0 GROUP BY 1, 2, 3")
 def _(spark, d):
-    p = pages(spark, d)
-    params = p.select("page_id", F.lit("url").alias("name"), F.col("url").alias("value")).unionByName(
-        p.select("page_id", F.lit("data").alias("name"), F.col("html").alias("value")))
-    return rl.family_hits(params).select("page_id", "name", "family", "score", "detected")
+    found = rl.family_rule_hits(_params(spark, d)).groupBy("page_id", "name", "family").agg(F.max("score").alias("score"))
+    return found.withColumn("detected", F.col("score") >= 50)
+
+
+@query("j4_rules_by_host", f"""WITH {_family_sql()}
+SELECT rule_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS hits FROM h JOIN pages USING (page_id) WHERE score >= 50 GROUP BY 1, 2""")
+def _(spark, d):
+    return rl.family_rule_hits(_params(spark, d)).filter("score >= 50").groupBy("rule_id", "host").agg(F.count("*").alias("hits"))
 
 
 TOKENS_SQL = r"""tok AS (SELECT page_id, html, unnest(list_distinct(
@@ -164,8 +175,12 @@ def _(spark, d):
 
 
 @query("a33_hit_lines", f"""
-WITH {DOC_SQL}, l AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
-SELECT doc_id, line_no, rule_id, strpos(line, regexp_extract(line, pattern)) AS position FROM l JOIN rules ON regexp_matches(line, pattern)""")
+WITH RECURSIVE {DOC_SQL}, l AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+m AS (SELECT doc_id, line_no, rule_id, pattern, line AS rest, 0::BIGINT AS done, regexp_extract(line, pattern) AS hit FROM l JOIN rules ON regexp_matches(line, pattern)
+  UNION ALL
+  SELECT * FROM (SELECT doc_id, line_no, rule_id, pattern, rest[strpos(rest, hit) + length(hit):] AS rest, done + strpos(rest, hit) + length(hit) - 1 AS done,
+    regexp_extract(rest[strpos(rest, hit) + length(hit):], pattern) AS hit FROM m) WHERE hit <> '')
+SELECT doc_id, line_no, rule_id, CAST(done + strpos(rest, hit) AS INTEGER) AS position FROM m""")
 def _(spark, d):
     return rl.hit_lines(documents(spark, d), ["doc_id"], "text", DOC_RULES)
 
