@@ -240,6 +240,11 @@ def content_scan(df: DataFrame, ids: Sequence[str], text: str, signatures=None,
         .withColumn("band", band(F.col("score"), CONTENT_BANDS, "clean"))
 
 
+def tagged(rule: Column):
+    """Function from a position to (rule, position)."""
+    return lambda x: F.struct(rule, x.alias("position"))
+
+
 def hit_lines(df: DataFrame, ids: Sequence[str], text: str, rules=None) -> DataFrame:
     """Where rules hit: (ids, line_no, position, rule_id), counted from 1; every match of a line.
 
@@ -257,5 +262,6 @@ def hit_lines(df: DataFrame, ids: Sequence[str], text: str, rules=None) -> DataF
         pairs = F.zip_with(texts, F.slice(gaps, F.lit(1), F.size(texts)), lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g")))
         places = F.aggregate(pairs, start, lambda s, p: F.struct((s["at"] + p["g"] + p["m"]).alias("at"), F.array_append(s["all"], s["at"] + p["g"]).alias("all")), lambda s: s["all"])
         where = F.when(F.col("line").rlike(pattern), places)
-        found.append(F.transform(F.coalesce(where, F.array().cast("array<int>")), lambda x, i=i: F.struct(F.lit(i).alias("rule_id"), x.alias("position"))))
+        rule = F.lit(i).alias("rule_id")
+        found.append(F.transform(F.coalesce(where, F.array().cast("array<int>")), tagged(rule)))
     return lines.select(*ids, (F.col("pos") + 1).alias("line_no"), F.explode(F.concat(*found)).alias("h")).select(*ids, "line_no", "h.*")
