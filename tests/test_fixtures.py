@@ -108,7 +108,8 @@ def test_learned_rules_equal_plain_search(spark):
 
 @pytest.mark.parametrize("raw,want,depth", [
     ("%2527%2520or", "' or", 2), ("ＳＥＬＥＣＴ", "select", 0), ("ѕеlесt", "select", 0), ("un​ion", "union", 0), ("se/**/lect", "se lect", 0),
-    ("PHNjcmlwdD5hbGVydCgxKTwvc2NyaXB0Pg==", "<script>alert(1)</script>", 1), ("100%", "100%", 0)])
+    ("PHNjcmlwdD5hbGVydCgxKTwvc2NyaXB0Pg==", "<script>alert(1)</script>", 1), ("100%", "100%", 0),
+    ("%25252525253cscript%25252525253e", "<script>", 6)])
 def test_decoding(spark, raw, want, depth):
     r = text.decode_layers(spark.createDataFrame([(raw,)], "x string"), "x").first()
     assert (r["decoded"], r["depth"]) == (want, depth)
@@ -218,3 +219,17 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     out, progress = runner.run_to_table(windows.tumbling_counts(s, "ts", [], "10 seconds", "10 seconds"), "late")
     assert {x["start_us"] // 1_000_000 for x in out.collect()} == {1000}
     assert runner.late_rows(progress) > 0
+
+
+@pytest.mark.parametrize("path,want", [("/login/a/b/c/d/e/../../../../../../blog", "/blog"), ("/a//B/./c/", "/a/b/c/"), ("/../..", "/"), ("a/b/..", "/a/"), ("", "/")])
+def test_paths_settle_at_any_depth(spark, path, want):
+    assert one(spark, path, uri.settle_path) == want
+
+
+def test_files_without_digest_are_not_new(spark):
+    from tracewarden.operators import joins
+
+    old = spark.createDataFrame([("a", "1"), ("b", None), ("c", "3"), ("d", "4")], "path string, md5 string")
+    new = spark.createDataFrame([("a", "1"), ("b", None), ("c", "x"), ("e", None)], "path string, md5 string")
+    got = {x["path"]: x["status"] for x in joins.snapshot_diff(old, new, "path", "md5").collect()}
+    assert got == {"a": "same", "b": "unverified", "c": "changed", "d": "removed", "e": "added"}

@@ -156,24 +156,34 @@ def base64_decoded(text: Column) -> Column:
     return F.when(decoded.rlike(r"^[\x20-\x7E\s]+$"), decoded).otherwise(text)
 
 
-def decode_layers(df: DataFrame, text: str, passes: int = 3) -> DataFrame:
+def unwrapped(text: Column, passes: int) -> Column:
+    """Struct (x, depth, transforms, url, base64, done): percent and base64 layers taken off until nothing changes."""
+
+    def step(s: Column, _: Column) -> Column:
+        def after(u: Column, b: Column) -> Column:
+            cu, cb = u != s["x"], b != u
+            return F.struct(
+                b.alias("x"), (s["depth"] + (cu | cb).cast("int")).alias("depth"), (s["transforms"] + cu.cast("int") + cb.cast("int")).alias("transforms"),
+                (s["url"] | cu).alias("url"), (s["base64"] | cb).alias("base64"), (~cu & ~cb).alias("done"))
+
+        # nested so that each layer is decoded once
+        one = F.transform(F.array(url_decoded(s["x"])), lambda u: F.transform(F.array(base64_decoded(u)), lambda b: after(u, b))[0])[0]
+        return F.when(s["done"] | s["x"].isNull(), s).otherwise(one)
+
+    no = F.lit(False)
+    start = F.struct(text.alias("x"), F.lit(0).alias("depth"), F.lit(0).alias("transforms"), no.alias("url"), no.alias("base64"), no.alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, step) if passes else start
+
+
+def decode_layers(df: DataFrame, text: str, passes: int = 12) -> DataFrame:
     """Adds ``decoded`` and a profile of the layers that changed the text.
 
-    ``depth`` counts the decoding passes with a change, at most ``passes``; later layers run
-    once. ``complexity`` is 8 per depth, 2 per change, 5 per kind, 10 more for base64, at
+    ``depth`` counts the decoding passes with a change. They end when a pass changes nothing;
+    ``passes`` is the limit for texts that never settle. Later layers run once. ``complexity`` is 8 per depth, 2 per change, 5 per kind, 10 more for base64, at
     most 100.
     """
-    d = df.withColumn("_x", F.col(text)).withColumn("depth", F.lit(0)).withColumn("transforms", F.lit(0))
-    for flag in ("url", "base64"):
-        d = d.withColumn(f"_{flag}", F.lit(False))
-    for _ in range(passes):
-        d = d.withColumn("_u", url_decoded(F.col("_x")))
-        d = d.withColumn("_b", base64_decoded(F.col("_u")))
-        cu, cb = F.col("_u") != F.col("_x"), F.col("_b") != F.col("_u")
-        d = d.select(
-            *df.columns, F.col("_b").alias("_x"), (F.col("depth") + (cu | cb).cast("int")).alias("depth"),
-            (F.col("transforms") + cu.cast("int") + cb.cast("int")).alias("transforms"),
-            (F.col("_url") | cu).alias("_url"), (F.col("_base64") | cb).alias("_base64"))
+    d = df.withColumn("_w", unwrapped(F.col(text), passes))
+    d = d.select(*df.columns, F.col("_w.x").alias("_x"), "_w.depth", "_w.transforms", F.col("_w.url").alias("_url"), F.col("_w.base64").alias("_base64"))
     flags = ["url", "base64"]
     for name, fn in (("fullwidth", fold_fullwidth), ("look_alike", fold_look_alikes), ("invisible", strip_invisible),
                      ("comment", strip_comments), ("space", fold_space), ("case", F.lower)):

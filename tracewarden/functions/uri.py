@@ -132,14 +132,13 @@ def is_static(path: Column, extensions=STATIC_EXTENSIONS) -> Column:
     return path.rlike(r"(?i)\.(?:" + "|".join(extensions) + r")$") & ~path.rlike(r"(?i)/[^/]*\.php(?:/|$)")
 
 
-def settle_path(path: Column, passes: int = 3) -> Column:
-    """Lower-case path with ``.``, ``..`` and doubled slashes resolved, ``passes`` levels deep."""
-    p = F.lower(path)
-    for _ in range(passes):
-        p = F.regexp_replace(p, r"(?:^|/)\.(?:/|$)", "/")
-        p = F.regexp_replace(p, r"(?:^|/)[^/]+/\.\.(?:/|$)", "/")
-        p = F.regexp_replace(p, r"/{2,}", "/")
-    return F.concat(F.lit("/"), F.regexp_replace(p, "^/+", ""))
+def settle_path(path: Column) -> Column:
+    """Lower-case path with ``.``, ``..`` and doubled slashes resolved, however deep; a last slash stays."""
+    parts = F.filter(F.split(F.lower(path), "/"), lambda x: ~x.isin("", "."))
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, x))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    end = F.when((F.size(kept) > 0) & path.rlike(r"/(?:\.{1,2})?$"), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
 
 
 def holds_word(path: Column, keywords) -> Column:

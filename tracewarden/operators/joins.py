@@ -64,10 +64,13 @@ def under_ban(df: DataFrame, key: str, t: str, tie: str, bans: DataFrame, allowe
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, path: str, digest: str) -> DataFrame:
-    """Every path of two inventories as added, removed, changed or same."""
-    a = old.select(path, F.col(digest).alias("_a"))
-    b = new.select(path, F.col(digest).alias("_b"))
-    status = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed").otherwise("same")
+    """Every path of two inventories as added, removed, changed, same, or unverified where a digest is missing."""
+    a = old.select(path, F.col(digest).alias("_a"), F.lit(True).alias("_in_a"))
+    b = new.select(path, F.col(digest).alias("_b"), F.lit(True).alias("_in_b"))
+    status = (
+        F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(F.col("_a").isNull() | F.col("_b").isNull(), "unverified")
+        .when(F.col("_a") != F.col("_b"), "changed").otherwise("same")
+    )
     return a.join(b, path, "full_outer").select(path, status.alias("status"))
 
 

@@ -30,14 +30,16 @@ def build_session(master: str, app: str = "tracewarden", partitions: int = 8) ->
 def shared_dir(spark: SparkSession) -> str:
     """Root folder for written tables, read from the session.
 
-    Only when the session names none (tests on one machine) a new temporary folder is
-    made and set as the checkpoint folder.
+    Only in a local session that names none (tests on one machine) a new temporary folder
+    is made and set as the checkpoint folder.
     """
     root = spark.conf.get(SHARED_DIR_CONF, None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {SHARED_DIR_CONF} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tracewarden-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
