@@ -36,6 +36,7 @@ BLOCK = 1 << 15
 LONG_RUN = 4096
 #: Bits of a sort key that hold the line within a chunk; word keys have the other 50.
 LINE_BITS = 14
+WIDE = ["w0", "w1", "w2", "w3"]
 
 
 def tokenised(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,6 +119,13 @@ def slices(values: np.ndarray, start: np.ndarray, size: np.ndarray, null: np.nda
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values[index].view(np.int64)), mask=None if null is None else pa.array(null))
 
 
+def wide_masks(key: np.ndarray, border: np.ndarray) -> list[np.ndarray]:
+    """Parity masks of 256 bits as four columns: for large sets 64 bits tell too little."""
+    m = mixed(key + np.uint64(0x1234567))
+    bit, part = np.uint64(1) << (m >> np.uint64(58)), (m >> np.uint64(40)) & np.uint64(3)
+    return [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), border[:-1]) if len(border) > 1 else np.zeros(0, np.uint64) for k in range(4)]
+
+
 def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
     """How many of the rarest words two similar sets can't both miss."""
     return n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
@@ -247,44 +255,46 @@ def fetched(docs: DataFrame, lines: DataFrame, place: np.ndarray, threshold: flo
                 pick = np.flatnonzero(np.isin(line, flat))
                 index = pa.array(row[pick] + at)
                 sets = slices(key, border[:-1][pick], np.diff(border)[pick])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(index), b.column("th").take(index), pa.array((line - first[row])[pick].astype(np.int32)), pa.array(ids[pick].view(np.int64)), sets], ["doc_id", "th", "line", "id", "words"])
+                wide = [pa.array(x[pick].view(np.int64)) for x in wide_masks(key, border)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(index), b.column("th").take(index), pa.array((line - first[row])[pick].astype(np.int32)), pa.array(ids[pick].view(np.int64)), sets, *wide], ["doc_id", "th", "line", "id", "words", *WIDE])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     # rows with equal doc_id and text give their lines twice
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, line int, id long, words array<long>").dropDuplicates(["id"])
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, line int, id long, words array<long>, w0 long, w1 long, w2 long, w3 long").dropDuplicates(["id"])
 
 
 def candidates(rows: DataFrame, threshold: float, most: int | None, open_: DataFrame | None) -> DataFrame:
     """(id, o, by): for each line the first earlier lines (at most `most` of a word) behind the filters.
 
-    rows: word, id, n, mask, o (order). open_: ids that still look for a match; all if not given.
+    rows: word, id, n, w0 to w3 (wide mask), o (order). open_: ids that still look for a match; all if not given.
     """
     asks = F.lit(True)
     if open_ is not None:
         rows = rows.join(open_.withColumn("asks", F.lit(True)), "id", "left")
         asks = F.coalesce("asks", F.lit(False))
-    rows, key = bounded_groups(rows.select("word", "id", "n", "mask", "o", asks.alias("asks")), "word", "id", BLOCK)
+    rows, key = bounded_groups(rows.select("word", "id", "n", *WIDE, "o", asks.alias("asks")), "word", "id", BLOCK)
 
     def run(batches):
         for table, starts in runs(batches, key):
-            ids, n, mask, asking = (table.column(c).to_numpy() for c in ("id", "n", "mask", "asks"))
-            later, earlier = _earlier(starts, n.astype(np.int64), mask.view(np.uint64), asking, threshold, most)
+            ids, n, asking, *wide = (table.column(c).to_numpy() for c in ("id", "n", "asks", *WIDE))
+            later, earlier = _earlier(starts, n.astype(np.int64), [w.view(np.uint64) for w in wide], asking, threshold, most)
             later, earlier = later[ids[later] != ids[earlier]], earlier[ids[later] != ids[earlier]]
             o = pa.concat_arrays(table.column("o").take(pa.array(earlier)).chunks) if len(earlier) else table.column("o").slice(0, 0).combine_chunks()
             o = pa.concat_arrays(o.chunks) if isinstance(o, pa.ChunkedArray) and o.num_chunks else o
             if len(later):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[later]), o, pa.array(ids[earlier])], ["id", "o", "by"])
 
-    out = rows.repartition(*key).sortWithinPartitions(*key, "o").select(*key, "id", "n", "mask", "asks", "o")
+    out = rows.repartition(*key).sortWithinPartitions(*key, "o").select(*key, "id", "n", *WIDE, "asks", "o")
     return out.mapInArrow(run, out.select("id", "o").withColumn("by", F.lit(0).cast("long")).schema)
 
 
-def _earlier(starts: np.ndarray, n: np.ndarray, mask: np.ndarray, asks: np.ndarray, threshold: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _earlier(starts: np.ndarray, n: np.ndarray, masks: list[np.ndarray], asks: np.ndarray, threshold: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(row, earlier row of its group) behind the length and mask filters, the first ones of each row."""
 
     def near(a, b):
         need = allowed(n[a], n[b], threshold)
-        return (np.minimum(n[a], n[b]) >= need) & (np.bitwise_count(mask[a] ^ mask[b]) <= n[a] + n[b] - 2 * need)
+        differ = sum(np.bitwise_count(m[a] ^ m[b]).astype(np.int16) for m in masks)
+        return (np.minimum(n[a], n[b]) >= need) & (differ <= n[a] + n[b] - 2 * need)
 
     size = np.diff(starts)
     later, earlier = [], []
@@ -327,11 +337,12 @@ def _earlier(starts: np.ndarray, n: np.ndarray, mask: np.ndarray, asks: np.ndarr
 def verified(flagged: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Ids of lines that an earlier line matches.
 
-    flagged: id, words, n, mask, o. sets: id, words. First every line is held against the earliest
+    flagged: id, words, n, o. sets: id, words, w0 to w3. First every line is held against the earliest
     line behind the filters, which settles most groups of near copies with one pair a line; lines
     without a match are held against more, and at last against all that are left.
     """
-    rows = stored(flagged.select(F.explode("words").alias("word"), "id", "n", "mask", "o"), "line-words")
+    rows = flagged.join(sets.select("id", *WIDE), "id").select(F.explode("words").alias("word"), "id", "n", *WIDE, "o")
+    rows = stored(rows, "line-words")
     whole = sets.select("id", F.col("words").alias("set"))
     other = whole.select(F.col("id").alias("by"), F.col("set").alias("with"))
     open_, done = None, None
@@ -360,8 +371,8 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     flags = stored(suspects(table, threshold), "lines-suspect")
     count = flags.count()
     first = table.groupBy("id").agg(F.min(order).alias("o"))
-    own = join_ids(table.select("id", "n", "mask", order.alias("o")), flags, ["id"], "inner", count)
-    flagged = stored(own.groupBy("id").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("mask").alias("mask"), F.first("words").alias("words")), "lines-flagged")
+    own = join_ids(table.select("id", "n", order.alias("o")), flags, ["id"], "inner", count)
+    flagged = stored(own.groupBy("id").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("words").alias("words")), "lines-flagged")
     sets = stored(fetched(docs, flagged.select("id", "o.*").drop("none"), place, threshold), "line-sets")
     similar = verified(flagged, sets, threshold).withColumn("similar", F.lit(True))
     known = join_ids(first, similar, ["id"], "left")
