@@ -18,6 +18,7 @@ def test_risk_is_not_negative_and_separates():
     rng = np.random.default_rng(2)
     good, bad = rng.normal(0, 1, (600, features.SIZE)), rng.normal(0, 1, (200, features.SIZE))
     bad[:, :5] += 4
+    good[:, 20:] = bad[:, 20:] = 0  # far fewer features than rows
     unlabelled = np.vstack([good[300:], bad[:100]]).astype(np.float32)
     m = pu_quality.fit(good[:300].astype(np.float32), unlabelled, 0.75)
     hold = lambda x: (x @ m.weights + m.bias)
