@@ -101,7 +101,7 @@ def worker_cache(name: str) -> dict:
 
 def powers(base: int, n: int) -> np.ndarray:
     known = worker_cache("powers")
-    if len(known.get(base, ())) < n:
+    if base not in known or len(known[base]) < n:
         known[base] = _powers(base, max(2 * n, 1 << 16))
     return known[base][:n]
 
