@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError(f"set {SHARED_DIR_CONF} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tracewarden-")
         spark.sparkContext.setCheckpointDir(root)
