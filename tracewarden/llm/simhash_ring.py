@@ -176,7 +176,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 
 def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """One document of each group: the smallest doc_id (null ids last), its own columns only."""
-    rows = group(docs, words, distance)
+    return first_of_groups(docs, group(docs, words, distance))
+
+
+def first_of_groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The first document of each label of the rows (doc_id, th, label)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
     keep = rows.groupBy("label").agg(F.min(order).alias("k"))
     none, first, th = fresh(docs, "_none", "_first", "_th")
