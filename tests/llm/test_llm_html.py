@@ -46,3 +46,16 @@ def test_given_pages(spark):
         article = re.search(r"<article>(.*?)</article>", source[r["page_id"]], re.S)[1]
         parts = re.sub(r"<[^>]*>", " ", re.sub(r"</?(p|h1)>", "\0", article)).split("\0")
         assert r["text"] == "\n\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "with-sidebar", "content no-sidebar", "has-header", "elementor-widget-container", "header", "widget-area"])
+def test_wrappers_are_kept(name):
+    page = f'<body><div class="{name}"><p>{"word " * 40}</div><div class="site-footer"><p>of the foot</div><div id=main-nav><p>menu</div><ul class=menu><li>entry</ul>'
+    assert H.main_text(page, []) == ("word " * 40).strip()
+
+
+def test_headline_and_lead_stay():
+    lead, body = "A lead of some more words.", "word " * 60
+    page = f"<body><article><h1>Head</h1><div class=lead><p>{lead}</div><div class=body><p>{body}</div></article><div class=related><p>{lead}</div></body>"
+    assert H.vote(page)[0] == "body/article"
+    assert H.main_text(page, []) == f"Head\n\n{lead}\n\n{body.strip()}"

@@ -1,13 +1,14 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
 Each page is read once as a list of open and close tags. Its containers are scored by the running
-text they hold, links counting little; the deepest container that still holds most of it gets the
-page's vote. Votes are counted per host and generalised path (tags with classes and ids, digits
+text they hold, links counting little; the deepest container that still holds most of it, widened
+as long as its parent adds headings or running text, gets the page's vote. Votes are counted per host and generalised path (tags with classes and ids, digits
 folded), and each page is then read again with its host's winning paths, best first. A page that
 has none of them, or no text there, is read by its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and the like are left
-out by tag, role, class and id. Character references are decoded, white space inside a block
+out by tag, role, class and id; a class or id counts by its whole tokens, and not on a container that
+holds most of the page's running text. Character references are decoded, white space inside a block
 becomes one space, blocks are joined in page order by a blank line; nothing else is dropped.
 
 Nulls: null html is an empty page with empty text; a null url belongs to the host "". Repeated rows
@@ -43,11 +44,17 @@ _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i
 _TEXT = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table thead tbody tfoot tr td th caption figure figcaption hr address details summary".split())
 _DROPPED = set("head nav header footer aside form script style noscript template iframe button select option svg math canvas object audio video dialog menu textarea title input datalist map".split())
 _ROLES = set("navigation banner contentinfo complementary search menu menubar dialog alertdialog form toolbar".split())
-_CLUTTER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|aside|cookie\w*|consent|gdpr|notices?|notification|alert|popup|modal|overlay|"
-    r"comments?|respond|disqus|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login|search|widget\w*|pagination|pager|skip|toolbar|hidden|sr-only)(?=$|[\s_\d-])",
-    re.I,
+#: Parts of a class or id that name clutter, and such as only say where it stands.
+_CLUTTER_PART = (
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|aside|cookie\w*|consent|gdpr|notices?|notification|alert|popup|modal|overlay|"
+    r"comments?|respond|disqus|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login|search|widget\w*|pagination|pager|skip|toolbar|hidden|sr-only)\d*"
 )
+_PLACE_PART = r"(?:site|main|page|top|bottom|left|right|upper|lower|primary|secondary|global|mobile|desktop|post|posts|article|wp|block|box|bar|area|list|item|items|links?|wrap|wrapper|inner|section|form|buttons?|icons?|text|\d+)"
+#: A whole token of a class or id: such parts only, one of them clutter.
+_CLUTTER = re.compile(rf"(?:{_PLACE_PART}[_-]+)*{_CLUTTER_PART}(?:[_-]+(?:{_CLUTTER_PART}|{_PLACE_PART}))*[_-]*", re.I)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Words of a block from which on it counts as running text beside a container.
+RUNNING = 5
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: Elements that an implied end does not pass.
 _FENCE = {"table", "ul", "ol", "dl", "div", "section", "article", "main", "body"}
@@ -55,10 +62,12 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("parent", "tag", "name", "dropped", "link", "weight")
+    __slots__ = ("parent", "tag", "name", "dropped", "link", "weight", "marks")
 
-    def __init__(self, parent: "Node | None", tag: str, name: str, dropped: bool):
+    def __init__(self, parent: "Node | None", tag: str, name: str, dropped: bool, marked: bool = False):
         self.parent, self.tag, self.name, self.dropped = parent, tag, name, dropped
+        #: the elements around and including this one whose class or id names clutter
+        self.marks = (() if parent is None else parent.marks) + ((self,) if marked else ())
         self.link = tag == "a" or (parent is not None and parent.link)
         self.weight = 0.0
 
@@ -76,14 +85,41 @@ def _node(parent: Node, tag: str, raw: str) -> Node:
     attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
     cls, ident = attrs.get("class", ""), attrs.get("id", "")
     dropped = parent.dropped or tag in _DROPPED or attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+    marked = False
     if not dropped and tag not in ("html", "body"):
-        dropped = bool(_CLUTTER.search(cls) or _CLUTTER.search(ident)) or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None
+        marked = any(_CLUTTER.fullmatch(x) for x in (*cls.split(), *ident.split()))
+        dropped = (marked and tag in _INLINE) or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None
     name = tag + "".join(f".{_DIGITS.sub('0', c)}" for c in sorted(set(cls.split()))) + (f"#{_DIGITS.sub('0', ident)}" if ident else "")
-    return Node(parent, tag, name, dropped)
+    return Node(parent, tag, name, dropped, marked and not dropped)
 
 
-def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
-    """(innermost element, text, characters in links) of each block outside the clutter."""
+def blocks(page: str) -> list[tuple[Node, str, int, bool]]:
+    """(container, text, characters in links, whether in a heading) of each block outside the clutter."""
+    found = list(_blocks(page))
+    total, marked = 0.0, {}
+    for node, text, linked in found:
+        w = _running(text, linked)
+        total += w
+        for x in node.marks:
+            marked[x] = marked.get(x, 0.0) + w
+    clutter = {x for x, w in marked.items() if w < MOST * total}
+    return [(_container(node), text, linked, _heading(node)) for node, text, linked in found if clutter.isdisjoint(node.marks)]
+
+
+def _running(text: str, linked: int) -> float:
+    return max(0.0, len(text) - 1.5 * linked) + 0.01
+
+
+def _heading(node: Node) -> bool:
+    while node.parent is not None and (node.tag in _INLINE or node.tag in _TEXT):
+        if node.tag in _HEADINGS:
+            return True
+        node = node.parent
+    return False
+
+
+def _blocks(page: str) -> Iterator[tuple[Node, str, int]]:
+    """(innermost element, text, characters in links) of each block that no tag, role or style drops."""
     root = Node(None, "", "", False)
     stack, parts, linked = [root], [], 0
     at, n = 0, len(page)
@@ -116,7 +152,7 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
             elif parts:
                 joined = " ".join("".join(parts).split())
                 if joined:
-                    yield _container(stack[-1]), joined, linked
+                    yield stack[-1], joined, linked
                 parts, linked = [], 0
         if m[1]:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
@@ -144,7 +180,7 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
             stack.append(_node(stack[-1], tag, m[3].strip()))
     joined = " ".join("".join(parts).split())
     if joined:
-        yield _container(stack[-1]), joined, linked
+        yield stack[-1], joined, linked
 
 
 def _container(node: Node) -> Node:
@@ -153,17 +189,17 @@ def _container(node: Node) -> Node:
     return node
 
 
-def best_container(found: list[tuple[Node, str, int]]) -> Node | None:
-    """The deepest container that holds most of the page's running text."""
+def best_container(found: list[tuple[Node, str, int, bool]]) -> Node | None:
+    """The deepest container that holds most of the page's running text, and what stands around it."""
     total = 0.0
-    for node, text, linked in found:
-        w = max(0.0, len(text) - 1.5 * linked) + 0.01
+    for node, text, linked, _ in found:
+        w = _running(text, linked)
         total += w
         while node is not None:
             node.weight += w
             node = node.parent
     best, depth = None, -1
-    for node, _, _ in found:
+    for node, *_ in found:
         while node is not None and node.weight < MOST * total:
             node = node.parent
         d, at = 0, node
@@ -171,22 +207,36 @@ def best_container(found: list[tuple[Node, str, int]]) -> Node | None:
             d, at = d + 1, at.parent
         if d > depth:
             best, depth = node, d
+    # up to the nearest container around it that adds a heading or running text, and on from there
+    inside = {id(best)}
+    at = best
+    while at is not None and at.parent is not None:
+        at = at.parent
+        inside.add(id(at))
+    wide = [(node, text) for node, text, linked, heading in found if heading or (len(text.split()) >= RUNNING and 2 * linked < len(text))]
+    for node, _ in wide:
+        up, chain = node, []
+        while up is not None:
+            chain.append(up)
+            up = up.parent
+        if not any(x is best for x in chain):
+            best = next(x for x in chain if id(x) in inside)
     return best
 
 
 def vote(page: str) -> tuple[str, float] | None:
     """Path and weight of a page's best container."""
-    node = best_container(list(blocks(page)))
+    node = best_container(blocks(page))
     return None if node is None else (node.path(), node.weight)
 
 
 def main_text(page: str, paths: list[str]) -> str:
     """Text under the first of the given paths that the page has, else under its own best container."""
-    found = list(blocks(page))
+    found = blocks(page)
     if not found:
         return ""
     lines: dict[int, list[Node]] = {}
-    for k, (node, _, _) in enumerate(found):
+    for k, (node, *_) in enumerate(found):
         lines[k] = []
         while node is not None:
             lines[k].append(node)
@@ -197,11 +247,11 @@ def main_text(page: str, paths: list[str]) -> str:
             if id(node) not in named:
                 named[id(node)] = node.path()
     for path in paths:
-        kept = [text for k, (_, text, _) in enumerate(found) if any(named[id(x)] == path for x in lines[k])]
+        kept = [text for k, (_, text, *_) in enumerate(found) if any(named[id(x)] == path for x in lines[k])]
         if kept:
             return "\n\n".join(kept)
     best = best_container(found)
-    return "\n\n".join(text for k, (_, text, _) in enumerate(found) if any(x is best for x in lines[k]))
+    return "\n\n".join(text for k, (_, text, *_) in enumerate(found) if any(x is best for x in lines[k]))
 
 
 def host(url: Column) -> Column:
