@@ -149,6 +149,15 @@ def test_value_type(spark, value, kind):
     assert one(spark, value, params.value_type) == kind
 
 
+def test_json_params_at_any_depth(spark):
+    deep = "1"
+    for _ in range(12):
+        deep = '{"n":' + deep + "}"
+    for doc, want in [('{"a":{"b":{"c":{"d":1}}}}', {("a.b.c.d", "1")}), ('[[[[{"x":[2,{"y":3}]}]]]]', {("0.0.0.0.x.0", "2"), ("0.0.0.0.x.1.y", "3")}), (deep, {(".".join("n" * 12), "1")}),
+                      ('{"a":{"b":{"c":{"d":"{bad"}}}}', {("a.b.c.d", "{bad")}), ('{"a":null}', {("a", None)}), (None, set()), ("", set())]:
+        assert {(p["name"], p["value"]) for p in one(spark, doc, params.json_params)} == want, doc
+
+
 def test_json_params_are_flattened(spark):
     doc = json.dumps({"a": 1, "b": {"c": "x", "d": {"e": True}}, "f": [1, {"g": 2}]})
     got = {(p["name"], p["value"]) for p in one(spark, doc, params.json_params)}

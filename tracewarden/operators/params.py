@@ -12,8 +12,8 @@ from tracewarden.functions.uri import query_pairs
 PAIR = "array<struct<name:string,value:string>>"
 
 
-def json_params(doc: Column, depth: int = 3) -> Column:
-    """(name, value) pairs of a JSON object, nested names joined by dots, ``depth`` levels deep."""
+def json_params(doc: Column) -> Column:
+    """(name, value) pairs of a JSON object, nested names joined by dots, at any depth."""
 
     def entries(text: Column) -> Column:
         obj = F.transform(F.map_entries(F.from_json(text, "map<string,string>")),
@@ -22,12 +22,20 @@ def json_params(doc: Column, depth: int = 3) -> Column:
         return F.when(text.startswith("{"), obj).when(text.startswith("["), arr)
 
     out = F.coalesce(entries(F.trim(doc)), F.array().cast(PAIR))
-    for _ in range(depth - 1):
-        out = F.flatten(F.transform(out, lambda p: F.coalesce(
+
+    def deeper(pairs: Column) -> Column:
+        return F.flatten(F.transform(pairs, lambda p: F.coalesce(
             F.transform(entries(p["value"]), lambda q: F.struct(
                 F.concat_ws(".", p["name"], q["name"]).alias("name"), q["value"].alias("value"))),
-            F.array(p))))
-    return out
+            F.array(p)))).cast(PAIR)
+
+    def nested(pairs: Column) -> Column:
+        return F.exists(pairs, lambda p: F.coalesce(p["value"].startswith("{") | p["value"].startswith("["), F.lit(False)))
+
+    # each level takes a bracket of the text, escaped ones included; nothing happens once no value is nested
+    levels = F.coalesce(F.regexp_count(doc, F.lit(r"[{\[]|u00")), F.lit(0))
+    steps = F.when(nested(out), F.sequence(F.lit(1), F.greatest(levels, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, out.cast(PAIR), lambda pairs, _: F.when(nested(pairs), deeper(pairs)).otherwise(pairs))
 
 
 def explode_params(df: DataFrame, id_cols, sources: dict[str, Column]) -> DataFrame:
