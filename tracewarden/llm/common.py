@@ -33,6 +33,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_by(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Like `stored`, with a folder for each value of the column."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    schema = df.schema
+    df.write.partitionBy(column).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of stored tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for root in {f"{f.rsplit('/tracewarden/', 1)[0]}/tracewarden/{f.rsplit('/tracewarden/', 1)[1].split('/')[0]}" for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def join_ids(big: DataFrame, ids: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
     """Join with a table of ids: broadcast if it was counted and is small, else by shuffle."""
     rows = ids.count() if rows is None else rows

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bit_sliced, html_consensus, license_scan, line_dedup, pu_quality, sentencepiece_bpe, simhash_ring, source_mixing, url_filter, winnowing
+from tracewarden.llm import bit_sliced, html_consensus, license_scan, line_dedup, pu_quality, sentencepiece_bpe, simhash_ring, source_mixing, url_filter, vector_codes, winnowing
 from tracewarden.llm.common import read
 from tracewarden.llm.licence_texts import TEXTS
 
@@ -199,3 +199,40 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_ring.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+def _lloyd_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """Lloyd rounds over vectors of one length as a chain of common table expressions."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS MATERIALIZED (
+  SELECT p.row, p.pos, b.entry, sum((p.x - b.c) * (p.x - b.c)) AS distance FROM p JOIN b{k} b ON p.pos = b.pos AND p.i = b.i GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT row, pos, entry, distance FROM d{k} QUALIFY row_number() OVER (PARTITION BY row, pos ORDER BY distance, entry) = 1)""")
+        if k < rounds:
+            steps.append(f"""
+s{k} AS (SELECT p.pos, a.entry, p.i, sum(p.x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM p JOIN a{k} a ON p.row = a.row AND p.pos = a.pos GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (
+  SELECT b.pos, b.entry, b.i, coalesce((s.s - ((s.s % s.n) + s.n) % s.n) // s.n, b.c)::BIGINT AS c FROM b{k} b LEFT JOIN s{k} s ON b.pos = s.pos AND b.entry = s.entry AND b.i = s.i)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+w AS (SELECT row, len(q) AS dim, unnest(q) AS x, generate_subscripts(q, 1) - 1 AS j FROM v),
+p AS MATERIALIZED (SELECT row, j // (dim // {parts}) AS pos, j % (dim // {parts}) AS i, x FROM w),
+f AS (SELECT row, row_number() OVER (ORDER BY vec_id, q) - 1 AS entry FROM v QUALIFY entry < {entries}),
+b0 AS MATERIALIZED (SELECT p.pos, f.entry, p.i, p.x AS c FROM p JOIN f ON p.row = f.row),
+{",".join(steps)},
+c AS (
+  SELECT row, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY pos) AS code, sum(distance)::BIGINT AS error FROM a{rounds} GROUP BY row)
+SELECT v.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY v.label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY pos, entry, i)) FROM b{rounds}) AS codebooks_sha256
+FROM v JOIN c ON v.row = c.row
+"""
+
+
+@query("op13_vector_codes", _lloyd_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Code of every vector, its error and the error of all vectors with its label."""
+    rows = vector_codes.with_label_errors(vector_codes.coded(read(spark, folder, "embeddings")))
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
