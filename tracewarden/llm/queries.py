@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bit_sliced, html_consensus, license_scan, line_dedup, pu_quality, sentencepiece_bpe, simhash_ring, source_mixing, url_filter, vector_codes, winnowing
+from tracewarden.llm import bit_sliced, html_consensus, license_scan, line_dedup, phrases, pu_quality, sentencepiece_bpe, simhash_ring, source_mixing, url_filter, vector_codes, winnowing
 from tracewarden.llm.common import read
 from tracewarden.llm.licence_texts import TEXTS
 
@@ -201,6 +201,36 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_ring.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, unnest(list_transform(range(1, least(5, len(w) - i + 1) + 1), lambda m: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM s),
+f AS MATERIALIZED (SELECT lang, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE contains(phrase, ' ')),
+k AS (SELECT lang, phrase, w, a, unnest(range(1, len(w))) AS k FROM c),
+q AS (
+  SELECT k.lang, k.phrase, k.w, k.a, k.k, x.a AS l, y.a AS r, t.n::BIGINT AS n, ((1000::HUGEINT * k.a * t.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM k JOIN f x ON k.lang = x.lang AND array_to_string(k.w[1:k.k], ' ') = x.phrase
+  JOIN f y ON k.lang = y.lang AND array_to_string(k.w[k.k + 1:], ' ') = y.phrase JOIN t ON k.lang = t.lang),
+b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS held
+  FROM (SELECT lang, w, a, i, unnest(range(2, least(len(w) - 1, len(w) - i + 1) + 1)) AS m FROM (SELECT lang, w, a, unnest(range(1, len(w) + 1)) AS i FROM c)) GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN h ON b.lang = h.lang AND b.phrase = h.phrase WHERE h.held IS NULL OR 100 * h.held < 100 * b.a) WHERE rank <= 2000
+"""
+
+
+@query("op12_phrases", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The phrases of each language that hold together best."""
+    return phrases.collocations(read(spark, folder, "documents"))
+
+
 def _lloyd_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
     """Lloyd rounds over vectors of one length as a chain of common table expressions."""
     steps = []
