@@ -38,7 +38,7 @@ SAMPLE, LOWERED = 8, 0.5
 #: Bits of the table of proposed phrases: a power of two, at least 16 times their number within these bounds.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 #: Bytes of text that are counted at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAP[list(b" \t")] = True
