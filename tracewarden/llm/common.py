@@ -101,7 +101,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_STEP = 0x5851F42D4C957F2D
+STEP = 0x5851F42D4C957F2D
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
 
 
@@ -127,9 +127,9 @@ def powers(base: int, n: int) -> np.ndarray:
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans of one chunk: polynomial in an odd base by prefix sums, then mixed."""
     n = len(data)
-    inverse = pow(_STEP, -1, 1 << 64)
+    inverse = pow(STEP, -1, 1 << 64)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers(_STEP, n), out=total[1:])
+    np.cumsum(_BYTES[data] * powers(STEP, n), out=total[1:])
     return mixed((total[end] - total[start]) * powers(inverse, n + 1)[start] + (end - start).astype(np.uint64) * MIX)
 
 

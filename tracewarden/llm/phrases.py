@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tracewarden.llm.common import MIX, chunks, join_ids, mixed, powers, span_hashes, stored, text_or_empty
+from tracewarden.llm.common import MIX, STEP, chunks, join_ids, mixed, powers, span_hashes, stored, text_or_empty
 
 WORDS, LEAST, TOP, COVER = 5, 100, 2000, 100
 #: One text in so many is in the sample; a phrase is proposed at this share of the count expected there.
@@ -38,7 +38,7 @@ SAMPLE, LOWERED = 8, 0.5
 #: Bits of the table of proposed phrases: a power of two, at least 16 times their number within these bounds.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 #: Bytes of text that are counted at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAP[list(b" \t")] = True
@@ -63,12 +63,14 @@ def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, row, piece
 
 
+_OTHER = mixed(np.arange(1001, 1257, dtype=np.uint64) * MIX)
+
+
 def _check_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of another base, so that words of equal `span_hashes` can be told apart."""
-    base = 0x2545F4914F6CDD1D
+    """Hashes with other values of the bytes, so that words of equal `span_hashes` can be told apart."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, len(data)), out=total[1:])
-    return (total[end] - total[start]) * powers(pow(base, -1, 1 << 64), len(data) + 1)[start]
+    np.cumsum(_OTHER[data] * powers(STEP, len(data)), out=total[1:])
+    return (total[end] - total[start]) * powers(pow(STEP, -1, 1 << 64), len(data) + 1)[start]
 
 
 def _ids(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
