@@ -73,7 +73,7 @@ def test_counter_counts_every_phrase(rows, chunk):
         for part, cut, own in P._cut(np.frombuffer(data, np.uint8), off, np.arange(len(rows))):
             found = P._Counter(part, cut, np.zeros(len(own), np.uint64))
             words = found.words()
-            for n, at, count in found.levels([full]):
+            for n, at, count, _ in found.levels([full]):
                 for p, c in zip(found.phrases(n, at, words).to_pylist(), count.tolist()):
                     assert len(p.split(" ")) == n
                     got[p] += c

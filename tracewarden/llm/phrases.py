@@ -5,10 +5,13 @@ at spaces and tabs; a phrase lies within one piece. Everything is counted per la
 
 A sample of the texts proposes phrases: those that are frequent in it at a lowered threshold. A phrase
 of which both the first n-1 and the last n-1 words are proposed belongs to the proposed phrases or to
-their negative border; single words always do. The full pass counts all of these exactly, over all texts.
-If a frequent phrase turns up in the border, the sample had missed it: the proposed phrases grow by the
-frequent ones, and a further pass counts what has come into reach. It ends when no frequent phrase is
-outside, and then every frequent phrase has been counted, since parts of frequent phrases are frequent.
+their negative border; single words always do. The full pass counts all of these exactly, over all texts: a
+first scan adds up the counts of 64-bit hashes, which are too high where hashes collide and never too
+low, a second one counts the phrases themselves whose hashes reach the threshold. If a frequent phrase
+turns up in the border, the sample had missed it: the proposed phrases become the frequent ones, and an
+expansion pass counts what has come into reach, longer phrases around new ones included. It ends when no
+frequent phrase is outside, and then every frequent phrase has been counted, since parts of frequent
+phrases are frequent.
 
 Proposed phrases reach the tasks as a bit table of a size bounded by `MOST_BITS`. Chance hits in it only
 add phrases to what is counted; counts belong to the phrases themselves. Within a batch, equal words are
@@ -123,11 +126,12 @@ class _Counter:
         flat = self.data[np.repeat(s - ends[:-1], size) + np.arange(ends[-1])] if len(s) else np.zeros(0, np.uint8)
         return pa.Array.from_buffers(pa.string(), len(s), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
-    def levels(self, tables: list[np.ndarray], only: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(n, place of an occurrence, count) of the phrases that the last table reaches.
+    def levels(self, tables: list[np.ndarray], only: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(n, place of an occurrence, count, hash) of the phrases that the last table reaches.
 
-        A table reaches single words, and phrases of which it reaches and holds both parts of n-1 words.
-        Phrases that an earlier table reaches have been counted before. With `only`, one length is given.
+        A table reaches single words, and phrases of which it reaches both parts of n-1 words and holds
+        them, or else is the first to reach them and is not the first table. Phrases that an earlier
+        table reaches have been counted before. With `only`, one length is given.
         """
         count = len(self.start)
         ids, hashes, at = self.word, self.word_hash[self.word_at], self.word_at
@@ -136,10 +140,10 @@ class _Counter:
         for n in range(1, WORDS + 1):
             keep = ~reached[:-1].any(0) & reached[-1]
             if only in (None, n) and keep.any():
-                yield n, at[keep], np.bincount(ids, minlength=len(at))[keep]
+                yield n, at[keep], np.bincount(ids, minlength=len(at))[keep], hashes[keep]
             if n in (only, WORDS):
                 return
-            held = np.stack([r & _among(hashes, t) for r, t in zip(reached, tables)])
+            held = np.stack([r & (_among(hashes, t) | (k > 0) & ~reached[:k].any(0)) for k, (r, t) in enumerate(zip(reached, tables))])
             number = np.full(count + 1, -1, np.int64)
             alive = held[-1][ids]
             to = places[alive]
@@ -177,26 +181,48 @@ def _cut(data: np.ndarray, off: np.ndarray, rows: np.ndarray) -> Iterator[tuple[
         at = end
 
 
-def _counts(docs: DataFrame, tables: list[np.ndarray], only: int | None = None) -> DataFrame:
-    """lang, n, phrase and its count c, added up within tasks before the shuffle; n = 0: all words."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, _Counter]]:
+    """(languages of the batch, rows, phrases) of every run of texts."""
+    for b in batches:
+        langs = b.column("lang")
+        seeds = _seeds(langs)
+        for a, e, data, off in chunks(b.column("text"), CHUNK):
+            for part, cut, rows in _cut(data, off, np.arange(a, e)):
+                yield langs, rows, _Counter(part, cut, seeds[rows])
+
+
+def _counts(docs: DataFrame, tables: list[np.ndarray], only: int | None = None, among: np.ndarray | None = None) -> DataFrame:
+    """lang, n, phrase and its count c, added up within tasks before the shuffle; n = 0: all words.
+
+    With `among`, phrases whose hashes are not in this table are left out.
+    """
 
     def run(batches):
-        for b in batches:
-            langs = b.column("lang")
-            seeds = _seeds(langs)
-            for a, e, data, off in chunks(b.column("text"), CHUNK):
-                for part, cut, rows in _cut(data, off, np.arange(a, e)):
-                    found = _Counter(part, cut, seeds[rows])
-                    total = np.bincount(found.row, minlength=len(rows))
-                    yield _batch(langs.take(pa.array(rows)), 0, pa.array([""] * len(rows)), total)
-                    words = found.words()
-                    for n, at, count in found.levels(tables, only):
-                        yield _batch(langs.take(pa.array(rows[found.row[at]])), n, found.phrases(n, at, words), count)
+        for langs, rows, found in _parts(batches):
+            total = np.bincount(found.row, minlength=len(rows))
+            yield _batch(langs.take(pa.array(rows)), 0, pa.array([""] * len(rows)), total)
+            words = found.words()
+            for n, at, count, hashes in found.levels(tables, only):
+                if among is not None:
+                    ok = _among(hashes, among)
+                    at, count = at[ok], count[ok]
+                yield _batch(langs.take(pa.array(rows[found.row[at]])), n, found.phrases(n, at, words), count)
 
     rows = docs.select("text", "lang").mapInArrow(run, "lang string, n byte, phrase string, c long")
     return rows.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("c"))
 
 
+def _hash_counts(docs: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """Hashes h of the phrases that the last table reaches, and their counts c."""
+
+    def run(batches):
+        for _, _, found in _parts(batches):
+            for _, _, count, hashes in found.levels(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(count)], ["h", "c"])
+
+    return docs.select("text", "lang").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
 def _batch(lang: pa.Array, n: int, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(lang), n, np.int8)), phrase, pa.array(count)], ["lang", "n", "phrase", "c"])
 
@@ -258,7 +284,9 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     members, tables, counted, totals = proposed(docs, least), [], None, None
     while True:
         tables.append(table_of(members))
-        rows = stored(_counts(docs, tables).where((F.col("c") >= least) | (F.col("n") == 0)), "phrases-counted")
+        # the full pass reaches very many rare phrases, so their hashes are counted before they are themselves
+        among = None if counted is not None else table_of(stored(_hash_counts(docs, tables).where(F.col("c") >= least).select("h"), "phrases-hashes"))
+        rows = stored(_counts(docs, tables, among=among).where((F.col("c") >= least) | (F.col("n") == 0)), "phrases-counted")
         totals = rows.where("n = 0").select("lang", F.col("c").alias("total")) if totals is None else totals
         new = stored(hashes_of(rows.where("n > 0")), "phrases-frequent")
         counted = new if counted is None else counted.unionByName(new)
