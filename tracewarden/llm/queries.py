@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bit_sliced, html_consensus, license_scan, line_dedup, phrases, pu_quality, sentencepiece_bpe, simhash_ring, source_mixing, url_filter, vector_codes, winnowing
+from tracewarden.llm import bit_sliced, html_consensus, license_scan, line_dedup, phrases, pu_quality, secret_scan, sentencepiece_bpe, simhash_ring, source_mixing, url_filter, vector_codes, winnowing
 from tracewarden.llm.common import read
 from tracewarden.llm.licence_texts import TEXTS
+from tracewarden.llm.secret_labels import labelled_findings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,6 +202,17 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_ring.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op11_secret_scan")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document: counts and digest of the base ones, and all."""
+    net = secret_scan.train(labelled_findings(spark))
+    rows = secret_scan.scan(read(spark, folder, "documents"), net)
+    written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["kind"] != "net")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 OP12_SQL = r"""
 WITH d AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
