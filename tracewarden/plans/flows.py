@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewarden.functions.scores import first_of
+from tracewarden.operators import bayes
 from tracewarden.operators.chains import CHAIN_PHASES
 from tracewarden.operators.joins import range_lookup
 from tracewarden.operators.timeline import micros
@@ -113,13 +114,10 @@ def stream(spark, d):
 CUTS = ["us < 1704931200000000", "us >= 1704931200000000 and us < 1705795200000000", "us >= 1705795200000000"]
 
 
-def replayed(spark, d, cuts=CUTS, cols=("event_id", "ts", "us", "user_id", "event_type", "value", "k")):
-    """The events as files by time, one file per micro-batch, in that order."""
-    path = new_path(spark, "replay")
-    e = events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).select(*cols)
-    for i, cut in enumerate(cuts):
-        e.filter(cut).coalesce(1).write.parquet(f"{path}/part{i}")
-    return runner.file_stream(spark, path, e.schema, per_trigger=1)
+def replayed(spark, d, cuts=CUTS, cols=("event_id", "ts", "us", "user_id", "event_type", "value", "k"), shape=lambda e: e):
+    """The events cut by time, one arrival after the other."""
+    e = shape(events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).select(*cols))
+    return runner.Arrivals([e.filter(cut) for cut in cuts])
 
 
 DELAY_US = hours(1)
@@ -153,56 +151,76 @@ def _(spark, d):
     return runner.run_to_table(sw.session_counts(stream(spark, d), "ts", ["user_id"], "8 hours", "1 hour"), "r4")[0]
 
 
-@query("r5_replay_dedupe", f"WITH {EVENTS_SQL} SELECT DISTINCT user_id, event_type, k FROM ev")
+@query("r5_replay_dedupe", f"WITH {EVENTS_SQL} SELECT DISTINCT user_id, event_type, k, us // {hours(24)} AS day FROM ev")
 def _(spark, d):
-    s = sw.deduplicated(stream(spark, d), "ts", ["user_id", "event_type", "k"], "60 days")
-    return runner.run_to_table(s.select("user_id", "event_type", "k"), "r5")[0]
+    s = sw.deduplicated(stream(spark, d), "ts", ["user_id", "event_type", "k"], "24 hours", "1 hour")
+    return runner.run_to_table(s.select("user_id", "event_type", "k", F.floor(F.col("us") / hours(24)).alias("day")), "r5")[0]
+
+
+@query("r5_duplicate_counts", f"""
+WITH {EVENTS_SQL}, o AS (SELECT us // {hours(24)} * {hours(24)} AS start_us, user_id, event_type, count(*) AS n FROM ev GROUP BY ALL),
+g AS (SELECT start_us, sum(n)::BIGINT AS n, count(*) AS signatures, (sum(n) - count(*))::BIGINT AS duplicates FROM o GROUP BY 1) SELECT * FROM g WHERE start_us + {hours(24)} {CLOSED}""")
+def _(spark, d):
+    return runner.run_to_table(sw.duplicate_counts(stream(spark, d), "ts", ["user_id", "event_type"], "24 hours", "1 hour"), "r5d")[0]
 
 
 @query("r6_chain_tracker", f"""
-WITH {EVENTS_SQL}, p AS (SELECT *, {case({k: CHAIN_PHASES.index(v) for k, v in CHAIN_OF.items()})} AS i FROM ev),
-w AS (SELECT event_id, i, lag(i) {ORDERED} AS pi, max(i) {ORDERED} AS furthest FROM p)
+WITH {EVENTS_SQL}, p AS (SELECT *, {case({k: CHAIN_PHASES.index(v) for k, v in CHAIN_OF.items()})} AS i,
+  CASE WHEN us - lag(us) {ORDERED} <= {hours(24)} THEN 0 ELSE 1 END AS brk FROM ev WHERE us {CLOSED}),
+s AS (SELECT *, sum(brk) {ORDERED} AS s FROM p),
+w AS (SELECT event_id, i, lag(i) OVER w AS pi, max(i) OVER w AS furthest FROM s WINDOW w AS (PARTITION BY user_id, s ORDER BY us, event_id))
 SELECT event_id, furthest, CAST(round((furthest + 1) / 7.0 * 100) AS BIGINT) AS progress FROM w WHERE pi IS NULL OR pi <> i""")
 def _(spark, d):
-    s = mapped(replayed(spark, d), CHAIN_OF)
-    step = trackers.chain_tracker("user_id", "us", "event_id", "phase")
-    out, _ = runner.run_with_state(s, "r6", step, "user_id bigint, us bigint, event_id bigint, phase string, furthest int")
-    return out.select("event_id", "furthest", "progress")
+    idle = hours(24)
+    step = trackers.chain_tracker("user_id", "us", "event_id", "phase", idle=idle)
+    s = replayed(spark, d, shape=lambda e: mapped(e, CHAIN_OF))
+    r = runner.run_keyed(s, "r6", step, "user_id bigint, us bigint, event_id bigint, phase string, furthest int", ["user_id"], time="us", delay=DELAY_US, expire=F.col("us") + idle, slack=idle)
+    return r.rows.select("event_id", "furthest", "progress")
 
 
 @query("r7_baseline_tracker", f"""
-WITH {EVENTS_SQL}, b AS (SELECT event_id, list(value) {PREV10} AS v FROM ev), c AS (SELECT a.event_id, coalesce(sum(b.value * 0.15 * pow(2, (b.us - a.us) / {hours(48)}.0)), 0) AS acc
-  FROM ev a LEFT JOIN ev b ON a.user_id = b.user_id AND b.us >= a.us - {hours(144)} AND b.us < a.us AND b.value >= 20 GROUP BY 1)
+WITH {EVENTS_SQL}, t AS (SELECT * FROM ev WHERE us {CLOSED}), b AS (SELECT event_id, list(value) {PREV10} AS v FROM t), c AS (SELECT a.event_id, coalesce(sum(b.value * 0.15 * pow(2, (b.us - a.us) / {hours(48)}.0)), 0) AS acc
+  FROM t a LEFT JOIN t b ON a.user_id = b.user_id AND b.us >= a.us - {hours(144)} AND b.us < a.us AND b.value >= 20 GROUP BY 1)
 SELECT event_id, round({_wmean('v')}, 7) AS base_value, round(acc, 3) AS accumulated FROM b JOIN c USING (event_id)""")
 def _(spark, d):
     step = trackers.baseline_tracker("user_id", "us", "event_id", "value", F.col("value") >= 20, hours(144), hours(48))
-    out, _ = runner.run_with_state(replayed(spark, d), "r7", step, "user_id bigint, us bigint, event_id bigint, value double")
-    return out.select("event_id", F.round("base_value", 7).alias("base_value"), (F.round("accumulated", 3) + 0.0).alias("accumulated"))
+    r = runner.run_keyed(replayed(spark, d), "r7", step, "user_id bigint, us bigint, event_id bigint, value double", ["user_id"], time="us", delay=DELAY_US, expire=F.col("us") + hours(24 * 60))
+    return r.rows.select("event_id", F.round("base_value", 7).alias("base_value"), (F.round("accumulated", 3) + 0.0).alias("accumulated"))
 
 
 @query("r8_ban_tracker", f"""
-WITH {EVENTS_SQL}, o AS (SELECT event_id, row_number() {ORDERED} AS offence FROM ev WHERE event_type = 'error')
-SELECT event_id, offence, CAST(CASE offence WHEN 1 THEN 86400 WHEN 2 THEN 604800 WHEN 3 THEN 2592000 ELSE 0 END AS BIGINT) AS ban_s FROM o""")
+WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT event_id, user_id, us, row_number() {ORDERED} AS i FROM ev WHERE event_type = 'error' AND us {CLOSED}),
+r AS (
+  SELECT user_id, event_id, i, 1::BIGINT AS offence, [us + {hours(48)}] AS ends FROM o WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, i, offence, list_append(live, CASE offence WHEN 1 THEN us + {hours(48)} WHEN 2 THEN us + {hours(192)} WHEN 3 THEN us + {hours(744)} ELSE 4611686018427387904 END)
+  FROM (SELECT o.*, list_filter(r.ends, lambda e: e >= o.us) AS live, (len(list_filter(r.ends, lambda e: e >= o.us)) + 1)::BIGINT AS offence FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))
+SELECT event_id, offence, CAST(CASE offence WHEN 1 THEN 86400 WHEN 2 THEN 604800 WHEN 3 THEN 2592000 ELSE 0 END AS BIGINT) AS ban_s FROM r""")
 def _(spark, d):
-    s = replayed(spark, d).filter(F.col("event_type") == "error")
-    out, _ = runner.run_with_state(s, "r8", trackers.ban_tracker("user_id", "us", "event_id"), "user_id bigint, offences bigint")
-    return out.select("event_id", "offence", "ban_s")
+    s = replayed(spark, d, shape=lambda e: e.filter(F.col("event_type") == "error"))
+    r = runner.run_keyed(s, "r8", trackers.ban_tracker("user_id", "us", "event_id"), "user_id bigint, ends array<bigint>, lasting bigint", ["user_id"], time="us", delay=DELAY_US, expire=trackers.ban_end(), slack=hours(24))
+    return r.rows.select("event_id", "offence", "ban_s")
 
 
 @query("r9_race_tracker", f"""
-WITH {EVENTS_SQL} SELECT event_id, count(*) {frame('user_id, event_type', hours(48), True)} - 1 AS same_url, count(*) {frame('user_id, event_type', hours(12), True)} - 1 AS same_url_burst FROM ev""")
+WITH {EVENTS_SQL} SELECT event_id, count(*) {frame('user_id, event_type', hours(48), True)} - 1 AS same_url, count(*) {frame('user_id, event_type', hours(12), True)} - 1 AS same_url_burst FROM ev WHERE us {CLOSED}""")
 def _(spark, d):
     t = F.col("event_type")
     step = trackers.race_tracker("user_id", "us", "event_id", "event_type", "k", t.isin("purchase", "signup"), t == "purchase", hours(48), hours(12), hours(120))
-    out, _ = runner.run_with_state(replayed(spark, d), "r9", step, "user_id bigint, us bigint, event_id bigint, event_type string, k bigint")
-    return out.select("event_id", "same_url", "same_url_burst")
+    r = runner.run_keyed(replayed(spark, d), "r9", step, "user_id bigint, us bigint, event_id bigint, event_type string, k bigint", ["user_id"], time="us", delay=DELAY_US, expire=F.col("us") + hours(120), slack=hours(120))
+    return r.rows.select("event_id", "same_url", "same_url_burst")
 
 
-@query("r10_path_learner", f"WITH {EVENTS_SQL} SELECT '/' || event_type || '/' || k AS path, count(*) AS seen, min(us) AS first_seen, max(us) AS last_seen FROM ev GROUP BY 1")
+FROZEN = [(0, False), (1704672000000000, True), (1705276800000000, False)]
+
+
+@query("r10_path_learner", f"""
+WITH {EVENTS_SQL} SELECT '/' || event_type || '/' || k AS path, count(*) AS seen, min(us) AS first_seen, max(us) AS last_seen FROM ev
+WHERE us < {FROZEN[1][0]} OR us >= {FROZEN[2][0]} GROUP BY 1""")
 def _(spark, d):
-    s = replayed(spark, d).withColumn("path", F.concat(F.lit("/"), "event_type", F.lit("/"), F.col("k").cast("string")))
-    open_ = table(spark, d, "region").select((F.col("r_regionkey") < 0).alias("frozen"))
-    return runner.run_with_state(s, "r10", trackers.path_learner("path", "us", open_), "path string, seen bigint, first_seen bigint, last_seen bigint")[1]
+    s = replayed(spark, d, shape=lambda e: e.withColumn("path", F.concat(F.lit("/"), "event_type", F.lit("/"), F.col("k").cast("string"))))
+    control = spark.createDataFrame(FROZEN, "since bigint, frozen boolean")
+    return runner.run_keyed(s, "r10", trackers.path_learner("path", "us", control), "path string, seen bigint, first_seen bigint, last_seen bigint", ["path"]).state
 
 
 @query("r10_token_learner", f"""
@@ -211,7 +229,8 @@ g AS (SELECT role, unnest(list_transform(range(1, length(t)), lambda i: substr(t
 SELECT role AS class, token, count(*) AS n FROM g GROUP BY 1, 2""")
 def _(spark, d):
     s = runner.file_stream(spark, d, table(spark, d, "conversations").schema, "conversations.parquet")
-    return runner.run_with_state(s, "r10t", trackers.token_learner("text", "role"), "class string, token string, n bigint")[1]
+    counts = lambda batch: bayes.train(batch, "text", "role")[1]
+    return runner.run_keyed(s, "r10t", trackers.token_learner(), "class string, token string, n bigint", ["class", "token"], prepare=counts).state
 
 
 @query("r11_enrichment", f"""
@@ -222,11 +241,11 @@ def _(spark, d):
     s = sw.enriched(stream(spark, d).select("event_id", "user_id", "event_type"), F.broadcast(severity), "event_type", F.broadcast(allowed))
     geo = ranges(spark, d)
 
-    def step(batch, state):
+    def step(batch, state, context):
         return range_lookup(batch, "user_id", geo, 64), state
 
-    out, _ = runner.run_with_state(s, "r11", step, "x int")
-    return out.select("event_id", F.col("value").alias("country"), "severity")
+    r = runner.run_keyed(s, "r11", step, "event_id bigint", ["event_id"])
+    return r.rows.select("event_id", F.col("value").alias("country"), "severity")
 
 
 @query("r12_file_changes", f"""
@@ -234,24 +253,30 @@ WITH {EVENTS_SQL}, f AS (SELECT CASE WHEN us < 1704931200000000 THEN 0 WHEN us <
 h AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY b) AS p FROM f)
 SELECT user_id, count(*) FILTER (WHERE p IS NULL) AS added, count(*) FILTER (WHERE p <> v) AS changed, count(*) FILTER (WHERE p = v) AS same FROM h GROUP BY 1""")
 def _(spark, d):
-    path = new_path(spark, "files")
     e = events(spark, d)
-    for i, cut in enumerate(CUTS):
-        inv = e.filter(cut).groupBy("user_id").agg(F.md5(F.max_by("k", "us").cast("string")).alias("md5"))
-        inv.coalesce(1).write.parquet(f"{path}/part{i}")
-    s = runner.file_stream(spark, path, inv.schema, per_trigger=1)
-    out, _ = runner.run_with_state(s, "r12", trackers.change_tracker("user_id", "md5"), inv.schema)
-    return out.groupBy("user_id").agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("added", "changed", "same")])
+    inv = [e.filter(cut).select("user_id", "us", F.md5(F.col("k").cast("string")).alias("md5")) for cut in CUTS]
+    r = runner.run_keyed(runner.Arrivals(inv), "r12", trackers.change_tracker("user_id", "md5", "us"), inv[0].schema, ["user_id"], buckets=256)
+    return r.rows.groupBy("user_id").agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("added", "changed", "same")])
+
+
+# The newest rows come first, so that of what follows all lies behind the clock.
+NEWEST_FIRST = [f"{CUTS[2]} and us < 1706227200000000", "us >= 1706227200000000", CUTS[0], CUTS[1]]
 
 
 @query("r13_late_rows", f"""
-WITH {EVENTS_SQL}, l AS (SELECT * FROM ev WHERE us >= 1705795200000000),
-g AS (SELECT us // {hours(24)} * {hours(24)} AS start_us, event_type, count(*) AS n FROM l GROUP BY 1, 2) SELECT * FROM g WHERE start_us + {hours(24)} {CLOSED}""")
+WITH {EVENTS_SQL}, c AS (SELECT us, CASE WHEN {CUTS[2]} AND us < 1706227200000000 THEN 0 WHEN us >= 1706227200000000 THEN 1 WHEN {CUTS[0]} THEN 2 ELSE 3 END::BIGINT AS batch FROM ev),
+m AS (SELECT batch, max(us) - {DELAY_US} AS top FROM c GROUP BY 1),
+b AS (SELECT a.batch, max(m.top) AS top FROM (SELECT DISTINCT batch FROM c) a LEFT JOIN m ON m.batch < a.batch GROUP BY 1)
+SELECT c.batch, count(*) FILTER (WHERE c.us <= b.top) AS late FROM c JOIN b USING (batch) GROUP BY 1""")
 def _(spark, d):
-    # The newest rows come first, in two batches, since a watermark drops rows from the batch
-    # after next on: all that follow lie behind it.
-    newest = [f"{CUTS[2]} and us < 1706227200000000", "us >= 1706227200000000"]
-    s = replayed(spark, d, [*newest, CUTS[0], CUTS[1]])
-    return runner.run_to_table(sw.tumbling_counts(s, "ts", ["event_type"], "24 hours", "1 hour"), "r13")[0]
+    step = trackers.race_tracker("user_id", "us", "event_id", "event_type", "k", F.col("k") > 0, F.col("k") > 5, hours(1), hours(1), hours(1))
+    s = replayed(spark, d, NEWEST_FIRST)
+    return runner.run_keyed(s, "r13", step, "user_id bigint, us bigint, event_id bigint, event_type string, k bigint", ["user_id"], time="us", delay=DELAY_US, expire=F.col("us") + hours(1)).late
 
 
+@query("r13_counts_without_late", f"""
+WITH {EVENTS_SQL}, l AS (SELECT * FROM ev WHERE us >= 1705795200000000),
+g AS (SELECT us // {hours(24)} * {hours(24)} AS start_us, event_type, count(*) AS n FROM l GROUP BY 1, 2) SELECT * FROM g WHERE start_us + {hours(24)} {CLOSED}""")
+def _(spark, d):
+    # A watermark drops rows from the batch after next on, so the newest come in two batches.
+    return runner.run_to_table((sw.tumbling_counts(s, "ts", ["event_type"], "24 hours", "1 hour") for s in replayed(spark, d, NEWEST_FIRST)), "r13")[0]

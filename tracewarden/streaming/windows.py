@@ -29,9 +29,16 @@ def session_counts(df: DataFrame, ts: str, keys: Sequence[str], gap: str, delay:
     return g.select(*keys, micros(F.col("a")).alias("first_us"), micros(F.col("b")).alias("last_us"), "n")
 
 
-def deduplicated(df: DataFrame, ts: str, keys: Sequence[str], delay: str) -> DataFrame:
-    """First row of each signature; repeats within the delay are dropped."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+def deduplicated(df: DataFrame, ts: str, keys: Sequence[str], width: str, delay: str) -> DataFrame:
+    """First row of each signature in each fixed window; a window's signatures are held until the delay has passed."""
+    return df.withWatermark(ts, delay).withColumn("w", F.window(ts, width)).dropDuplicates([*keys, "w"])
+
+
+def duplicate_counts(df: DataFrame, ts: str, keys: Sequence[str], width: str, delay: str) -> DataFrame:
+    """Per fixed window: rows, different signatures and repeats. Two aggregates in a row: by signature, then by window."""
+    own = df.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n"))
+    g = own.groupBy(F.window(F.window_time("w"), width).alias("w")).agg(F.sum("n").alias("n"), F.count("*").alias("signatures"))
+    return g.select(micros(F.col("w.start")).alias("start_us"), "n", "signatures", (F.col("n") - F.col("signatures")).alias("duplicates"))
 
 
 def enriched(df: DataFrame, table: DataFrame, on: str, allowed: DataFrame | None = None) -> DataFrame:
