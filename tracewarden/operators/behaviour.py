@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from tracewarden.functions.scores import first_of, labels, points, whole
 from tracewarden.operators import timeline as tl
 from tracewarden.operators.chains import histories, phase_index
 from tracewarden.operators.timeline import SECOND
+from tracewarden.session import new_path
 from tracewarden.tables import REQUEST_PHASES
 
 
@@ -219,40 +221,47 @@ def attacker_profile(df, keys, t, payload, attack_type, unit=SECOND) -> DataFram
         ((c("n") > 0) & (c("mean_gap") > 300), "persistent")], "script_kiddie"))
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, small: int = 100_000, accuracy: int = 1_000_000) -> DataFrame:
-    """Linearly interpolated quantile, exact, as one row ``quantile``.
+def exact_quantile(df: DataFrame, col: str, q: float, bins: int = 1024) -> float | None:
+    """Linearly interpolated quantile, exact, by histograms that follow one another.
 
-    Above ``small`` rows a mergeable sketch (off by at most n/accuracy ranks) gives values a
-    few ranks to both sides, so only the rows between them, some n/10000, are ordered; equal
-    values are counted, not listed. The rows below are only counted.
+    Each counts the values between two ends in ``bins`` bins; the next one takes the bin that holds
+    the wanted place, from its least to its greatest value, until these are equal. The driver sees
+    one row a bin; no row is ordered, and a table of any size goes the same way. ``df`` is read a few
+    times, so it should be a table.
     """
-    v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    eps = 4.0 / small
-    bounds = v.agg(F.count("*").alias("n"), F.percentile_approx("v", [max(0.0, q - eps), min(1.0, q + eps)], accuracy).alias("b"))
-    ends = bounds.select("n", *[F.when(F.col("n") > small, F.col("b")[i]).otherwise(F.lit(far)).alias(c)
-                                for i, c, far in ((0, "lo", float("-inf")), (1, "hi", float("inf")))])
-    n, lo, hi = (ends.select(c).scalar() for c in ("n", "lo", "hi"))
-    marked = v.withColumn("lo", lo).withColumn("hi", hi)
-    below = marked.agg(F.count_if(F.col("v") < F.col("lo")).alias("c")).scalar()
-    near = marked.filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("v").agg(F.count("*").alias("c"))
-    ranked = near.withColumn("cum", F.sum("c").over(Window.orderBy("v"))).withColumn("below", below) \
-        .withColumn("rank", (n - 1) * F.lit(q))
-    at = F.col("below") + F.col("cum")
-    picked = ranked.agg(
-        F.min(F.when(at > F.floor("rank"), F.col("v"))).alias("a"), F.min(F.when(at > F.ceil("rank"), F.col("v"))).alias("b"),
-        F.max(F.col("rank") - F.floor("rank")).alias("f"))
-    return picked.select((F.col("a") + F.col("f") * (F.col("b") - F.col("a"))).alias("quantile"))
+    v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    n, lo, hi = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    rank = (n - 1) * q
+    found: dict[int, float] = {}
+    for place in sorted({math.floor(rank), math.ceil(rank)}):
+        a, b, below = lo, hi, 0
+        while a < b:
+            width = b / 2 - a / 2  # halves, since the whole width may leave the range of a double
+            at = F.when(F.col("v") > a, 1).otherwise(0) if width == 0 else F.least(F.floor((F.col("v") / 2 - a / 2) / width * bins), F.lit(bins - 1))
+            rows = v.filter(F.col("v").between(a, b)).groupBy(at.alias("k")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+            for r in sorted(rows.collect(), key=lambda r: r["k"]):
+                if below + r["c"] > place:
+                    a, b = r["a"], r["b"]
+                    break
+                below += r["c"]
+        found[place] = a
+    low, high = found[math.floor(rank)], found[math.ceil(rank)]
+    return low + (rank - math.floor(rank)) * (high - low)
 
 
 def population_outliers(df, keys, risk, params, size, q=0.95, min_clients=5) -> DataFrame:
     """Keys above the quantile in mean risk or row count, or two deviations off in the rest."""
-    g = df.groupBy(*keys).agg(F.avg(risk).alias("avg_risk"), F.avg(params).alias("avg_params"), F.avg(size).alias("avg_size"),
-                              F.count("*").alias("n"))
+    spark, path = df.sparkSession, new_path(df.sparkSession, "clients")
+    df.groupBy(*keys).agg(F.avg(risk).alias("avg_risk"), F.avg(params).alias("avg_params"), F.avg(size).alias("avg_size"),
+                          F.count("*").alias("n")).write.parquet(path)
+    g = spark.read.parquet(path)
     s = g.agg(F.count("*").alias("clients"), F.avg("avg_params").alias("mp"), F.stddev_pop("avg_params").alias("sp"),
               F.avg("avg_size").alias("ms"), F.stddev_pop("avg_size").alias("ss"))
-    d = g.withColumn("risk_q", exact_quantile(g, "avg_risk", q).scalar()).withColumn("n_q", exact_quantile(g, "n", q).scalar())
-    for c in ("clients", "mp", "sp", "ms", "ss"):
-        d = d.withColumn(c, s.select(c).scalar())
+    d = g.withColumn("risk_q", F.lit(exact_quantile(g, "avg_risk", q)).cast("double")).withColumn("n_q", F.lit(exact_quantile(g, "n", q)).cast("double"))
+    for c, value in s.first().asDict().items():
+        d = d.withColumn(c, F.lit(value))
     c = F.col
     r1, r2 = (c("risk_q") > 0) & (c("avg_risk") > c("risk_q")), (c("n_q") > 0) & (c("n") > c("n_q"))
     r3 = (c("sp") > 0) & (F.abs(c("avg_params") - c("mp")) > 2 * c("sp"))

@@ -27,25 +27,63 @@ def url_allowlist(df: DataFrame, url: str, exact: DataFrame, prefixes: Sequence[
     return rest.join(exact.select(F.col("url").alias(url)).distinct(), url, "left_anti")
 
 
-def range_lookup(df: DataFrame, number: str, ranges: DataFrame, bucket: int = 65_536) -> DataFrame:
+#: Levels of dyadic blocks: a block of level L holds 2^L numbers.
+LEVELS = 62
+
+
+def dyadic_blocks(ranges: DataFrame) -> DataFrame:
+    """The ranges (start, end) as blocks (level, prefix) of numbers that share all bits above the level.
+
+    A range is two blocks a level at most, however long it is; no block lies in another of its range.
+    """
+    level = F.sequence(F.lit(0), F.lit(LEVELS))
+
+    def of(k: Column) -> Column:
+        first = -F.call_function("shiftright", -F.col("start").cast("bigint"), k)
+        after = F.call_function("shiftright", F.col("end").cast("bigint") + 1, k)
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        some = first < after
+        return F.array(F.when(some & odd(first), F.struct(k.alias("level"), first.alias("prefix"))), F.when(some & odd(after), F.struct(k.alias("level"), (after - 1).alias("prefix"))))
+
+    found = F.explode(F.array_compact(F.flatten(F.transform(level, of))))
+    return ranges.filter(F.col("start") <= F.col("end")).withColumn("_b", found).select("*", "_b.level", "_b.prefix").drop("_b")
+
+
+def _met(df: DataFrame, number: str, blocks: DataFrame, coarse: int) -> DataFrame:
+    """(n, columns of the block) for every distinct number and every block that holds it.
+
+    ``blocks`` has each (level, prefix) once, so a number meets a block a level at most. Blocks of a
+    level of which there can be no more than ``coarse`` hold many numbers each, but are few, and are
+    broadcast; all others are joined by level and prefix.
+    """
+    n = df.select(F.col(number).cast("bigint").alias("n")).filter(F.col("n").isNotNull()).distinct()
+    known = blocks.groupBy("level").agg(F.max(F.abs("prefix")).alias("most")).collect()
+    few = sorted(r["level"] for r in known if r["most"] < coarse)
+    many = sorted(r["level"] for r in known if r["most"] >= coarse)
+    out = None
+    for levels, side in ((few, lambda b: F.broadcast(b)), (many, lambda b: b)):
+        if levels:
+            at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("n", k).alias("prefix")) for k in levels])).alias("_b")
+            hit = n.select("n", at).select("n", "_b.*").join(side(blocks.filter(F.col("level").isin(levels))), ["level", "prefix"])
+            out = hit if out is None else out.unionByName(hit)
+    return n.join(blocks, F.lit(False)) if out is None else out
+
+
+def range_lookup(df: DataFrame, number: str, ranges: DataFrame, coarse: int = 1024) -> DataFrame:
     """Adds ``value`` of the last listed range (start, end, value, seq) that holds the number.
 
-    Only distinct numbers are looked up; they meet the ranges in equal-width buckets of the
-    number line, so a bucket holds at most ``bucket`` numbers however hot one of them is.
+    Ranges may overlap and nest at will: they are cut into dyadic blocks, and equal blocks are one
+    before any number is looked up.
     """
-    n = df.select(F.col(number).alias("n")).filter(F.col("n").isNotNull()).distinct().withColumn("b", F.floor(F.col("n") / bucket))
-    r = ranges.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    hit = n.join(r, "b").filter(F.col("n").between(F.col("start"), F.col("end")))
-    best = hit.groupBy("n").agg(F.max_by("value", "seq").alias("value"))
+    last = dyadic_blocks(ranges).groupBy("level", "prefix").agg(F.max(F.struct("seq", "value")).alias("_last"))
+    best = _met(df, number, last, coarse).groupBy("n").agg(F.max("_last").alias("_last")).select("n", "_last.value")
     return df.join(best.withColumnRenamed("n", number), number, "left")
 
 
-def in_ranges(df: DataFrame, number: str, ranges: DataFrame, keep: bool = True, bucket: int = 65_536) -> DataFrame:
+def in_ranges(df: DataFrame, number: str, ranges: DataFrame, keep: bool = True, coarse: int = 1024) -> DataFrame:
     """Rows whose number lies in some range (start, end), or in none."""
-    n = df.select(F.col(number).alias("n")).filter(F.col("n").isNotNull()).distinct().withColumn("b", F.floor(F.col("n") / bucket))
-    r = ranges.select("start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("b"))
-    hit = n.join(r, "b").filter(F.col("n").between(F.col("start"), F.col("end"))).select(F.col("n").alias(number)).distinct()
-    return df.join(hit, number, "left_semi" if keep else "left_anti")
+    hit = _met(df, number, dyadic_blocks(ranges.select("start", "end")).select("level", "prefix").distinct(), coarse)
+    return df.join(hit.select(F.col("n").alias(number)).distinct(), number, "left_semi" if keep else "left_anti")
 
 
 def under_ban(df: DataFrame, key: str, t: str, tie: str, bans: DataFrame, allowed: DataFrame, piece: int = DAY) -> DataFrame:

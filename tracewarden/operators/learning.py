@@ -189,12 +189,29 @@ def learn_templates(df: DataFrame, method: str, template: str, names: str, score
 
 
 def template_match(df: DataFrame, ids: Sequence[str], method: str, template: str, names: str, learned: DataFrame, least: int = 10, share: float = 0.8) -> DataFrame:
-    """Requests that fit a learned template: same method and shape, most of its names present."""
-    usable = learned.filter((F.col("samples") >= least) & ~F.col("degraded")).select(
-        method, template, F.col(names).alias("_want"), "samples")
-    got = F.size(F.array_intersect("_want", names)) / F.greatest(F.size("_want"), F.lit(1))
-    hit = df.join(usable, [method, template]).filter((F.size("_want") == 0) | (got >= share))
-    return hit.groupBy(*ids).agg(F.max("samples").alias("samples"))
+    """Requests that fit a learned template: same method and shape, most of its names present.
+
+    Different name sets meet, not rows. A learned set of n names fits only if the request has one of
+    its n - ceil(share * n) + 1 rarest names, so a learned set is filed under these and a hot shape
+    with very many sets brings a request together with those alone that share a rare name.
+    """
+    shape = [method, template]
+    plain = F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull())))
+    usable = learned.filter((F.col("samples") >= least) & ~F.col("degraded"))
+    sets = usable.groupBy(*shape, plain.alias("_want"), F.greatest(F.size(names), F.lit(1)).alias("_size")).agg(F.max("samples").alias("samples"))
+    asked = df.select(*shape, plain.alias("_got")).distinct()
+    common = sets.select(*shape, F.explode("_want").alias("_x")).groupBy(*shape, "_x").agg(F.count("*").alias("_c"))
+    ranked = sets.withColumn("_x", F.explode("_want")).join(common, [*shape, "_x"]).groupBy(*shape, "_want", "_size", "samples").agg(F.array_sort(F.collect_list(F.struct("_c", "_x"))).alias("_o"))
+    # the fewest names that are enough, as the share is tested below
+    need = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("_size") - 1e-9).cast("int"))
+    first = F.transform(F.slice("_o", F.lit(1), F.greatest(F.size("_want") - need + 1, F.lit(0))), lambda x: x["_x"])
+    filed = ranked.select(*shape, "_want", "_size", "samples", F.explode(first).alias("_x"))
+    met = asked.withColumn("_x", F.explode("_got")).join(filed, [*shape, "_x"])
+    fits = F.size(F.array_intersect("_want", "_got")) / F.col("_size") >= share
+    some = met.filter(fits).select(*shape, "_got", "samples")
+    free = sets.filter(F.size("_want") == 0).filter(F.col("_size") == 1).groupBy(*shape).agg(F.max("samples").alias("samples"))
+    best = some.unionByName(asked.join(free, shape)).groupBy(*shape, "_got").agg(F.max("samples").alias("samples"))
+    return df.select(*ids, *shape, plain.alias("_got")).join(best, [*shape, "_got"]).groupBy(*ids).agg(F.max("samples").alias("samples"))
 
 
 def keep_recent(df: DataFrame, key: str, t: str, as_of: Column, age: int) -> DataFrame:

@@ -11,6 +11,7 @@ from tracewarden import family_rules, rulesets
 from tracewarden.family_rules import Family
 from tracewarden.functions.scores import band, first_of, points, whole
 from tracewarden.functions.text import char_grams, java_regex, matches, required_pieces
+from tracewarden.session import new_path
 from tracewarden.tables import KILL_CHAIN
 
 
@@ -55,21 +56,33 @@ def rule_hits(df: DataFrame, ids: Sequence[str], text: str, rules=None) -> DataF
 def learned_rule_hits(df: DataFrame, ids: Sequence[str], text: str, rules: DataFrame, gram: int = 4) -> DataFrame:
     """Matches of a table of learned substrings (pattern, type, severity) of any size.
 
-    A substring is found through its first ``gram`` characters: the distinct pieces of that
-    length of every text are joined with the rules and the whole substring is checked after.
-    Shorter substrings are joined through pieces of their own length. The pieces carry the
-    ids only; the texts come back by a join on the ids for the candidates.
+    A substring is filed under the rarest of its pieces of ``gram`` characters, by the number of
+    texts that hold each, and is looked for only in texts with that piece; substrings with a piece
+    that no text holds are in none. Shorter substrings are pieces themselves. Pieces carry the ids only,
+    and are written once; the texts come back by a join on the ids for the candidates.
     """
     r = rules.select(F.lower("pattern").alias("pattern"), "type", "severity").distinct().filter(F.length("pattern") > 0)
-    r = r.withColumn("_n", F.least(F.lit(gram), F.length("pattern"))).withColumn("_g", F.substr("pattern", F.lit(1), F.col("_n")))
+    n = F.least(F.lit(gram), F.length("pattern"))
+    whole = F.expr(f"transform(sequence(1, length(pattern) - least({gram}, length(pattern)) + 1), i -> substr(pattern, i, {gram}))")
+    filed = r.select("pattern").distinct().select("pattern", n.alias("_n"), F.explode(F.array_distinct(whole)).alias("_g"))
     low = df.select(*ids, F.lower(text).alias("_t"))
-    used = r.select("_n", "_g").distinct()
-    grams = None
-    for n in range(1, gram + 1):
-        needed = r.agg(F.count_if(F.col("_n") == n) > 0).scalar()
-        g = low.filter(needed).select(*ids, F.lit(n).alias("_n"), F.explode(F.array_distinct(char_grams(F.col("_t"), n))).alias("_g"))
-        grams = g if grams is None else grams.unionByName(g)
-    found = grams.join(used, ["_n", "_g"], "left_semi").join(r, ["_n", "_g"])
+    used = filed.select("_n", "_g").distinct()
+    lengths = sorted(x[0] for x in used.select("_n").distinct().collect())
+    if not lengths:
+        return low.join(r, F.lit(False)).drop("_t")
+
+    def of_length(k: int) -> Column:
+        return F.transform(F.array_distinct(char_grams(F.col("_t"), k)), lambda g: F.struct(F.lit(k).alias("_n"), g.alias("_g")))
+
+    pieces = F.concat(*map(of_length, lengths))
+    grams = low.select(*ids, F.explode(pieces).alias("_p")).select(*ids, "_p.*").join(used, ["_n", "_g"], "left_semi")
+    path = new_path(df.sparkSession, "rule-grams")
+    grams.write.parquet(path)
+    grams = df.sparkSession.read.schema(grams.schema).parquet(path)
+    texts = grams.groupBy("_n", "_g").agg(F.count("*").alias("_d"))
+    rarest = filed.join(texts, ["_n", "_g"], "left").groupBy("pattern").agg(
+        F.min(F.struct(F.coalesce("_d", F.lit(0)).alias("d"), F.col("_n"), F.col("_g"))).alias("_m")).filter("_m.d > 0")
+    found = grams.join(rarest.select("pattern", "_m._n", "_m._g"), ["_n", "_g"]).join(r, "pattern")
     return found.select(*ids, "pattern", "type", "severity").join(low, list(ids)).filter(F.contains("_t", F.col("pattern"))).drop("_t")
 
 

@@ -189,7 +189,8 @@ def _(spark, d):
 
 
 @query("r8_ban_tracker", f"""
-WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT event_id, user_id, us, row_number() {ORDERED} AS i FROM ev WHERE event_type = 'error' AND us {CLOSED}),
+WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT event_id, user_id, us, row_number() {ORDERED} AS i FROM ev WHERE event_type = 'error'
+  AND us <= (SELECT max(us) FROM ev WHERE event_type = 'error') - {DELAY_US}),
 r AS (
   SELECT user_id, event_id, i, 1::BIGINT AS offence, [us + {hours(48)}] AS ends FROM o WHERE i = 1
   UNION ALL
