@@ -242,3 +242,19 @@ def test_files_without_digest_are_not_new(spark):
     new = spark.createDataFrame([("a", "1"), ("b", None), ("c", "x"), ("e", None)], "path string, md5 string")
     got = {x["path"]: x["status"] for x in joins.snapshot_diff(old, new, "path", "md5").collect()}
     assert got == {"a": "same", "b": "unverified", "c": "changed", "d": "removed", "e": "added"}
+
+
+@pytest.mark.parametrize("value,want", [("2047", 70), ("u7@example.org", 25), ("10.0.12.7", 35), ("2024-01-09", 30), ("C4CA4238A0B923820DCC509A6F75849B", 30), ("<b>", 0), ("", None)])
+def test_ordinary_discount_of_codes(spark, value, want):
+    got = one(spark, value, text.ordinary_discount)
+    assert want is None or got == want
+
+
+def test_escape_depth_has_no_small_limit(spark):
+    from urllib.parse import quote
+
+    x = "a b<"
+    for depth in range(9):
+        assert one(spark, x, text.escape_depth) == depth
+        x = quote(x, safe="")
+    assert one(spark, "100% sure", text.escape_depth) == 0

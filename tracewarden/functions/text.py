@@ -254,14 +254,14 @@ def ordinary_discount(text: Column) -> Column:
         (text.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}(?:\s+\d{2}:\d{2}(?::\d{2})?)?$"), 30))
 
 
-def escape_depth(text: Column, passes: int = 3) -> Column:
-    """How many times percent-decoding still changes the text, up to ``passes``."""
-    depth, x = F.lit(0), text
-    for _ in range(passes):
-        y = F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
-        depth = depth + (y != x).cast("int")
-        x = y
-    return depth
+def escape_depth(text: Column, passes: int = 12) -> Column:
+    """How many times percent-decoding changes the text until it settles; ``passes`` is the limit for texts that never do."""
+    def step(acc: Column, _: Column) -> Column:
+        y = F.coalesce(F.try_url_decode(F.replace(acc["x"], F.lit("+"), F.lit("%2B"))), acc["x"])
+        more = F.struct(y.alias("x"), (acc["depth"] + (y != acc["x"]).cast("int")).alias("depth"))
+        return F.when(F.contains(acc["x"], F.lit("%")), more).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.struct(text.alias("x"), F.lit(0).alias("depth")), step)["depth"]
 
 
 def feature_vector(text: Column, uri: Column, params: Column, risk: Column, entropy: Column) -> dict[str, Column]:

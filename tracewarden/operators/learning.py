@@ -57,9 +57,11 @@ def learn_rules(df: DataFrame, payload: str, kind: str, seen: int = 3, sources:
     beyond ``seen - 1`` over its payloads. Severity is 60, from 10 hits on 60 + hits up to 80.
     The first ``sources`` source ids by value are kept with each rule.
     """
-    p = df.groupBy(payload, kind).agg(F.count("*").alias("n")).groupBy(payload).agg(
-        F.sum("n").alias("n"), F.min_by(kind, F.struct(-F.col("n"), F.col(kind))).alias("type")).filter(F.col("n") >= seen)
-    t = p.select(F.md5(payload).alias("id"), "n", "type", F.explode(tokens(F.col(payload))).alias("token"))
+    # by digest and tokens: a long payload itself is not sent
+    own = df.select(F.md5(payload).alias("id"), F.col(kind).alias("_kind"), tokens(F.col(payload)).alias("_tokens"))
+    p = own.filter(F.size("_tokens") > 0).groupBy("id", "_kind").agg(F.count("*").alias("n"), F.any_value("_tokens").alias("_tokens")).groupBy("id").agg(
+        F.sum("n").alias("n"), F.min_by("_kind", F.struct(-F.col("n"), F.col("_kind"))).alias("type"), F.any_value("_tokens").alias("_tokens")).filter(F.col("n") >= seen)
+    t = p.select("id", "n", "type", F.explode("_tokens").alias("token"))
     w = Window.partitionBy("token", "type").orderBy("id")
     kept = t.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= sources).groupBy("token", "type").agg(
         F.array_sort(F.collect_list("id")).alias("sources"))

@@ -184,10 +184,10 @@ SELECT doc_id, round(least(1.0, n / 4096), 5) AS payload_length, round(least(1.0
   round(round(len(regexp_extract_all(text, '[<>"'';%|&`$(){{}}\\/*#=?!\[\]]')) / n * 100, 2) / 100, 5) AS special_ratio,
   round(len(regexp_extract_all(text, '[0-9]')) / n, 5) AS numeric_ratio, round(len(regexp_extract_all(text, '[A-Z]')) / n, 5) AS uppercase_ratio,
   round((n - len(regexp_extract_all(text, '[\x00-\x7F]'))) / n, 5) AS non_ascii_ratio, 0.1::DOUBLE AS url_depth, 0.1::DOUBLE AS path_segments,
-  round(least(1.0, length(lang) / 20), 5) AS query_params, round(least(1.0, (doc_id % 101) / 100), 5) AS risk FROM p""")
+  round(least(1.0, length(lang) / 20), 5) AS query_params, round(least(1.0, (doc_id % 101) / 100), 5) AS risk,
+  round(least(1.0, regexp_matches(text, '%[0-9a-fA-F]{{2}}')::INT / 3.0), 5) AS encoding_depth FROM p""")
 def _(spark, d):
     f = text.feature_vector(F.col("text"), F.concat(F.lit("/"), "source"), F.length("lang"), F.col("doc_id") % 101, text.byte_entropy(F.col("text")))
-    f.pop("encoding_depth")
     return documents(spark, d).select("doc_id", *[F.round(c, 5).alias(n) for n, c in f.items()])
 
 
@@ -227,27 +227,18 @@ def _(spark, d):
     return c.select("user_id", F.round(text.entropy_of_counts(F.col("c")), 5).alias("entropy"))
 
 
-# Codes of several shapes stand in for whole texts.
-CODE_SQL = """CASE doc_id % 6 WHEN 0 THEN CAST(doc_id * 7919 AS VARCHAR) WHEN 1 THEN 'u' || doc_id || '@example.org' WHEN 2 THEN '10.0.' || doc_id % 256 || '.7'
-  WHEN 3 THEN '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') WHEN 4 THEN upper(md5(CAST(doc_id AS VARCHAR))) ELSE text END"""
-
-
-def coded(spark, d):
-    i = F.col("doc_id")
-    code = first_of([
-        (i % 6 == 0, (i * 7919).cast("string")), (i % 6 == 1, F.concat(F.lit("u"), i.cast("string"), F.lit("@example.org"))),
-        (i % 6 == 2, F.concat(F.lit("10.0."), (i % 256).cast("string"), F.lit(".7"))),
-        (i % 6 == 3, F.concat(F.lit("2024-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"))), (i % 6 == 4, F.upper(F.md5(i.cast("string"))))], F.col("text"))
-    return documents(spark, d).withColumn("code", code)
-
-
 @query("p16_ordinary_discount", rf"""
-WITH c AS (SELECT doc_id, {CODE_SQL} AS x FROM documents), n AS (SELECT *, strlen(x) AS n FROM c)
-SELECT doc_id, (regexp_matches(x, '^[A-Za-z0-9+/=]+$') AND n % 4 = 0 AND n - strlen(replace(x, '=', '')) <= 2)::INT * 30 + regexp_matches(x, '^\d+$')::INT * 40
-  + regexp_matches(x, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+$')::INT * 25 + regexp_matches(x, '^10\.0\.\d+\.7$')::INT * 35
-  + regexp_matches(x, '^\d{{4}}-\d{{2}}-\d{{2}}$')::INT * 30 + (len(regexp_extract_all(x, '[\x{{4E00}}-\x{{9FFF}}]')) / n > 0.3)::INT * 15 AS discount FROM n""")
-def _(spark, d):
-    return coded(spark, d).select("doc_id", text.ordinary_discount(F.col("code")).alias("discount"))
+WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS x FROM documents), n AS (SELECT *, strlen(x) AS n FROM w WHERE x <> ''),
+s AS (SELECT doc_id, (regexp_matches(x, '^[A-Za-z0-9+/=]+$') AND n % 4 = 0 AND n - strlen(replace(x, '=', '')) <= 2)::INT * 30 + regexp_matches(x, '^\d+$')::INT * 40
+  + regexp_matches(x, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+$')::INT * 25 + regexp_matches(x, '^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)$')::INT * 35
+  + regexp_matches(x, '^\d{{4}}[-/]\d{{2}}[-/]\d{{2}}$')::INT * 30 + (len(regexp_extract_all(x, '[\x{{4E00}}-\x{{9FFF}}]')) / n > 0.3)::INT * 15
+  + regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.\-]*://[^\s/?#]+[^\s]*$')::INT * 20 AS discount FROM n)
+SELECT doc_id, count(*) AS words, count(*) FILTER (WHERE discount > 0) AS ordinary, sum(discount)::BIGINT AS discount, max(discount)::BIGINT AS most FROM s GROUP BY 1""")
+def _(spark, d):
+    # Every word of every text.
+    words = documents(spark, d).select("doc_id", F.explode(F.split("text", r"\s+")).alias("x")).filter("x <> ''")
+    each = words.select("doc_id", text.ordinary_discount(F.col("x")).cast("bigint").alias("x"))
+    return each.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(F.col("x") > 0).alias("ordinary"), F.sum("x").alias("discount"), F.max("x").alias("most"))
 
 
 @query("p19_segment_and_number", """

@@ -75,21 +75,21 @@ def _(spark, d):
     return inv.groupBy(F.regexp_extract("path", r"folder=(\d+)", 1).cast("bigint").alias("folder")).agg(F.sum("size").alias("bytes"))
 
 
-@query("s6_daily_append", f"WITH {EVENTS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, event_id FROM ev WHERE value >= 60")
+@query("s6_daily_append", f"WITH {EVENTS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, event_id FROM ev")
 def _(spark, d):
     path = new_path(spark, "verdicts")
     e = events(spark, d).select("event_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("dt"))
-    for part in (e.filter("value >= 60 and value < 90"), e.filter("value >= 90")):
+    for part in (e.filter("value >= 90"), e.filter("value < 90 OR value IS NULL")):
         logs.append_daily(part.select("event_id", "dt"), path)
     return spark.read.schema("event_id bigint, dt string").parquet(path)
 
 
 @query("s7_state_upsert", f"""
-WITH {EVENTS_SQL}, o AS (SELECT user_id, max(us) AS last, count(*) AS n FROM ev WHERE value < 100 GROUP BY 1), w AS (SELECT user_id, max(us) AS last, count(*) AS n FROM ev WHERE value >= 240 GROUP BY 1)
+WITH {EVENTS_SQL}, o AS (SELECT user_id, max(us) AS last, count(*) AS n FROM ev WHERE value < 100 GROUP BY 1), w AS (SELECT user_id, max(us) AS last, count(*) AS n FROM ev WHERE value >= 100 GROUP BY 1)
 SELECT * FROM w UNION ALL SELECT * FROM o WHERE user_id NOT IN (SELECT user_id FROM w)""")
 def _(spark, d):
     e = events(spark, d)
-    old, new = (e.filter(c).groupBy("user_id").agg(F.max("us").alias("last"), F.count("*").alias("n")) for c in ("value < 100", "value >= 240"))
+    old, new = (e.filter(c).groupBy("user_id").agg(F.max("us").alias("last"), F.count("*").alias("n")) for c in ("value < 100", "value >= 100"))
     t = VersionedTable(spark, new_path(spark, "clients"), old.schema)
     return t.write(logs.upserted(t.write(old, 0), new, ["user_id"]), 1)
 

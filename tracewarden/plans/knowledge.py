@@ -148,7 +148,7 @@ def _(spark, d):
     return ln.payload_frequency(events(spark, d), "k", "us", "event_type")
 
 
-PAYLOAD_SQL = """x AS (SELECT page_id, regexp_extract(html, '<html lang="[a-z]+">', 0) || regexp_replace(regexp_extract(html, '(?s)<script>.*?</script>', 0), '[0-9]+', '', 'g') AS html FROM pages)"""
+PAYLOAD_SQL = r"""x AS (SELECT page_id, unnest(string_split_regex(html, '[\n>;0-9]+')) AS html FROM pages)"""
 
 
 @query("a6_learned_rules", f"""
@@ -165,10 +165,9 @@ def _(spark, d):
 
 
 def _payloads(spark, d):
-    """Page language and script with the numbers cut out, so that payloads repeat."""
-    script = F.regexp_replace(F.regexp_extract("html", "(?s)<script>.*?</script>", 0), "[0-9]+", "")
-    return pages(spark, d).select(F.concat(F.regexp_extract("html", '<html lang="[a-z]+">', 0), script).alias("payload"),
-                                  F.when(F.col("page_id") % 3 == 0, "xss").otherwise("rce").alias("type"))
+    """The whole page, cut at line, tag and statement ends and at numbers, so that pieces repeat."""
+    kind = F.when(F.col("page_id") % 3 == 0, "xss").otherwise("rce").alias("type")
+    return pages(spark, d).select(F.explode(F.split("html", r"[\n>;0-9]+")).alias("payload"), kind)
 
 
 @query("a7_hot_signatures", f"""
