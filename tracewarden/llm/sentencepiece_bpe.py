@@ -76,7 +76,7 @@ class Encoder:
         self.ends = array("I", [self.bos]).tobytes(), array("I", [self.eos]).tobytes()
         self.fits: dict[tuple[str, str], bool] = {}
         self.packed: dict[str, bytes] = {}
-        self.plain: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         self.old: tuple[dict[str, bytes], dict[str, str]] = {}, {}
 
     def merged(self, text: str) -> list[str]:
@@ -164,35 +164,46 @@ class Encoder:
                 marks += MARK
         return first, out
 
-    def learn(self, word: str) -> tuple[bytes, str]:
-        """Ids as bytes, and the text they decode to inside a longer text, of a mark and a word."""
+    def learn(self, word: str) -> tuple[bytes, str | None]:
+        """Ids of a mark and a word as bytes, and the text that they decode to inside a longer text if it isn't the word itself."""
         packed = self.old[0].get(word)
         if packed is not None:
-            plain = self.old[1][word]
+            plain = self.old[1].get(word)
         else:
             ids = self.encode_word(MARK + word)
             packed, plain = array("I", ids).tobytes(), self.decode(ids, inside=True)
+            if plain == " " + word.replace(MARK, " "):
+                plain = None
         if len(word) <= 64:
             if len(self.packed) >= WORDS_KEPT:
-                self.old = self.packed, self.plain
-                self.packed, self.plain = {}, {}
-            self.packed[word], self.plain[word] = packed, plain
+                self.old = self.packed, self.odd
+                self.packed, self.odd = {}, {}
+            self.packed[word] = packed
+            if plain is not None:
+                self.odd[word] = plain
         return packed, plain
 
     def coded(self, text: str) -> tuple[bytes, str]:
         """Ids of the text with begin and end as little-endian 32-bit numbers, and what they decode to."""
         first, words = self.words(text) if text else ("", [])
         packed = list(map(self.packed.get, words))
-        plain = list(map(self.plain.get, words))
+        odd = {}
+        if self.odd and not self.odd.keys().isdisjoint(words):
+            odd = {k: self.odd[w] for k, w in enumerate(words) if w in self.odd}
         if None in packed:
             for k, w in enumerate(words):
                 if packed[k] is None:
-                    packed[k], plain[k] = self.learn(w)
+                    packed[k], plain = self.learn(w)
+                    if plain is not None:
+                        odd[k] = plain
+        if odd:
+            out = "".join([odd[k] if k in odd else " " + w.replace(MARK, " ") for k, w in enumerate(words)])
+        else:
+            out = (" " + " ".join(words)).replace(MARK, " ") if words else ""
         if first:
             ids = self.encode_word(first)
             packed.insert(0, array("I", ids).tobytes())
-            plain.insert(0, self.decode(ids))
-        out = "".join(plain)
+            out = self.decode(ids) + out
         if self.dummy and words and not first:
             out = out[1:]
         return self.ends[0] + b"".join(packed) + self.ends[1], out
