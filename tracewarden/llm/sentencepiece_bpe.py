@@ -33,7 +33,7 @@ from tracewarden.llm.common import text_or_empty, worker_cache
 MARK = "▁"
 #: Words whose result a worker remembers before it takes these for old ones and forgets the old ones
 #: before them, and pairs of pieces remembered before it starts afresh.
-WORDS_KEPT = 120_000
+WORDS_KEPT = 250_000
 PAIRS_KEPT = 300_000
 
 
