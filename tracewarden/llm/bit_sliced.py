@@ -8,8 +8,10 @@ on bitmaps (non-adjacent digits -1, 0, 1 keep the additions few). The top rows a
 from the most significant score slice downward, and of the rows that tie at the border the
 smallest ids are taken. Only each block's best rows per query leave a task.
 
-Nulls: rows with a null id or vector, or a vector with null or non-finite components, or of another
-length than most (the longest common one is given as `size`), take no part. A query is not its own
+Nulls: rows with a null id or vector, an empty vector, or a vector with null or non-finite components
+take no part. Vectors of different lengths have no inner product: each length is searched among
+itself, in blocks of its own. A component of any size is held with as many slices as its block needs;
+a best score that passes 64 bits, or a component that passes 62, is an error; none is left out. A query is not its own
 candidate: rows with its id are left out. Repeated rows count as separate candidates. Further
 columns play no part.
 """
@@ -31,12 +33,13 @@ QUERY_BLOCK = 1024
 SCALE = 1024
 
 
-def quantised(vectors: DataFrame, size: int, scale: int = SCALE) -> DataFrame:
-    """id, q (array of int): floor(scale * x) of every usable vector."""
-    ok = F.col("vec_id").isNotNull() & (F.size("embedding") == size)
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**31 / scale)))
-    # a vector beyond the range of the slices can't be held, and infinity is none
-    q = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int"))
+def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
+    """id, q (array of long): floor(scale * x) of every usable vector."""
+    ok = F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    most = F.lit(2.0**62)
+    fits = lambda x: F.when(F.abs(x.cast("double") * scale) < most, x.cast("double") * scale).otherwise(F.raise_error(F.lit("a component passes 62 bits")).cast("double"))
+    q = F.transform("embedding", lambda x: F.floor(fits(x)).cast("long"))
     return vectors.where(ok & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("id"), q.alias("q"))
 
 
@@ -174,7 +177,13 @@ def rows_of(bitmap: np.ndarray) -> np.ndarray:
 
 
 def values(scores: list[np.ndarray], rows: np.ndarray, offset: int) -> np.ndarray:
-    """Scores of some rows, read from the slices."""
+    """Scores of some rows, read from the slices; an error if one doesn't fit in 64 bits."""
+    if len(scores) > 62:
+        bits = [((digit[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).tolist() for digit in scores]
+        out = [sum(b << place for place, b in enumerate(x)) - offset for x in zip(*bits)]
+        if any(not -(1 << 63) <= x < 1 << 63 for x in out):
+            raise ValueError("scores pass 64 bits")
+        return np.array(out, np.int64)
     out = np.zeros(len(rows), np.int64)
     for place, digit in enumerate(scores):
         out += ((digit[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << place
@@ -182,52 +191,59 @@ def values(scores: list[np.ndarray], rows: np.ndarray, offset: int) -> np.ndarra
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
+    """Vectors of one length as rows."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = flat if isinstance(flat, pa.ListArray) else pa.concat_arrays(flat.chunks)
     return flat.flatten().to_numpy().reshape(-1, size)
 
 
-def build(vectors: DataFrame, size: int) -> DataFrame:
-    """Blocks of the index: block, n, ids (binary), bits, slices (binary). Blocks never leave their partition."""
+def build(vectors: DataFrame) -> DataFrame:
+    """Blocks of the index: block, size (length of its vectors), n, ids (binary), bits, slices (binary).
+
+    Blocks never leave their partition. At most BLOCK vectors are held, whatever their lengths.
+    """
 
     def run(batches):
-        held_ids, held, n = [], [], 0
+        held, n = {}, 0
 
-        def block():
-            ids, q = np.concatenate(held_ids), np.concatenate(held)
-            order = np.argsort(ids, kind="stable")
-            index, bits = slices_of(q[order])
-            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([ids[order].tobytes()]), pa.array([bits], pa.int32()), pa.array([index.tobytes()])], ["n", "ids", "bits", "slices"])
+        def blocks():
+            for size, parts in sorted(held.items()):
+                ids, q = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(ids, kind="stable")
+                index, bits = slices_of(q[order])
+                cols = [pa.array([x], pa.int32()) for x in (size, len(ids), bits)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([ids[order].tobytes()]), pa.array([index.tobytes()])], ["size", "n", "bits", "ids", "slices"])
 
         for b in batches:
             at = 0
             while at < b.num_rows:
                 part = b.slice(at, min(BLOCK - n, b.num_rows - at))
-                held_ids.append(part.column("id").to_numpy())
-                held.append(matrix(part.column("q"), size))
+                lengths = part.column("q").value_lengths().to_numpy()
+                for size in np.unique(lengths).tolist():
+                    own = part.take(pa.array(np.flatnonzero(lengths == size)))
+                    held.setdefault(size, []).append((own.column("id").to_numpy(), matrix(own.column("q"), size)))
                 n, at = n + part.num_rows, at + part.num_rows
                 if n == BLOCK:
-                    yield block()
-                    held_ids, held, n = [], [], 0
-        if n:
-            yield block()
+                    yield from blocks()
+                    held, n = {}, 0
+        yield from blocks()
 
-    return vectors.mapInArrow(run, "n int, ids binary, bits int, slices binary").withColumn("block", F.monotonically_increasing_id())
+    return vectors.mapInArrow(run, "size int, n int, bits int, ids binary, slices binary").withColumn("block", F.monotonically_increasing_id())
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, size: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of every query (id, q)."""
+def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best candidates of every query (id, q) among the vectors of its length."""
     spark = vectors.sparkSession
-    index = stored(build(vectors, size), "bit-slices")
-    blocks = index.select("block")
-    chosen = queries.select(F.col("id").alias("query_id"), F.col("q"))
+    index = stored(build(vectors), "bit-slices")
+    blocks = index.select("block", "size")
+    chosen = queries.select(F.col("id").alias("query_id"), F.col("q"), F.size("q").alias("size"))
     groups = max(1, -(-chosen.count() // QUERY_BLOCK))
     chosen = chosen.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-    # every block of queries goes to every block of the index: the stated query set against all rows
+    # every block of queries goes to every block of the index of its length: the stated query set against all rows
     numbered = blocks.join(F.broadcast(spark.range(groups).select(F.col("id").cast("int").alias("part"))))
-    asked = chosen.join(numbered, "part").select("block", "part", "query_id", "q")
+    asked = chosen.join(numbered, ["part", "size"]).select("block", "part", "query_id", "q")
     both = asked.select("block", "part", "query_id", "q", F.lit(None).cast("int").alias("bits"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("slices"))
-    told = index.join(numbered, "block").select("block", "part", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<int>").alias("q"), "bits", "ids", "slices")
+    told = index.join(numbered.select("block", "part"), "block").select("block", "part", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<long>").alias("q"), "bits", "ids", "slices")
     rows = told.unionByName(both).repartition("block", "part").sortWithinPartitions("block", "part", F.col("query_id").asc_nulls_first())
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -237,10 +253,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, size: int) -> DataFram
                 if first["slices"] is None or e - s == 1:
                     continue
                 ids = np.frombuffer(first["ids"], np.int64)
-                block = np.frombuffer(first["slices"], np.uint64).reshape(size, first["bits"], -1)
+                words = (len(ids) + 63) // 64
+                block = np.frombuffer(first["slices"], np.uint64).reshape(-1, first["bits"], words)
                 every = np.packbits(np.arange(block.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
                 asked_ids = table.column("query_id").slice(s + 1, e - s - 1).to_numpy()
-                for query_id, query in zip(asked_ids.tolist(), matrix(table.column("q").slice(s + 1, e - s - 1), size)):
+                for query_id, query in zip(asked_ids.tolist(), matrix(table.column("q").slice(s + 1, e - s - 1), len(block))):
                     open_ = every.copy()
                     for own in range(*np.searchsorted(ids, [query_id, query_id + 1])):
                         open_[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))

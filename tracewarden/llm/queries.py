@@ -68,10 +68,10 @@ OP2_SQL = """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
-p AS (SELECT id, generate_subscripts(q, 1) AS i, unnest(q) AS x FROM v),
+p AS (SELECT id, len(q) AS size, generate_subscripts(q, 1) AS i, unnest(q) AS x FROM v),
 s AS (
   SELECT a.id AS query_id, b.id AS vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score
-  FROM p a JOIN p b ON a.i = b.i AND a.id <> b.id WHERE a.id % 100 = 0 GROUP BY ALL)
+  FROM p a JOIN p b ON a.i = b.i AND a.size = b.size AND a.id <> b.id WHERE a.id % 100 = 0 GROUP BY ALL)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
@@ -80,11 +80,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 @query("op2_bit_sliced_top_k", OP2_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best candidates of every vector whose id is divisible by 100."""
-    rows = read(spark, folder, "embeddings")
-    sizes = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").where("size > 0").first()
-    size = sizes["size"] if sizes else 1
-    vectors = bit_sliced.quantised(rows, size)
-    return bit_sliced.top_k(vectors, vectors.where(F.col("id") % 100 == 0), 10, size)
+    vectors = bit_sliced.quantised(read(spark, folder, "embeddings"))
+    return bit_sliced.top_k(vectors, vectors.where(F.col("id") % 100 == 0), 10)
 
 
 @query("op3_winnowing")
@@ -126,11 +123,12 @@ MIXTURE = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 @query("op5_source_mixing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Rate of every document so that the expected tokens of the languages reach their shares."""
-    rated, names = source_mixing.rates(read(spark, folder, "documents"), read(spark, folder, "labels"), "lang", MIXTURE)
+    rated, names, error = source_mixing.rated(read(spark, folder, "documents"), read(spark, folder, "labels"), "lang", MIXTURE)
     best = F.array_max(F.transform("p", lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
     name = F.array(*map(F.lit, names))[-best["i"]] if names else F.lit(None).cast("string")
     return rated.select(
-        "doc_id", F.col("tokens").alias("n_tokens"), name.alias("domain"), best["p"].alias("posterior"), "rate", source_mixing.copies(F.col("rate")).alias("copies")
+        "doc_id", F.col("tokens").alias("n_tokens"), name.alias("domain"), best["p"].alias("posterior"), "rate", source_mixing.copies(F.col("rate")).alias("copies"),
+        F.lit(error).alias("total_error"),
     )
 
 
