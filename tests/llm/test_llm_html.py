@@ -59,3 +59,27 @@ def test_headline_and_lead_stay():
     page = f"<body><article><h1>Head</h1><div class=lead><p>{lead}</div><div class=body><p>{body}</div></article><div class=related><p>{lead}</div></body>"
     assert H.vote(page)[0] == "body/article"
     assert H.main_text(page, []) == f"Head\n\n{lead}\n\n{body.strip()}"
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p><a title=don't>link</a> text that isn't lost</p><p>more", "link text that isn't lost\n\nmore"),
+    ("<p class=it's hidden>gone</p><p>kept, isn't it", "kept, isn't it"),
+    ('<p title="a>b" x=\'c>d\'>one</p><p title = "e>f">two', "one\n\ntwo"),
+    ('<p "odd" x="y"z>one</p><p =a>two<br/>three', "one\n\ntwo three"),
+    ("<p title=it's>one</p><p title=that's>two</p>", "one\n\ntwo"),
+    ("<a href=/x/y>one</a> two", "one two"),
+])
+def test_quotes_within_tags(page, want):
+    assert H.main_text(page, []) == want
+
+
+def test_paragraph_about_a_topic_stays():
+    words = "word " * 30
+    page = f"<body><article><p>{words}</p><p class=social>We were social people in those days.</p><p class=social><a href=x>Follow us</a></p><p class=advert>Buy our fine things now, all of them</p></article>"
+    page += "<p class=social>We are on all of the networks, too.</p></body>"
+    assert H.main_text(page, []) == f"{words.strip()}\n\nWe were social people in those days."
+
+
+def test_very_long_page():
+    page = "<div class=nav>menu</div>" + "<p title=it's>some words of text" * 20_000
+    assert H.main_text(page, []).count("some words of text") == 20_000

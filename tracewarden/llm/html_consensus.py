@@ -8,7 +8,8 @@ has none of them, or no text there, is read by its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and the like are left
 out by tag, role, class and id; a class or id counts by its whole tokens, and not on a container that
-holds most of the page's running text. Character references are decoded, white space inside a block
+holds most of the page's running text. A paragraph of running text whose class names but a topic
+(`_TOPICS`) stays where the container around it is chosen. Character references are decoded, white space inside a block
 becomes one space, blocks are joined in page order by a blank line; nothing else is dropped.
 
 Nulls: null html is an empty page with empty text; a null url belongs to the host "". Repeated rows
@@ -32,8 +33,12 @@ MOST = 0.7
 #: Winning paths kept for a host, the best first.
 PATHS = 3
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>)""", re.S)
-_ATTR = re.compile(r"""([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A comment, a declaration, or a tag with its attributes: a name, and behind "=" a value with or without quotes. Only
+#: a quote right behind "=" opens a value; any other is a letter like the rest.
+_TAG = re.compile(
+    r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+)?+)*+)>)""", re.S
+)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Elements whose content is not markup.
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"}
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
@@ -52,6 +57,9 @@ _CLUTTER_PART = (
 _PLACE_PART = r"(?:site|main|page|top|bottom|left|right|upper|lower|primary|secondary|global|mobile|desktop|post|posts|article|wp|block|box|bar|area|list|item|items|links?|wrap|wrapper|inner|section|form|buttons?|icons?|text|\d+)"
 #: A whole token of a class or id: such parts only, one of them clutter.
 _CLUTTER = re.compile(rf"(?:{_PLACE_PART}[_-]+)*{_CLUTTER_PART}(?:[_-]+(?:{_CLUTTER_PART}|{_PLACE_PART}))*[_-]*", re.I)
+#: Names of clutter that a paragraph of running text may bear as its topic, and elements that are such paragraphs.
+_TOPICS = {"social", "related", "share", "sharing", "search", "recommended"}
+_PARAGRAPHS = {"p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of a block from which on it counts as running text beside a container.
 RUNNING = 5
@@ -62,9 +70,11 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("parent", "tag", "name", "dropped", "link", "weight", "marks")
+    __slots__ = ("parent", "tag", "name", "dropped", "link", "weight", "marks", "topic")
 
-    def __init__(self, parent: "Node | None", tag: str, name: str, dropped: bool, marked: bool = False):
+    def __init__(self, parent: "Node | None", tag: str, name: str, dropped: bool, marked: bool = False, topic: bool = False):
+        #: whether its class or id may be the topic of a paragraph
+        self.topic = topic
         self.parent, self.tag, self.name, self.dropped = parent, tag, name, dropped
         #: the elements around and including this one whose class or id names clutter
         self.marks = (() if parent is None else parent.marks) + ((self,) if marked else ())
@@ -85,12 +95,13 @@ def _node(parent: Node, tag: str, raw: str) -> Node:
     attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
     cls, ident = attrs.get("class", ""), attrs.get("id", "")
     dropped = parent.dropped or tag in _DROPPED or attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-    marked = False
+    marked = topic = False
     if not dropped and tag not in ("html", "body"):
-        marked = any(_CLUTTER.fullmatch(x) for x in (*cls.split(), *ident.split()))
+        named = [x.lower() for x in (*cls.split(), *ident.split()) if _CLUTTER.fullmatch(x)]
+        marked, topic = bool(named), tag in _PARAGRAPHS and _TOPICS.issuperset(named)
         dropped = (marked and tag in _INLINE) or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None
     name = tag + "".join(f".{_DIGITS.sub('0', c)}" for c in sorted(set(cls.split()))) + (f"#{_DIGITS.sub('0', ident)}" if ident else "")
-    return Node(parent, tag, name, dropped, marked and not dropped)
+    return Node(parent, tag, name, dropped, marked and not dropped, topic)
 
 
 def blocks(page: str) -> list[tuple[Node, str, int, bool]]:
@@ -103,13 +114,25 @@ def blocks(page: str) -> list[tuple[Node, str, int, bool]]:
         for x in node.marks:
             marked[x] = marked.get(x, 0.0) + w
     clutter = {x for x, w in marked.items() if w < MOST * total}
-    return [(_container(node), text, linked, _heading(node)) for node, text, linked in found if clutter.isdisjoint(node.marks)]
+    out = []
+    for node, text, linked in found:
+        hit = clutter.intersection(node.marks)
+        if not hit:
+            out.append((_container(node), text, linked, _heading(node)))
+        elif all(x.topic for x in hit) and _is_running(text, linked):
+            # it stays if the container around it is chosen, and has no say in the choice: it counts as all links
+            out.append((_container(node), text, len(text), False))
+    return out
 
 
 def _running(text: str, linked: int) -> float:
     return max(0.0, len(text) - 1.5 * linked) + 0.01
 
 
+def _is_running(text: str, linked: int) -> bool:
+    return 2 * linked < len(text) and len(text.split()) >= RUNNING
+
+
 def _heading(node: Node) -> bool:
     while node.parent is not None and (node.tag in _INLINE or node.tag in _TEXT):
         if node.tag in _HEADINGS:
@@ -213,7 +236,7 @@ def best_container(found: list[tuple[Node, str, int, bool]]) -> Node | None:
     while at is not None and at.parent is not None:
         at = at.parent
         inside.add(id(at))
-    wide = [(node, text) for node, text, linked, heading in found if heading or (len(text.split()) >= RUNNING and 2 * linked < len(text))]
+    wide = [(node, text) for node, text, linked, heading in found if heading or _is_running(text, linked)]
     for node, _ in wide:
         up, chain = node, []
         while up is not None:
