@@ -46,3 +46,12 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x"), (None, None)], "page_id long, url string")
     assert {r["verdict"] for r in url_filter.judge(pages, [], model).collect()} == {"allow"}
     assert url_filter.judge(pages.where("false"), queries.URL_RULES, model).count() == 0
+
+
+def test_urls_that_are_bad_by_their_path(spark):
+    bad = ["https://news.example.net/casino/free-spins", "https://theguardian.net/world/2024/porn-xxx", "https://bbc.co.uk/news/poker-bets-jackpot", "https://garden.org/cheap-viagra-pills.html"]
+    good = ["https://news.example.net/world/history", "https://theguardian.net/world/2024/gardens-of-the-north", "https://bbc.co.uk/news/winter-weather-report", "https://garden.org/tomatoes-in-summer.html", "https://example.net/" + "long-story-of-people/" * 4000]
+    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    model = url_filter.train(queries.labelled_urls(spark))
+    got = {r["page_id"]: r["score"] for r in url_filter.judge(pages, [], model).collect()}
+    assert [got[i] >= 0.5 for i in range(len(got))] == [True] * len(bad) + [False] * len(good), got

@@ -41,20 +41,35 @@ URL_RULES = [
     url_filter.Rule("com", "/fr/", True),
     url_filter.Rule("com", "/de/", False),
 ]
-#: The small labelled table: words of hosts that are to be blocked and of ordinary ones.
-BLOCKED_WORDS = "casino win bets betting poker slots jackpot lottery pills cheap pharma viagra spam farm link-farm adult xxx x porn cams escort ads track tracker tracking adserver banner popup click clicks malware phish free-money loans payday crypto-win torrent warez crack keygen".split()
+#: The small labelled table: words of hosts and paths that are to be blocked, and ordinary ones.
+BLOCKED_WORDS = "casino win bets betting poker slots jackpot lottery pills cheap pharma viagra spam farm link-farm adult xxx x porn cams escort ads track tracker tracking adserver banner popup click clicks malware phish free-money loans payday crypto-win torrent warez crack keygen free-spins".split()
 ORDINARY_WORDS = "news daily times herald river garden kitchen school library science history travel weather health doctor music books cinema theatre nature forest mountain harbour village market museum letters reading writing teacher student city council research journal review archive atlas bridge".split()
-ORDINARY_WORDS += "that this there their with which table stable thing nothing tion other than thin ereth hether stone enther tingon hesta ounder athe rion lestra dure mendo carre".split()
+ORDINARY_WORDS += "world sport business article story people family animals cooking recipe language culture politics economy science-report interview opinion photo video guide lesson course project team contact about profile report paper essay chapter question answer help support product catalogue winter summer stone water light house street north south eastern western morning evening friend mother brother winner window beautiful electric common general public national company history-of-art learning".split()
+ORDINARY_WORDS += "nachrichten zeitung wetter schule garten reise wissen gesundheit stadt leben maison jardin livre ville voyage histoire noticias tiempo escuela ciudad libro viaje salud historia en de fr es index home page item".split()
+DOMAINS = ["com", "net", "org", "info", "de", "fr", "es", "co.uk", "example.com"]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, block): each word as a host of its own and within longer hosts, under every domain and language."""
+    """(url, block): each word in hosts and in paths of several shapes; the rest of such a url is ordinary.
+
+    A blocked word stands as often in the path of an ordinary host as in a host with an ordinary path,
+    so that both halves of the classifier learn.
+    """
     words = spark.createDataFrame([(w, True) for w in BLOCKED_WORDS] + [(w, False) for w in ORDINARY_WORDS], "word string, block boolean")
-    spread = lambda *x: F.explode(F.array(*map(F.lit, x)))
-    rows = words.withColumn("host", F.explode(F.array(*(F.concat(F.lit(a), "word", F.lit(b)) for a in ("", "www.", "m.", "blog.") for b in ("", "-site", "s")))))
-    rows = rows.withColumn("top", spread("com", "net", "org")).withColumn("lang", spread("en", "de"))
-    number = F.abs(F.xxhash64("host", "top")) % 10000
-    return rows.select(F.concat(F.lit("https://"), "host", F.lit(".example."), "top", F.lit("/"), "lang", F.lit("/"), number).alias("url"), "block")
+    spread = lambda *x: F.explode(F.array(*x))
+    some = lambda values, salt: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(F.lit(salt), "shape", "word"), F.lit(len(values))) + 1).cast("int"))
+    a, b, top = some(ORDINARY_WORDS, 1), some(ORDINARY_WORDS, 2), some(DOMAINS, 3)
+    number = F.pmod(F.xxhash64(F.lit(4), "shape", "word"), F.lit(10_000)).cast("string")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    w = F.col("word")
+    rows = words.withColumn("shape", spread(*map(F.lit, range(12))))
+    hosts = [text(w), text("www.", w), text(w, "-", a), text(a, "-", w), text(w, "s"), text("m.", w, a)]
+    plain = [text("/"), text("/", a), text("/", a, "/", number), text("/", number, "/", b, "-", a, ".html"), text("/", b, "/"), text("/", a, "-", b)]
+    paths = [text("/", w), text("/", w, "/", a), text("/", a, "/", w), text("/", b, "-", w, "-", a), text("/", number, "/", w, ".html"), text("/", w, "-", number, "/")]
+    pick = lambda values: F.element_at(F.array(*values), (F.pmod("shape", F.lit(6)) + 1).cast("int"))
+    in_host = text("https://", pick(hosts), ".", top, pick(plain))
+    in_path = text("https://", some(["", "www.", "blog."], 5), a, ".", top, pick(paths))
+    return rows.select(F.when(F.col("shape") < 6, in_host).otherwise(in_path).alias("url"), "block")
 
 
 @query("op1_url_filter")

@@ -7,7 +7,7 @@ the host and of the path, marked by which of the two they come from and with the
 hashed into a fixed number of weights.
 
 Nulls: a null url, or one without "://", has an empty host and path and is judged like any other.
-Labelled urls without label are left out; without labelled urls the classifier allows everything.
+Urls of any length are read whole. Labelled urls without label are left out; without labelled urls the classifier allows everything.
 Repeated rows give equal rows. Further columns play no part.
 """
 
@@ -104,8 +104,11 @@ class UrlModel:
     bias: float
 
 
-def train(labelled: DataFrame, rows: int = FIT_ROWS, steps: int = 300, rate: float = 1.0, decay: float = 3e-4) -> UrlModel:
-    """Model from a table (url, block): at most `rows` different urls, chosen by hash, fitted on the driver."""
+def train(labelled: DataFrame, rows: int = FIT_ROWS, steps: int = 1500, rate: float = 1.0, decay: float = 3e-5, prior: float = 0.3) -> UrlModel:
+    """Model from a table (url, block): at most `rows` different urls, chosen by hash, fitted on the driver.
+
+    `prior` is the share of urls to be blocked that the model reckons with, whatever the table's share.
+    """
     host, path = parts(F.col("url"))
     known = labelled.where(F.col("block").isNotNull()).groupBy(host.alias("host"), path.alias("path")).agg(F.max(F.col("block").cast("int")).alias("block"))
     sample = known.orderBy(F.xxhash64("host", "path"), "host", "path").limit(rows).collect()
@@ -115,7 +118,7 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS, steps: int = 300, rate: flo
     row, bucket = both_grams(pa.array([r["host"] for r in sample]), pa.array([r["path"] for r in sample]))
     scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
     w, b, mw, mb = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS), 0.0
-    share = np.where(y == 1, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum())) / 2  # both classes weigh the same
+    share = np.where(y == 1, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum())) * np.where(y == 1, prior, 1 - prior)
     for _ in range(steps):
         z = np.bincount(row, w[bucket], len(y)) * scale + b
         e = (1 / (1 + np.exp(-z)) - y) * share
