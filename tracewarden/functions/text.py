@@ -218,17 +218,20 @@ def byte_entropy(text: Column) -> Column:
     """
 
     def entropy(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            raw = np.frombuffer(t.encode(), dtype=np.uint8)
-            if not raw.size:
-                return 0.0
-            p = np.bincount(raw)
-            p = p[p > 0] / raw.size
-            return float(-(p * np.log2(p)).sum())
-
-        return texts.map(one)
+        raw = [t.encode() if t is not None else b"" for t in texts]
+        out = np.zeros(len(raw))
+        at = 0
+        while at < len(raw):  # whole texts, some megabytes and at most 4096 rows a step
+            end, size = at + 1, len(raw[at])
+            while end < len(raw) and end - at < 4096 and size + len(raw[end]) <= 1 << 22:
+                size += len(raw[end])
+                end += 1
+            n = np.fromiter(map(len, raw[at:end]), np.int64, end - at)
+            slot = np.repeat(np.arange(end - at) * 256, n) + np.frombuffer(b"".join(raw[at:end]), np.uint8)
+            p = np.bincount(slot, minlength=256 * (end - at)).reshape(-1, 256) / np.maximum(n, 1)[:, None]
+            out[at:end] = -(p * np.log2(np.where(p > 0, p, 1.0))).sum(1)
+            at = end
+        return pd.Series(out + 0.0, index=texts.index).where(texts.notna(), None)
 
     return F.pandas_udf(entropy, DoubleType())(text)
 

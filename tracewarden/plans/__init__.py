@@ -6,7 +6,7 @@ import importlib
 
 from tracewarden.plans.registry import ORACLES, QUERIES
 
-GROUPS = ["windows", "chains", "columns", "rules", "knowledge", "flows"]
+GROUPS = ["windows", "chains", "columns", "rules", "knowledge", "flows", "verdicts"]
 
 
 def _load() -> None:

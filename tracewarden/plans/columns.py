@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracewarden.functions import audit, net, scores, text, uri
 from tracewarden.functions.scores import first_of
 from tracewarden.operators import params as pr
+from tracewarden.operators import verdict
 from tracewarden.operators.joins import url_allowlist
 from tracewarden.plans.registry import EVENTS_SQL, events, query, table, texts
 from tracewarden.tables import values_sql
@@ -334,9 +335,15 @@ def _(spark, d):
     return _headers(spark, d).select("page_id", audit.smuggling_issue(F.col("headers")).alias("issue"))
 
 
-@query("p26_obfuscation", rf"""
-WITH s AS (SELECT page_id, html AS x, page_id % 5 AS dp, page_id % 6 AS kinds, page_id % 9 = 0 AS dbl, (page_id % 70) / 10.0 AS e FROM pages),
-c AS (SELECT *, regexp_matches(x, '[a-zA-Z]')::INT + regexp_matches(x, '[\x{{0400}}-\x{{04FF}}]')::INT + regexp_matches(x, '[\x{{0370}}-\x{{03FF}}]')::INT + regexp_matches(x, '[\x{{0530}}-\x{{058F}}]')::INT
+# Payload of a page taken as a request: its text, decoding depth of the url, kinds of encoding, entropy.
+DEPTH_SQL = "e0 AS (SELECT page_id, coalesce(url, '') AS u, 0 AS d FROM pages), " + ", ".join(
+    f"e{i} AS (SELECT page_id, url_decode(replace(u, '+', '%2B')) AS u, d + (url_decode(replace(u, '+', '%2B')) <> u)::INT AS d FROM e{i - 1})" for i in range(1, 13))
+PAYLOAD_SQL = rf"""pl AS (SELECT page_id, concat_ws(' ', nullif(url, ''), nullif(html, '')) AS x FROM pages), {DEPTH_SQL}, hb AS (SELECT page_id, hex(encode(x)) AS h FROM pl),
+bc AS (SELECT page_id, b, count(*) AS c FROM (SELECT page_id, substr(h, 2 * i + 1, 2) AS b FROM (SELECT page_id, h, unnest(range(length(h) // 2)) AS i FROM hb)) GROUP BY 1, 2),
+en AS (SELECT page_id, -sum(c / t * log2(c / t)) AS e FROM bc JOIN (SELECT page_id, sum(c) AS t FROM bc GROUP BY 1) USING (page_id) GROUP BY 1),
+s AS (SELECT page_id, x, d AS dp, {' + '.join(f"regexp_matches(x, {sql_text(p)})::INT" for p in verdict.ENCODINGS.values())} AS kinds, d >= 2 AS dbl, e FROM pl JOIN e12 USING (page_id) JOIN en USING (page_id))"""
+# Continues ``s`` (page_id, x, dp, kinds, dbl, e).
+OBFUSCATION_SQL = rf"""c AS (SELECT *, regexp_matches(x, '[a-zA-Z]')::INT + regexp_matches(x, '[\x{{0400}}-\x{{04FF}}]')::INT + regexp_matches(x, '[\x{{0370}}-\x{{03FF}}]')::INT + regexp_matches(x, '[\x{{0530}}-\x{{058F}}]')::INT
     + regexp_matches(x, '[\x{{0600}}-\x{{06FF}}]')::INT + regexp_matches(x, '[\x{{4E00}}-\x{{9FFF}}]')::INT AS mixed,
   len(regexp_extract_all(x, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}\x{{2060}}\x{{00AD}}\x{{202A}}-\x{{202E}}]')) AS inv,
   len(regexp_extract_all(x, '/\*[\s\S]*?\*/')) + len(regexp_extract_all(x, '<!--[\s\S]*?-->')) AS com, len(regexp_extract_all(x, '[A-Z]')) AS up, len(regexp_extract_all(x, '[a-z]')) AS lo,
@@ -355,10 +362,12 @@ g AS (SELECT *, CASE WHEN dp >= 4 THEN 30 WHEN dp >= 2 THEN 15 ELSE 0 END + CASE
   (dp >= 2)::INT + dbl::INT + (mixed >= 3 OR look)::INT AS risky FROM f),
 h AS (SELECT *, least(100, raw) AS s, CASE WHEN techniques = '' THEN 0 ELSE len(string_split(techniques, ',')) END AS nt FROM g)
 SELECT page_id, CAST(s AS BIGINT) AS obfuscation, CASE WHEN s >= 70 THEN 'extreme' WHEN s >= 50 THEN 'heavy' WHEN s >= 30 THEN 'moderate' WHEN s >= 10 THEN 'light' ELSE 'none' END AS obfuscation_depth,
-  techniques, CAST(least(100, risky * 20 + CASE WHEN nt >= 4 THEN 20 ELSE 0 END) AS BIGINT) AS bypass_intent FROM h""")
+  techniques, CAST(least(100, risky * 20 + CASE WHEN nt >= 4 THEN 20 ELSE 0 END) AS BIGINT) AS bypass_intent FROM h"""
+
+
+@query("p26_obfuscation", f"WITH {PAYLOAD_SQL}, {OBFUSCATION_SQL}")
 def _(spark, d):
-    i = F.col("page_id")
-    r = text.obfuscation(pages(spark, d), "html", i % 5, i % 6, i % 9 == 0, (i % 70) / 10)
+    r = verdict.payloads(pages(spark, d), "page_id", "url", "html")
     return r.select("page_id", "obfuscation", "obfuscation_depth", F.concat_ws(",", "techniques").alias("techniques"), "bypass_intent")
 
 
