@@ -1,5 +1,6 @@
 """Operators on small literal rows: attack families, decoding, logs, the text model."""
 
+import hashlib
 import json
 import random
 
@@ -191,8 +192,21 @@ def test_inventory(spark, tmp_path):
     (tmp_path / "skip").mkdir()
     for p, c in (("a.php", "x"), ("b.php", "yy" * 50), ("c.txt", "z"), ("skip/d.php", "q")):
         (tmp_path / p).write_text(c)
-    got = {x["path"].rsplit("/", 1)[1]: (x["md5"], x["size"]) for x in files.inventory(spark, str(tmp_path), "*.php", ["skip"], longest=10).collect()}
-    assert got == {"a.php": ("9dd4e461268c8034f5c8564e155c67a6", 1), "b.php": (None, 100)}
+    got = {x["path"].rsplit("/", 1)[1]: (x["md5"], x["size"]) for x in files.inventory(spark, str(tmp_path), "*.php", ["skip"]).collect()}
+    assert got == {"a.php": ("9dd4e461268c8034f5c8564e155c67a6", 1), "b.php": (hashlib.md5(b"yy" * 50).hexdigest(), 100)}
+    assert [x["content"] for x in files.inventory(spark, str(tmp_path), "a.php", content=True).collect()] == ["x"]
+
+
+def test_digest_in_pieces(spark, tmp_path):
+    (tmp_path / "sp ace").mkdir()
+    big = bytes(range(256)) * 5000
+    for p, c in (("big.bin", big), ("none.bin", b""), ("sp ace/x.bin", b"x")):
+        (tmp_path / p).write_bytes(c)
+    rows = spark.createDataFrame([(f"file:{tmp_path}/{p}",) for p in ("big.bin", "none.bin", "sp ace/x.bin", "gone.bin")] + [(f"file://{tmp_path}/big.bin",)], "path string")
+    got = {x["path"]: x["md5"] for x in files.with_digests(rows, chunk=1000).collect()}
+    want = {"big.bin": big, "none.bin": b"", "sp ace/x.bin": b"x"}
+    assert got == {f"file:{tmp_path}/{p}": hashlib.md5(c).hexdigest() for p, c in want.items()} | {
+        f"file:{tmp_path}/gone.bin": None, f"file://{tmp_path}/big.bin": hashlib.md5(big).hexdigest()}
 
 
 def test_bayes_separates_and_stays_cold(spark):

@@ -245,3 +245,17 @@ def top_predictions(predictions: DataFrame, keys, item: str, n: int) -> DataFram
     w = Window.partitionBy(*keys).orderBy(F.desc("prob"), F.asc(item))
     return g.select(*keys, item, F.least(F.lit(100.0), base + boost).alias("prob")) \
         .withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
+
+
+def next_steps(df: DataFrame, keys, t, tie, phase, paths: Sequence[tuple[str, str, int]], names: Sequence[tuple[str, str, int]], n_paths=5, n_names=5) -> DataFrame:
+    """Likely next paths and parameter names of each key by the phase of its last row: kind, item, prob, rank.
+
+    ``paths`` and ``names`` are (phase, item, probability) settings, a few dozen rows.
+    """
+    steps = [(p, k, i, float(q)) for k, rows in (("path", paths), ("parameter", names)) for p, i, q in rows]
+    steps = df.sparkSession.createDataFrame(steps, "_phase string, kind string, item string, prob double")
+    w = Window.partitionBy("_phase", "kind").orderBy(F.desc("prob"), "item")
+    best = steps.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= F.when(F.col("kind") == "path", n_paths).otherwise(n_names))
+    last = df.groupBy(*keys).agg(F.max_by(phase, F.struct(t, tie)).alias("_phase"))
+    # settings, ranked once for all keys
+    return last.join(F.broadcast(best), "_phase").select(*keys, F.col("_phase").alias("phase"), "kind", "item", "prob", "rank")

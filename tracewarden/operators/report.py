@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewarden.operators.joins import range_lookup
 
 
 def summary(df: DataFrame, client: str, kind: str, day: str) -> DataFrame:
@@ -58,3 +59,19 @@ def top_paths(df: DataFrame, uri: str, n: int = 10) -> DataFrame:
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts per combination of the columns."""
     return df.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+def panels(df: DataFrame, address: str, t: str, tie: str, ranges: DataFrame, rate: DataFrame, width: int, countries: int = 20, newest: int = 20) -> DataFrame:
+    """Rows of the dashboard beside its summary: panel, item, n.
+
+    The busiest countries, the newest rows with their country (``n`` is the row's id), and the rate of
+    `rate_per_minute`. ``ranges`` tells countries from numbers; width is that of `range_lookup`.
+    """
+    placed = range_lookup(df.select(address), address, ranges, width).filter(F.col("value").isNotNull()).withColumnRenamed("value", "item")
+    top = top_n(placed, "item", countries).select(F.lit("country").alias("panel"), "item", "n")
+    last = range_lookup(latest(df.select(address, t, tie), t, tie, newest), address, ranges, width)
+    last = last.select(F.lit("latest").alias("panel"), F.coalesce("value", F.lit("UNKNOWN")).alias("item"), F.col(tie).cast("bigint").alias("n"))
+    out = top.unionByName(last)
+    for name in ("per_minute", "per_hour"):
+        out = out.unionByName(rate.select(F.lit(name).alias("panel"), F.lit("all").alias("item"), F.col(name).alias("n")))
+    return out

@@ -10,7 +10,7 @@ from tracewarden.operators import chains as ch
 from tracewarden.operators.timeline import HOUR
 from tracewarden.plans.registry import EVENTS_SQL, events, query, table
 from tracewarden.plans.windows import KEY, LAST, frame, hours
-from tracewarden.tables import CHAIN_PHASES, CHAIN_TEMPLATES, INTENT_TRANSITIONS, chain_pairs, kill_chain_pairs, transition_table, values_sql
+from tracewarden.tables import CHAIN_PHASES, CHAIN_TEMPLATES, INTENT_TRANSITIONS, NEXT_PARAMS, NEXT_PATHS, chain_pairs, kill_chain_pairs, transition_table, values_sql
 
 # Which phase an event type stands for.
 CHAIN_OF = {"view": "RECON", "click": "SCAN", "signup": "ENUM", "error": "INJECT", "purchase": "EXPLOIT"}
@@ -184,6 +184,15 @@ def _(spark, d):
     return ch.top_predictions(e, KEY, "item", 3)
 
 
+@query("t5_next_steps", f"""
+WITH {EVENTS_SQL}, p AS (SELECT *, {case(REQUEST_OF)} AS phase FROM ev), l AS (SELECT user_id, arg_max(phase, (us, event_id)) AS phase FROM p GROUP BY 1),
+s(phase, kind, item, prob) AS (VALUES {values_sql([(p, "path", i, q) for p, i, q in NEXT_PATHS] + [(p, "parameter", i, q) for p, i, q in NEXT_PARAMS])}),
+r AS (SELECT *, row_number() OVER (PARTITION BY phase, kind ORDER BY prob DESC, item) AS rank FROM s)
+SELECT user_id, phase, kind, item, prob::DOUBLE AS prob, rank FROM l JOIN r USING (phase) WHERE rank <= 5""")
+def _(spark, d):
+    return ch.next_steps(mapped(events(spark, d), REQUEST_OF), KEY, "us", "event_id", "phase", NEXT_PATHS, NEXT_PARAMS)
+
+
 PREV10 = "OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
 
 

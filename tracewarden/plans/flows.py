@@ -67,11 +67,12 @@ def _(spark, d):
     return logs.read_state_map(spark, path, "patterns", "struct<path:string,count:bigint,last_seen:bigint>")
 
 
-@query("s5_file_inventory", "SELECT page_id % 5 AS folder, sum(strlen(html) + 1)::BIGINT AS bytes FROM pages WHERE page_id % 5 <> 4 GROUP BY 1")
+@query("s5_file_inventory", """
+SELECT page_id % 5 AS folder, sum(strlen(html) + 1)::BIGINT AS bytes FROM pages WHERE page_id % 5 <> 4 GROUP BY 1""")
 def _(spark, d):
     path = new_path(spark, "tree")
     table(spark, d, "pages").select(F.col("html").alias("value"), (F.col("page_id") % 5).alias("folder")).write.partitionBy("folder").text(path)
-    inv = files.inventory(spark, path, "*.txt", excluded=["folder=4"], longest=2_000_000_000)
+    inv = files.inventory(spark, path, "*.txt", excluded=["folder=4"])
     return inv.groupBy(F.regexp_extract("path", r"folder=(\d+)", 1).cast("bigint").alias("folder")).agg(F.sum("size").alias("bytes"))
 
 

@@ -72,6 +72,16 @@ def _(spark, d):
     return jn.range_lookup(top, "o_custkey", ranges(spark, d), 64).select("o_orderkey", F.coalesce("value", F.lit("UNKNOWN")).alias("country"))
 
 
+@query("a1_dashboard_panels", f"""
+WITH {EVENTS_SQL}, {GEO_SQL}, c AS (SELECT country, count(*) AS n FROM orders JOIN g ON o_custkey = c_custkey GROUP BY 1 ORDER BY n DESC, country LIMIT 20),
+l AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20), m AS (SELECT count(*) AS n FROM ev WHERE us > (SELECT max(us) FROM ev) - 60000000)
+SELECT 'country' AS panel, country AS item, n FROM c UNION ALL SELECT 'latest', coalesce(country, 'UNKNOWN'), o_orderkey FROM l LEFT JOIN g ON o_custkey = c_custkey
+UNION ALL SELECT 'per_minute', 'all', n FROM m UNION ALL SELECT 'per_hour', 'all', n * 60 FROM m""")
+def _(spark, d):
+    e = events(spark, d)
+    return rp.panels(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", ranges(spark, d), rp.rate_per_minute(e, "us", e.agg(F.max("us")).scalar()), 64)
+
+
 @query("t3_top_payloads", f"WITH {EVENTS_SQL} SELECT md5(CAST(k AS VARCHAR)) AS payload_id, count(*) AS seen FROM ev GROUP BY 1 ORDER BY seen DESC, payload_id LIMIT 10")
 def _(spark, d):
     p = ln.payload_frequency(events(spark, d), "k", "us", "event_type")

@@ -61,6 +61,26 @@ def _(spark, d):
     return rl.family_rule_hits(_params(spark, d)).filter("score >= 50").groupBy("rule_id", "host").agg(F.count("*").alias("hits"))
 
 
+def _pick(rows, col: str) -> str:
+    return " ".join(f"WHEN regexp_matches({col}, {sql_text(p)}) THEN {v}" for p, v in rows)
+
+
+@query("j4_object_ids", f"""
+WITH p AS (SELECT o_orderkey, unnest(['order_id', 'user_id', 'ids', 'status']) AS name, unnest([o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderkey || ',' || o_custkey, o_orderstatus]) AS value,
+  CASE WHEN o_orderstatus = 'F' THEN '/order/' || o_orderkey ELSE '/shop' END AS path FROM orders),
+b AS (SELECT *, CASE {_pick(family_rules.ID_NAMES, "name")} ELSE 0 END AS one, CASE WHEN contains(value, ',') THEN greatest(0, {', '.join(f"CASE {_pick([r], 'name')} ELSE 0 END" for r in family_rules.BATCH_NAMES)}) ELSE 0 END AS many,
+  greatest(0, {', '.join(f"CASE {_pick([(p, v)], 'value')} ELSE 0 END" for _, p, v in family_rules.ID_VALUES)}) AS odd FROM p),
+s AS (SELECT *, CASE WHEN one > 0 THEN greatest(one, odd) ELSE 0 END AS base FROM b),
+r AS (SELECT *, CAST(greatest(CASE WHEN starts_with(path, '/order/') THEN least(100, floor(base * 1.3::DOUBLE)) ELSE base END, many) AS INT) AS score FROM s)
+SELECT o_orderkey, name, score, score >= 50 AS detected FROM r WHERE score > 0""")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    parts = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("order_id", key), ("user_id", cust), ("ids", F.concat_ws(",", key, cust)), ("status", F.col("o_orderstatus")))])
+    path = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("/order/"), key)).otherwise("/shop")
+    return rl.id_hits(o.select("o_orderkey", path.alias("path"), F.explode(parts).alias("p")).select("o_orderkey", "path", "p.*")).select("o_orderkey", "name", "score", "detected")
+
+
 TOKENS_SQL = r"""tok AS (SELECT page_id, html, unnest(list_distinct(
   list_transform(list_filter(list_transform(regexp_extract_all(html, '(?i)\b([a-z_]{3,20})\s*\(', 1), lambda x: lower(x)),
     lambda x: NOT list_contains(['if','for','while','echo','print','array','strlen','count','isset','empty','date','time'], x)), lambda x: x || '(')
