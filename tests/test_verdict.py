@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tracewarden.operators import rules
 from tracewarden.operators import verdict as vd
 from tracewarden.tables import NEXT_PATHS
 
@@ -65,3 +66,18 @@ def test_decisions(spark):
     got = {r["id"]: (r["decision"], r["reason"]) for r in vd.request_decisions(df, "client", "us", "id", "uri", NEXT_PATHS, ["/trap"], chains).collect()}
     assert got == {1: ("allow", "none"), 2: ("block", "predicted_path"), 3: ("block", "decoy"), 4: ("allow", "none"), 5: ("block", "phase_jump"), 6: ("block", "phase_jump"),
                    7: ("allow", "false_positive"), 8: ("block", "score"), 9: ("monitor", "score"), 10: ("block", "attack_chain")}
+
+
+def test_decoded_scan_and_summary(spark):
+    shell = "<?php system($_GET['c']); eval(base64_decode('x')); ?>"
+    hidden = shell.encode().hex(" ").split(" ")
+    for _ in range(4):  # percent-encoded once, the sign itself three times more
+        hidden = ["%" + h if not h.startswith("%") else h.replace("%", "%25", 1) for h in hidden]
+    df = spark.createDataFrame([(1, shell), (2, "".join(hidden)), (3, "a walk by the lake"), (4, ""), (5, None)], "id int, text string")
+    plain = {r["id"]: r for r in rules.content_scan(df, ["id"], "text").collect()}
+    deep = {r["id"]: r for r in rules.content_scan(df, ["id"], "text", decode=True).collect()}
+    assert plain[2]["hits"] == 0 and deep[2]["hits"] >= 2 and deep[2]["encoded"] >= 15 and deep[2]["engines"] >= 2
+    assert deep[1]["malicious"] and deep[1]["type"] is not None and not any(deep[i]["malicious"] for i in (3, 4, 5))
+    manifest = spark.createDataFrame([(1, "approved")], "id int, status string")
+    got = {(r["part"], r["item"]): (r["n"], r["malicious"]) for r in rules.scan_summary(rules.content_scan(df, ["id"], "text", decode=True), ["id"], manifest).collect()}
+    assert got[("status", "approved")] == (1, 1) and sum(n for (p, _), (n, _) in got.items() if p == "band") == 5

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewarden import family_rules, rulesets
 from tracewarden.family_rules import Family
 from tracewarden.functions.scores import band, first_of, points, whole
-from tracewarden.functions.text import char_grams, java_regex, matches, required_pieces
+from tracewarden.functions.text import char_grams, decode_layers, java_regex, matches, required_pieces
 from tracewarden.session import new_path
 from tracewarden.tables import KILL_CHAIN
 
@@ -223,13 +223,22 @@ def keyword_intents(df: DataFrame, ids: Sequence[str], text: Column, intents=Non
 CONTENT_BANDS = [(80, "malicious"), (40, "suspicious")]
 
 
-def content_scan(df: DataFrame, ids: Sequence[str], text: str, signatures=None, limit: int = 50) -> DataFrame:
+def content_scan(df: DataFrame, ids: Sequence[str], text: str, signatures=None, limit: int = 50, decode: bool = False) -> DataFrame:
     """Per file or text: signature, heuristic and detection engines combined.
 
-    The threshold falls by 5, 10 or 15 when two, three or four engines agree.
+    With ``decode`` the detection rules read the decoded text, and a fourth engine gives points for
+    complex or deep encodings and for a length that decoding changes. The threshold falls by 5, 10
+    or 15 when two, three or four engines agree. ``type`` is that of the most severe hit.
     """
     signatures = rulesets.CONTENT_SIGNATURES if signatures is None else signatures
     df = df.select(*ids, F.col(text).alias("_t"), F.lower(text).alias("_l"))
+    read, encoded = F.col("_l"), F.lit(0)
+    if decode:
+        df = decode_layers(df, "_t")
+        n = F.octet_length("_t")
+        changed = F.abs(F.octet_length("decoded") - n) / F.nullif(n, F.lit(0)) > 0.3
+        read = F.lower("decoded")
+        encoded = first_of([(F.col("complexity") > 50, 10), (F.col("complexity") > 30, 5)], 0) + points((F.col("depth") >= 4, 10), (F.coalesce(changed, F.lit(False)), 5))
     t, low = F.col("_t"), F.col("_l")
     raw = F.lit(0)
     for p, w in signatures:
@@ -239,14 +248,16 @@ def content_scan(df: DataFrame, ids: Sequence[str], text: str, signatures=None,
     heuristic = F.when(b64 > 2, F.least(F.lit(15), b64 * 4)).otherwise(0) + F.when(chrs > 5, F.least(F.lit(12), chrs * 2)).otherwise(0) + points(
         (packed, 10), (gotos > 3, 10), (F.array_max(F.transform(F.split(t, "\n"), lambda x: F.octet_length(x))) > 2000, 10),
         (F.regexp_count(t, F.lit(r"\$[O0lI]{4,}")) > 3, 8))
-    d = df.select(*ids, "_l", F.least(F.lit(80), raw).alias("signature"), F.least(F.lit(40), heuristic).alias("heuristic"))
+    d = df.select(*ids, read.alias("_l"), F.least(F.lit(80), raw).alias("signature"), F.least(F.lit(40), heuristic).alias("heuristic"), encoded.alias("encoded"))
     keyed = [(p, (ty, s)) for p, ty, s in rulesets.detection_rules()]
-    d = d.select(*ids, "signature", "heuristic", hits("_l", "_l", keyed, ["type", "severity"]).alias("_h"))
-    d = d.select(*ids, "signature", "heuristic", F.aggregate("_h", F.lit(0), lambda a, x: F.greatest(a, x["severity"])).alias("detection"), F.size("_h").alias("hits"))
+    d = d.select(*ids, "signature", "heuristic", "encoded", hits("_l", "_l", keyed, ["type", "severity"]).alias("_h"))
+    worst = F.array_max(F.transform("_h", lambda x: F.struct(x["severity"].alias("severity"), x["type"].alias("type"))))
+    d = d.select(*ids, "signature", "heuristic", "encoded", worst.alias("_w"), F.size("_h").alias("hits"))
+    d = d.select(*ids, "signature", "heuristic", "encoded", F.coalesce("_w.severity", F.lit(0)).alias("detection"), F.col("_w.type").alias("type"), "hits")
     detected = (F.col("detection") >= 70) & (F.col("hits") >= 2)
-    engines = (F.col("signature") > 0).cast("int") + detected.cast("int") + (F.col("heuristic") > 0).cast("int")
+    engines = (F.col("signature") > 0).cast("int") + detected.cast("int") + (F.col("heuristic") > 0).cast("int") + (F.col("encoded") > 0).cast("int")
     score = F.least(F.col("signature") * 0.6, F.lit(40.0)) + F.when(detected, F.least(F.col("detection") * 0.35, F.lit(35.0))).otherwise(0.0) \
-        + F.least(F.col("heuristic") * 0.4, F.lit(15.0))
+        + F.least(F.col("heuristic") * 0.4, F.lit(15.0)) + F.col("encoded")
     d = d.withColumn("engines", engines).withColumn("score", F.least(F.lit(100.0), F.round(score, 1)))
     threshold = first_of([(F.col("engines") >= 4, max(35, limit - 15)), (F.col("engines") == 3, max(40, limit - 10)), (F.col("engines") == 2, max(45, limit - 5))], limit)
     return d.withColumn("threshold", threshold).withColumn("malicious", F.col("score") >= F.col("threshold")) \
@@ -278,3 +289,19 @@ def hit_lines(df: DataFrame, ids: Sequence[str], text: str, rules=None) -> DataF
         rule = F.lit(i).alias("rule_id")
         found.append(F.transform(F.coalesce(where, F.array().cast("array<int>")), tagged(rule)))
     return lines.select(*ids, (F.col("pos") + 1).alias("line_no"), F.explode(F.concat(*found)).alias("h")).select(*ids, "line_no", "h.*")
+
+
+def scan_summary(scanned: DataFrame, ids: Sequence[str], manifest: DataFrame | None = None) -> DataFrame:
+    """Counts of a content scan: part, item, n, malicious.
+
+    Parts are band, type (of texts with a hit) and, if ``manifest`` (ids, status) is given, status of
+    quarantine; a malicious text that the manifest lacks is ``pending_review``.
+    """
+    d = scanned.select(*ids, "band", "type", "malicious")
+    parts = [F.struct(F.lit("band").alias("part"), F.col("band").alias("item")), F.struct(F.lit("type").alias("part"), F.col("type").alias("item"))]
+    if manifest is not None:
+        d = d.join(manifest.select(*ids, "status"), list(ids), "left")
+        status = F.coalesce("status", F.when(F.col("malicious"), F.lit("pending_review")))
+        parts.append(F.struct(F.lit("status").alias("part"), status.alias("item")))
+    d = d.select("malicious", F.explode(F.array(*parts)).alias("p")).select("malicious", "p.*").filter(F.col("item").isNotNull())
+    return d.groupBy("part", "item").agg(F.count("*").alias("n"), F.count_if("malicious").alias("malicious"))

@@ -194,6 +194,20 @@ def _(spark, d):
     return _scan(spark, d).groupBy("band").agg(F.count("*").alias("scanned"), F.count_if("malicious").alias("malicious"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
+@query("a31_scan_types", f"""
+WITH s AS ({_content_sql()}), {RULES_SQL}, {HITS_SQL}, t AS (SELECT page_id, arg_max(type, (severity, type)) AS type FROM hits GROUP BY 1), j AS (SELECT * FROM s LEFT JOIN t USING (page_id))
+SELECT 'band' AS part, band AS item, count(*) AS n, count(*) FILTER (WHERE malicious) AS malicious FROM j GROUP BY 2
+UNION ALL SELECT 'type', type, count(*), count(*) FILTER (WHERE malicious) FROM j WHERE type IS NOT NULL GROUP BY 2""")
+def _(spark, d):
+    return rl.scan_summary(_scan(spark, d), ["page_id"])
+
+
+@query("a32_decoded_scan")
+def _(spark, d):
+    r = rl.content_scan(pages(spark, d), ["page_id"], "html", SCAN_SIGNATURES, decode=True)
+    return r.select("page_id", "signature", "heuristic", "encoded", "type", "hits", "engines", "score", "threshold", "malicious", "band")
+
+
 @query("a33_hit_lines", f"""
 WITH RECURSIVE {DOC_SQL}, l AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
 m AS (SELECT doc_id, line_no, rule_id, pattern, line AS rest, 0::BIGINT AS done, regexp_extract(line, pattern) AS hit FROM l JOIN rules ON regexp_matches(line, pattern)
