@@ -43,11 +43,11 @@ def intent_anomaly(p: Column, same: Column) -> Column:
 def transitions(df, keys, t, tie, phase, table: DataFrame, anomaly=chain_anomaly) -> DataFrame:
     """Change from the key's previous phase, its probability and the points for it.
 
-    ``table`` (from_phase, to_phase, p) holds one row per pair of the few phases.
+    ``table`` (from_phase, to_phase, p) holds one row per pair of phases; Spark broadcasts it if its size allows.
     """
     prev = tl.with_previous(df, keys, t, tie, {"from_phase": phase}).filter(F.col("from_phase").isNotNull())
     hit = prev.join(
-        F.broadcast(table.withColumnRenamed("to_phase", "_to").withColumnRenamed("from_phase", "_from")),
+        table.withColumnRenamed("to_phase", "_to").withColumnRenamed("from_phase", "_from"),
         (F.col("from_phase") == F.col("_from")) & (F.col(phase) == F.col("_to")), "left",
     ).drop("_from", "_to")
     return hit.withColumn("anomaly", anomaly(F.col("p"), F.col("from_phase") == F.col(phase)).cast("bigint"))

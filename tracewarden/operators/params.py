@@ -160,14 +160,15 @@ POSITION_RULES = [
 def position_threats(params: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows of the parameter table with a rule for their name and position.
 
-    ``rules`` (rule_name, position, threat, weight) is a table of some dozen rows. The exact
-    name goes before name tokens, later tokens before earlier ones.
+    ``rules`` is a table (rule_name, position, threat, weight) of any size. The exact name goes before
+    name tokens, later tokens before earlier ones; of rules alike the first threat in order counts.
+    Names are looked up once each, however many rows carry them.
     """
     names = F.concat(F.array(F.lower("name")), F.reverse(name_tokens(F.col("name"))))
-    lists = rules.groupBy("position").agg(F.map_from_entries(F.collect_list(F.struct("rule_name", F.struct("threat", "weight")))).alias("_r"))
-    hit = F.get(F.filter(F.transform(names, lambda n: F.try_element_at(F.col("_r"), n)), lambda r: r.isNotNull()), F.lit(0))
-    return params.join(F.broadcast(lists), "position").withColumn("_h", hit).filter(F.col("_h").isNotNull()) \
-        .withColumn("threat", F.col("_h.threat")).withColumn("risk", F.round(F.col("_h.weight") * 20).cast("bigint")).drop("_h", "_r")
+    each = params.select("position", "name").distinct().select("position", "name", F.posexplode(names).alias("_i", "rule_name"))
+    best = each.join(rules.select("position", "rule_name", "threat", "weight"), ["position", "rule_name"]).groupBy("position", "name").agg(F.min(F.struct("_i", "threat", "weight")).alias("_h"))
+    return params.join(best, ["position", "name"]) \
+        .withColumn("threat", F.col("_h.threat")).withColumn("risk", F.round(F.col("_h.weight") * 20).cast("bigint")).drop("_h")
 
 
 def cross_position(params: DataFrame, request) -> DataFrame:
