@@ -134,3 +134,24 @@ def test_duplicates_by_window(spark, tmp_path):
     got = {r["start_us"] // S: (r["n"], r["signatures"], r["duplicates"]) for r in out.collect()}
     assert got[0] == (3, 2, 1) and got[10] == (3, 1, 2)
     assert max(op["numRowsTotal"] for p in progress[2:] for op in p["stateOperators"]) <= 3
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_of_one_file_or_of_a_folder_arrive(spark, tmp_path, files):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(k, f"{'ab' if k % 2 else 'c'}d text {k % 3}", "user" if k % 3 else "bot") for k in range(12)]
+    folder = tmp_path / "conversations.parquet"
+    spark.createDataFrame(rows, "conv_id long, text string, role string").repartition(files).write.parquet(str(folder))
+    if files == 1:
+        (part,) = folder.glob("*.parquet")
+        folder = tmp_path / "one" / "conversations.parquet"
+        folder.parent.mkdir()
+        folder.write_bytes(part.read_bytes())
+    got = entry.queries()["r10_token_learner"](spark, str(folder.parent))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}{'' if files == 1 else '/*.parquet'}'")
+    want = con.execute(entry.oracle_sql()["r10_token_learner"]).fetchall()
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)

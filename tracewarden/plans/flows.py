@@ -105,10 +105,14 @@ def _(spark, d):
 
 # ---- streams -------------------------------------------------------------------------------
 
+def arriving(spark, d, name):
+    """A given table as a stream, whether it is one file or a folder of files."""
+    return runner.file_stream(spark, f"{d}/{name}.parquet", table(spark, d, name).schema, "*")
+
+
 def stream(spark, d):
-    """The events file as a stream with a proper event time."""
-    schema = table(spark, d, "events").schema
-    s = runner.file_stream(spark, d, schema, "events.parquet")
+    """The events as a stream with a proper event time."""
+    s = arriving(spark, d, "events")
     return s.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", micros(F.col("ts"))).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
@@ -230,7 +234,7 @@ WITH x AS (SELECT role, lower(trim(text)) AS t FROM conversations),
 g AS (SELECT role, unnest(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) || list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS token FROM x WHERE length(t) >= 4)
 SELECT role AS class, token, count(*) AS n FROM g GROUP BY 1, 2""")
 def _(spark, d):
-    s = runner.file_stream(spark, d, table(spark, d, "conversations").schema, "conversations.parquet")
+    s = arriving(spark, d, "conversations")
     counts = lambda batch: bayes.train(batch, "text", "role")[1]
     return runner.run_keyed(s, "r10t", trackers.token_learner(), "class string, token string, n bigint", ["class", "token"], prepare=counts).state
 
