@@ -155,3 +155,20 @@ def test_tables_of_one_file_or_of_a_folder_arrive(spark, tmp_path, files):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}{'' if files == 1 else '/*.parquet'}'")
     want = con.execute(entry.oracle_sql()["r10_token_learner"]).fetchall()
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["r7_baseline_tracker"])
+def test_rows_of_the_last_hour_get_their_result(spark, tmp_path, name):
+    import __spark_entry__ as entry
+
+    days = ["2024-01-02 00:00:00", "2024-01-15 00:00:00", "2024-01-29 23:10:00", "2024-01-29 23:30:00", "2024-01-30 00:00:00"]
+    rows = [(k, d, 1, "purchase", 25.0, '{"k": 1}') for k, d in enumerate(days)]
+    e = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    e.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: r for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    if name.startswith("r9"):
+        assert [got[k]["same_url"] for k in range(5)] == [0, 0, 0, 1, 2]
+    else:
+        assert got[0]["base_value"] is None or got[0]["base_value"] == 0.0
+        assert got[4]["base_value"] == 25.0 and got[4]["accumulated"] > got[3]["accumulated"] > got[2]["accumulated"] == 0.0

@@ -184,12 +184,12 @@ def _(spark, d):
 
 
 @query("r7_baseline_tracker", f"""
-WITH {EVENTS_SQL}, t AS (SELECT * FROM ev WHERE us {CLOSED}), b AS (SELECT event_id, list(value) {PREV10} AS v FROM t), c AS (SELECT a.event_id, coalesce(sum(b.value * 0.15 * pow(2, (b.us - a.us) / {hours(48)}.0)), 0) AS acc
-  FROM t a LEFT JOIN t b ON a.user_id = b.user_id AND b.us >= a.us - {hours(144)} AND b.us < a.us AND b.value >= 20 GROUP BY 1)
+WITH {EVENTS_SQL}, b AS (SELECT event_id, list(value) {PREV10} AS v FROM ev), c AS (SELECT a.event_id, coalesce(sum(b.value * 0.15 * pow(2, (b.us - a.us) / {hours(48)}.0)), 0) AS acc
+  FROM ev a LEFT JOIN ev b ON a.user_id = b.user_id AND b.us >= a.us - {hours(144)} AND b.us < a.us AND b.value >= 20 GROUP BY 1)
 SELECT event_id, round({_wmean('v')}, 7) AS base_value, round(acc, 3) AS accumulated FROM b JOIN c USING (event_id)""")
 def _(spark, d):
     step = trackers.baseline_tracker("user_id", "us", "event_id", "value", F.col("value") >= 20, hours(144), hours(48))
-    r = runner.run_keyed(replayed(spark, d), "r7", step, "user_id bigint, us bigint, event_id bigint, value double", ["user_id"], time="us", delay=DELAY_US, expire=F.col("us") + hours(24 * 60))
+    r = runner.run_keyed(replayed(spark, d), "r7", step, "user_id bigint, us bigint, event_id bigint, value double", ["user_id"], time="us", delay=DELAY_US, expire=F.col("us") + hours(24 * 60), finish=True)
     return r.rows.select("event_id", F.round("base_value", 7).alias("base_value"), (F.round("accumulated", 3) + 0.0).alias("accumulated"))
 
 

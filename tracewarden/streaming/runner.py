@@ -77,7 +77,7 @@ class Outcome:
 _CLOCK = "now bigint"
 
 
-def run_keyed(streams: DataFrame | Iterable[DataFrame], name: str, step: Step, state_schema: StructType | str, keys: Sequence[str], *, time: str | None = None, delay: int = 0, expire: Column | None = None, slack: int = 0, buckets: int = 64, prepare: Callable[[DataFrame], DataFrame] | None = None) -> Outcome:
+def run_keyed(streams: DataFrame | Iterable[DataFrame], name: str, step: Step, state_schema: StructType | str, keys: Sequence[str], *, time: str | None = None, delay: int = 0, expire: Column | None = None, slack: int = 0, buckets: int = 64, prepare: Callable[[DataFrame], DataFrame] | None = None, finish: bool = False) -> Outcome:
     """Runs ``step(batch, state, context) -> (output, new state)`` over all that arrives.
 
     Output, state and what waits are written tables with a version per batch id, so a repeated
@@ -88,7 +88,8 @@ def run_keyed(streams: DataFrame | Iterable[DataFrame], name: str, step: Step, s
     With ``time`` (microseconds) the clock is the newest time seen less ``delay``. Rows go through the
     step once the clock has reached them, so in order of time however they arrive; rows that come
     when the clock has already passed them, and rows without a time, are left out and counted by batch.
-    State rows go when the clock has passed their time ``expire``.
+    State rows go when the clock has passed their time ``expire``. With ``finish`` what still waits
+    when nothing more arrives goes through the step as a last batch.
     """
     streams = [streams] if isinstance(streams, DataFrame) else streams
     root, state, seen = None, None, []
@@ -108,6 +109,9 @@ def run_keyed(streams: DataFrame | Iterable[DataFrame], name: str, step: Step, s
             ready = F.lit(False) if now is None else F.col(time) <= now
             waiting.write(known.filter(~ready), n)
             batch = _kept(known.filter(ready), f"{root}/ready/v{n}")
+        advance(batch, n, now, late)
+
+    def advance(batch: DataFrame, n: int, now: int | None, late: int) -> None:
         own, held = state.touched(n - 1, batch, now)
         out, new = step(batch, held, Context(now, lambda df: _kept(df, f"{root}/work/v{n}")))
         out.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
@@ -123,6 +127,11 @@ def run_keyed(streams: DataFrame | Iterable[DataFrame], name: str, step: Step, s
             clock = VersionedTable(spark, f"{root}/clock", _CLOCK)
             waiting = VersionedTable(spark, f"{root}/waiting", df.schema)
         df.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if finish and seen:
+        rest = waiting.read(max(seen))
+        newest = rest.agg(F.max(time)).first()[0]
+        if newest is not None:
+            advance(rest, max(seen) + 1, newest, 0)
     late = spark.read.parquet(f"{root}/late").select(F.col("batch").cast("bigint").alias("batch"), "late")
     return Outcome(spark.read.parquet(f"{root}/out"), state.read(max(seen)), late, [state.listed(n) for n in seen])
 
