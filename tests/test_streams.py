@@ -157,7 +157,7 @@ def test_tables_of_one_file_or_of_a_folder_arrive(spark, tmp_path, files):
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["r7_baseline_tracker"])
+@pytest.mark.parametrize("name", ["r7_baseline_tracker", "r9_race_tracker"])
 def test_rows_of_the_last_hour_get_their_result(spark, tmp_path, name):
     import __spark_entry__ as entry
 

@@ -209,11 +209,11 @@ def _(spark, d):
 
 
 @query("r9_race_tracker", f"""
-WITH {EVENTS_SQL} SELECT event_id, count(*) {frame('user_id, event_type', hours(48), True)} - 1 AS same_url, count(*) {frame('user_id, event_type', hours(12), True)} - 1 AS same_url_burst FROM ev WHERE us {CLOSED}""")
+WITH {EVENTS_SQL} SELECT event_id, count(*) {frame('user_id, event_type', hours(48), True)} - 1 AS same_url, count(*) {frame('user_id, event_type', hours(12), True)} - 1 AS same_url_burst FROM ev""")
 def _(spark, d):
     t = F.col("event_type")
     step = trackers.race_tracker("user_id", "us", "event_id", "event_type", "k", t.isin("purchase", "signup"), t == "purchase", hours(48), hours(12), hours(120))
-    r = runner.run_keyed(replayed(spark, d), "r9", step, "user_id bigint, us bigint, event_id bigint, event_type string, k bigint", ["user_id"], time="us", delay=DELAY_US, expire=F.col("us") + hours(120), slack=hours(120))
+    r = runner.run_keyed(replayed(spark, d), "r9", step, "user_id bigint, us bigint, event_id bigint, event_type string, k bigint", ["user_id"], time="us", delay=DELAY_US, expire=F.col("us") + hours(120), slack=hours(120), finish=True)
     return r.rows.select("event_id", "same_url", "same_url_burst")
 
 
