@@ -218,19 +218,21 @@ def byte_entropy(text: Column) -> Column:
     """
 
     def entropy(texts: pd.Series) -> pd.Series:
-        raw = [t.encode() if t is not None else b"" for t in texts]
-        out = np.zeros(len(raw))
+        values = texts.to_numpy()
+        out = np.zeros(len(values))
         at = 0
-        while at < len(raw):  # whole texts, some megabytes and at most 4096 rows a step
-            end, size = at + 1, len(raw[at])
-            while end < len(raw) and end - at < 4096 and size + len(raw[end]) <= 1 << 22:
-                size += len(raw[end])
-                end += 1
-            n = np.fromiter(map(len, raw[at:end]), np.int64, end - at)
-            slot = np.repeat(np.arange(end - at) * 256, n) + np.frombuffer(b"".join(raw[at:end]), np.uint8)
-            p = np.bincount(slot, minlength=256 * (end - at)).reshape(-1, 256) / np.maximum(n, 1)[:, None]
-            out[at:end] = -(p * np.log2(np.where(p > 0, p, 1.0))).sum(1)
-            at = end
+        while at < len(values):  # whole texts, about a megabyte and at most 512 rows a step
+            raw, size = [], 0
+            while at + len(raw) < len(values) and len(raw) < 512 and size < 1 << 20:
+                t = values[at + len(raw)]
+                raw.append(t.encode() if t is not None else b"")
+                size += len(raw[-1])
+            rows = len(raw)
+            n = np.fromiter(map(len, raw), np.int64, rows)
+            slot = np.repeat(np.arange(rows) * 256, n) + np.frombuffer(b"".join(raw), np.uint8)
+            p = np.bincount(slot, minlength=256 * rows).reshape(-1, 256) / np.maximum(n, 1)[:, None]
+            out[at : at + rows] = -(p * np.log2(np.where(p > 0, p, 1.0))).sum(1)
+            at += rows
         return pd.Series(out + 0.0, index=texts.index).where(texts.notna(), None)
 
     return F.pandas_udf(entropy, DoubleType())(text)
