@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,33 +141,44 @@ def endpoint_coverage(df: DataFrame, key: str, endpoint: str, known: DataFrame)
 def pattern_similarity(df: DataFrame, ids: Sequence[str], text: str, patterns: Sequence[tuple[str, str, str]], weights: dict[str, float], least: float = 0.5) -> DataFrame:
     """Best similarity per family of a text's structural features to those of known payloads.
 
-    ``patterns`` are (family, name, payload). The payloads' features are constants that
-    Spark folds once; a text's feature row is computed once and compared in place.
+    ``patterns`` are (family, name, payload). The payloads' features are constants of the expression;
+    a text's feature row is computed once. A feature that a payload lacks and that is no share adds
+    the same to each comparison, so that part is summed once a text, and a payload's own terms are
+    those of the features that it has. Only the best payload of a family leaves the row.
     """
     names = list(structural_features(F.lit("")))
-    ratio = F.array(*[F.lit(n in RATIO_FEATURES) for n in names])
-    w = F.array(*[F.lit(float(weights.get(n, 1))) for n in names])
-
-    def row(t: Column) -> Column:
-        f = structural_features(t)
-        return F.array(*[f[n].cast("double") for n in names])
-
-    known = F.array(*[F.struct(F.lit(fam).alias("family"), F.lit(name).alias("pattern"), row(F.lit(p)).alias("v")) for fam, name, p in patterns])
-
-    def similarity(v: Column) -> Column:
-        parts = F.zip_with(F.arrays_zip(F.col("_f").alias("a"), v.alias("b")), F.arrays_zip(ratio.alias("r"), w.alias("w")), lambda x, y: F.struct(
-            F.when(y["r"] & (x["a"] != 0), (1 - F.least(F.lit(1.0), F.abs(x["a"] - x["b"]) / F.greatest(x["a"], x["b"], F.lit(1.0)))) * y["w"])
-            .when((x["a"] == x["b"]) & (x["a"] > 0), y["w"]).otherwise(0.0).alias("m"),
-            F.when((y["r"] & (x["a"] != 0)) | (x["a"] > 0) | (x["b"] > 0), y["w"]).otherwise(0.0).alias("t")))
-        total = F.aggregate(parts, F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("t")), lambda acc, p: F.struct(
-            (acc["m"] + p["m"]).alias("m"), (acc["t"] + p["t"]).alias("t")))
-        return F.when(total["t"] > 0, total["m"] / total["t"]).otherwise(0.0)
-
-    d = df.select(*ids, row(F.col(text)).alias("_f"))
-    scored = d.select(*ids, F.explode(F.transform(known, lambda k: F.struct(
-        k["family"].alias("family"), k["pattern"].alias("pattern"), similarity(k["v"]).alias("similarity")))).alias("s")).select(*ids, "s.*")
-    best = scored.groupBy(*ids, "family").agg(F.max("similarity").alias("similarity"), F.max_by("pattern", F.struct("similarity", "pattern")).alias("pattern"))
-    return best.filter(F.col("similarity") >= least)
+    w = {n: float(weights.get(n, 1)) for n in names}
+    payloads = df.sparkSession.createDataFrame([(i, p) for i, (_, _, p) in enumerate(patterns)], "i int, t string")
+    known = {r["i"]: r for r in payloads.select("i", *[c.cast("double").alias(n) for n, c in structural_features(F.col("t")).items()]).collect()}
+
+    def a(n: str) -> Column:
+        return F.col(f"_f_{n}")
+
+    def added(terms: list[Column]) -> Column:
+        return reduce(lambda x, y: x + y, terms, F.lit(0.0))
+
+    def similarity(b) -> Column:
+        m, t = [], [F.col("_all")]
+        for n in names:
+            if n in RATIO_FEATURES:
+                like = (1 - F.least(F.lit(1.0), F.abs(a(n) - b[n]) / F.greatest(a(n), F.lit(max(b[n], 1.0))))) * w[n]
+                m.append(F.when(a(n) != 0, like).otherwise(0.0))
+            elif b[n] > 0:
+                m.append(F.when(a(n) == b[n], F.lit(w[n])).otherwise(0.0))
+            if b[n] > 0:  # else a text without the feature adds nothing
+                t.append(F.when((a(n) > 0) | ((a(n) != 0) & F.lit(n in RATIO_FEATURES)), 0.0).otherwise(w[n]))
+        total = added(t)
+        return F.when(total > 0, added(m) / total).otherwise(0.0)
+
+    feats = {f"_f_{n}": c.cast("double") for n, c in structural_features(F.col(text)).items()}
+    every = added([F.when((a(n) != 0) if n in RATIO_FEATURES else (a(n) > 0), F.lit(w[n])).otherwise(0.0) for n in names])
+    d = df.select(*ids, *[c.alias(n) for n, c in feats.items()]).withColumn("_all", every)
+    best = []
+    for family in dict.fromkeys(f for f, _, _ in patterns):
+        own = [F.struct(similarity(known[i]).alias("similarity"), F.lit(name).alias("pattern")) for i, (f, name, _) in enumerate(patterns) if f == family]
+        best.append(F.struct(F.lit(family).alias("family"), F.array_max(F.array(*own)).alias("m")))
+    scored = d.select(*ids, F.explode(F.array(*best)).alias("s")).select(*ids, "s.family", "s.m").filter(F.col("m.similarity") >= least)
+    return scored.groupBy(*ids, "family").agg(F.max("m").alias("m")).select(*ids, "family", "m.similarity", "m.pattern")
 
 
 # Known payloads by family, whose feature rows are the patterns.
