@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewarden.llm import line_dedup as L
@@ -72,3 +75,47 @@ def test_two_words_of_a_pair_settle_the_border(spark):
     # 4 of 5 words is similarity 0.8 exactly; 3 of 4 is less
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d e"), (3, "k l m"), (4, "k l m n"), (5, "n m l k")], "doc_id long, text string")
     assert found(docs) == {(2, "a b c d e"): [0], (5, "n m l k"): [0]}
+
+
+def line_batch(docs, lines):
+    texts = ["\n".join(" ".join(f"{w}{d}x{k}" for w in "abcdef") for k in range(lines)) for d in range(docs)]
+    return pa.RecordBatch.from_arrays([pa.array(range(docs)), pa.array(range(docs)), pa.array(texts)], ["doc_id", "th", "text"])
+
+
+def test_line_rows_hold_little_beside_their_batch():
+    # with steps of 1 MB, and a set of all ids sent, 2.7 MB of text took some 60 MB
+    batch, place = line_batch(600, 80), L.rarity(np.zeros(L.BUCKETS, np.int64))
+    rows = L._line_rows(place, 0.8)
+    next(rows(iter([line_batch(1, 1)])))
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in rows(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 600 * 80
+    assert peak < 20 << 20
+
+
+def test_sets_that_were_sent_are_remembered_or_sent_again():
+    sent = L.no_sets(4)
+    ids = np.array([0, 5, 0, 1, 7], np.uint64)  # 5 and 1 share a place
+    assert L.unsent(sent, ids).tolist() == [True, True, False, True, True]
+    assert L.unsent(sent, np.array([0, 7], np.uint64)).tolist() == [False, False]
+    again = L.unsent(sent, np.array([1, 5], np.uint64))
+    assert again.any()  # whichever lost the place
+
+
+@pytest.mark.parametrize("step", [1, 7, 64, 1 << 17])
+def test_scan_steps_find_the_same(monkeypatch, step):
+    monkeypatch.setattr(L, "LONG_RUN", 6)
+    monkeypatch.setattr(L, "SCAN_ROWS", step)
+    rng = np.random.default_rng(4)
+    word = np.sort(np.append(rng.integers(0, 60, 150), [7] * 40))
+    ident = np.arange(len(word)) // 2 * 2  # some sets come twice
+    mask, meta = rng.integers(0, 4, len(word)), (rng.integers(4, 9, len(word)) << 32) + rng.integers(0, 2, len(word))
+    new = np.append(True, (word[1:] != word[:-1]) | (ident[1:] != ident[:-1]))
+    want = set(zip(*(x.tolist() for x in L._paired(word[new], ident[new], mask[new], meta[new], 0.8))))
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (word, ident, mask, meta)], ["word", "id", "mask", "meta"])
+    found = [b for b in L._scan(0.8)(iter([rows.slice(k, 5) for k in range(0, len(word), 5)]))]
+    assert {(i, w) for b in found for i, w in zip(b.column("id").to_pylist(), b.column("word").to_pylist())} == {(i, w) for i, w in want}

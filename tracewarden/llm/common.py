@@ -17,6 +17,8 @@ from tracewarden.session import new_path
 BROADCAST_ROWS = 200_000
 #: Bytes of text that one numpy step works on.
 CHUNK_BYTES = 1 << 20
+#: The same where many arrays of eight bytes a byte of text stand at once.
+STEP_BYTES = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -25,17 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import bounded_groups, chunks, fresh, join_ids, mixed, runs, span_hashes, stored, text_or_empty, words
+from tracewarden.llm.common import STEP_BYTES, bounded_groups, chunks, fresh, join_ids, mixed, runs, span_hashes, stored, text_or_empty, words
 
 THRESHOLD = 0.8
 #: Hash buckets that word counts are kept in; the table of them is what is sent to the executors.
 BUCKETS = 1 << 16
 #: Lines of one prefix word that one task takes at a time.
 BLOCK = 1 << 15
+#: Rows of the scan that numpy looks at in one go; a step for each distance costs the same for few rows.
+SCAN_ROWS = 1 << 17
 #: Runs longer than this go to verification whole, without a look at the masks.
 LONG_RUN = 4096
 #: Bits of a sort key that hold the line within a chunk; word keys have the other 50.
 LINE_BITS = 14
+#: Places in which a task remembers sets that it has sent; a set that has lost its place is sent again.
+SENT = 1 << 18
 WIDE = ["w0", "w1", "w2", "w3"]
 
 
@@ -55,7 +59,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for _, _, data, off in chunks(b.column("text")):
+            for _, _, data, off in chunks(b.column("text"), STEP_BYTES):
                 start, end = words(data, off)
                 total += np.bincount((span_hashes(data, start, end) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         some = np.flatnonzero(total)
@@ -131,37 +135,54 @@ def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
 
 
+def no_sets(places: int) -> np.ndarray:
+    """Places that hold no set yet: each has an id that belongs in another place."""
+    out = np.zeros(places, np.uint64)
+    out[0] = 1
+    return out
+
+
+def unsent(sent: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Marks the first of each id that is not remembered, and remembers these ids."""
+    found, first = np.unique(ids, return_index=True)
+    place = (found & np.uint64(len(sent) - 1)).astype(np.int64)
+    new = sent[place] != found
+    sent[place[new]] = found[new]
+    out = np.zeros(len(ids), bool)
+    out[first[new]] = True
+    return out
+
+
 def line_table(docs: DataFrame, place: np.ndarray, threshold: float) -> DataFrame:
     """A row for each line with words: doc_id, th, line, id, n, mask, prefix (null for an id that the
     task has sent before, and for sets so small that only equal sets are similar)."""
 
+    rows = keyed(docs)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_line_rows(place, threshold), f"doc_id {kind}, th long, line int, id long, n int, mask long, prefix array<long>")
+
+
+def _line_rows(place: np.ndarray, threshold: float):
     def run(batches):
-        sent: set[int] = set()
+        sent = no_sets(SENT)
         for b in batches:
             doc, th = b.column("doc_id"), b.column("th")
-            for at, end, data, off in chunks(b.column("text")):
+            for at, end, data, off in chunks(b.column("text"), STEP_BYTES):
                 key, border, line, first = line_sets(data, off, place)
                 ids, mask = set_ids(key, border)
                 size = np.diff(border)
                 row = np.searchsorted(first, line, "right") - 1
                 take = prefix_size(size, threshold)
                 skip = size / (size + 1) < threshold - 1e-9  # only an equal set is similar to so small a set
-                if len(sent) > 1_000_000:
-                    sent.clear()
-                for k in np.flatnonzero(~skip).tolist():
-                    if (i := int(ids[k])) in sent:
-                        skip[k] = True
-                    else:
-                        sent.add(i)
+                some = np.flatnonzero(~skip)
+                skip[some] = ~unsent(sent, ids[some])
                 index = pa.array(row + at)
                 yield pa.RecordBatch.from_arrays(
                     [doc.take(index), th.take(index), pa.array((line - first[row]).astype(np.int32)), pa.array(ids.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(mask.view(np.int64)), slices(key, border[:-1], take, skip)],
                     ["doc_id", "th", "line", "id", "n", "mask", "prefix"],
                 )
 
-    rows = keyed(docs)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, line int, id long, n int, mask long, prefix array<long>")
+    return run
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -182,32 +203,38 @@ def suspects(table: DataFrame, threshold: float) -> DataFrame:
 
 
 def _scan(threshold: float):
-    """Ids with a partner, from rows sorted by word and id; memory is a batch and part of a run."""
+    """Ids with a partner, from rows sorted by word and id; memory is `SCAN_ROWS`, a batch and part of a run."""
 
     def run(batches):
-        held = None
+        held, more = [], 0
         for b in batches:
-            if not b.num_rows:
+            held.append([b.column(c).to_numpy() for c in ("word", "id", "mask", "meta")])
+            more += b.num_rows
+            if more < SCAN_ROWS:
                 continue
-            cols = [b.column(c).to_numpy() for c in ("word", "id", "mask", "meta")]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))  # not a set that several tasks sent
-            cols = [x[new] for x in cols]
+            cols, more = _joined(held), 0
             last = int(np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))[-1])
             if len(cols[0]) - last > LONG_RUN:
                 # a long run is suspect as a whole; enough rows are held for the rest of it to count as long
                 yield pa.RecordBatch.from_arrays([pa.array(cols[1][last:]), pa.array(cols[0][last:])], ["id", "word"])
-                held = [x[last:][-LONG_RUN - 1 :] for x in cols]
+                held = [[x[last:][-LONG_RUN - 1 :] for x in cols]]
             else:
-                held = [x[last:] for x in cols]
+                held = [[x[last:] for x in cols]]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, _paired(*(x[:last] for x in cols), threshold))), ["id", "word"])
-        if held is not None:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, _paired(*held, threshold))), ["id", "word"])
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _paired(*_joined(held), threshold))), ["id", "word"])
 
     return run
 
 
+def _joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The sorted parts as one, without the sets that several tasks sent."""
+    cols = [np.concatenate(x) for x in zip(*parts)]
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+    return [x[new] for x in cols]
+
+
 def _paired(word: np.ndarray, ident: np.ndarray, mask: np.ndarray, meta: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(id, word) of rows that have a partner of the same word behind the filters; all rows of long runs."""
     if not len(word):
@@ -246,7 +273,7 @@ def fetched(docs: DataFrame, lines: DataFrame, place: np.ndarray, threshold: flo
 
     def run(batches):
         for b in batches:
-            for at, end, data, off in chunks(b.column("text")):
+            for at, end, data, off in chunks(b.column("text"), STEP_BYTES):
                 key, border, line, first = line_sets(data, off, place)
                 ids, _ = set_ids(key, border)
                 row = np.searchsorted(first, line, "right") - 1
