@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tracewarden.llm.common import MIX, chunks, span_hashes, words
+from tracewarden.llm.common import MIX, STEP_BYTES, chunks, span_hashes, words
 
 #: Buckets of hashed byte trigrams, single bytes, and shapes.
 GRAMS = 1024
@@ -61,7 +61,7 @@ def shapes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def vectors(texts: pa.Array) -> np.ndarray:
     """Feature rows (float32): shares of trigram buckets and of bytes, then shapes."""
     out = np.zeros((len(texts), SIZE), np.float32)
-    for at, end, data, off in chunks(texts):
+    for at, end, data, off in chunks(texts, STEP_BYTES):
         rows = end - at
         row = np.repeat(np.arange(rows), np.diff(off))
         length = (np.diff(off) + DAMP)[:, None]
@@ -78,7 +78,7 @@ def scores(texts: pa.Array, weights: np.ndarray, bias: np.ndarray) -> np.ndarray
     """Linear scores, one column per class, of whole texts; the vectors are never built."""
     w = np.atleast_2d(weights)
     out = np.zeros((len(texts), len(w)))
-    for at, end, data, off in chunks(texts):
+    for at, end, data, off in chunks(texts, STEP_BYTES):
         length = np.diff(off) + DAMP
         g, s = _grams(data, off), shapes(data, off)
         for k, v in enumerate(w):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tracewarden.llm import features
-from tracewarden.llm.common import chunks, fresh, stored, text_or_empty, words
+from tracewarden.llm.common import STEP_BYTES, chunks, fresh, stored, text_or_empty, words
 from tracewarden.llm.pu_quality import sample_ids, sample_vectors
 
 #: Bound of the labelled rows that the classifier is fitted on.
@@ -92,7 +92,7 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
             texts = b.column("text")
             p = softmax(features.scores(texts, model.weights, model.bias))
             n = np.zeros(b.num_rows, np.int64)
-            for at, end, data, off in chunks(texts):
+            for at, end, data, off in chunks(texts, STEP_BYTES):
                 start, _ = words(data, off)
                 n[at:end] = np.bincount(np.searchsorted(off, start, "right") - 1, minlength=end - at)
             p = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
