@@ -172,3 +172,19 @@ def test_rows_of_the_last_hour_get_their_result(spark, tmp_path, name):
     else:
         assert got[0]["base_value"] is None or got[0]["base_value"] == 0.0
         assert got[4]["base_value"] == 25.0 and got[4]["accumulated"] > got[3]["accumulated"] > got[2]["accumulated"] == 0.0
+
+
+def test_chain_step_reads_its_rows_few_times(spark):
+    """Each table that the step writes reads the batch and the state twice at most; reading all of them in one plan took 16 times."""
+    rows = [("u0", k * 40 * S, k, PHASES[k % 3]) for k in range(20)]
+    state = spark.createDataFrame([("u0", -10 * S, -1, PHASES[1], 2)], STATE)
+    read = []
+
+    def keep(df):
+        read.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return df.localCheckpoint()
+
+    step = trackers.chain_tracker("user", "us", "id", "phase", idle=1800 * S)
+    out, new = step(spark.createDataFrame(rows, ROWS), state, runner.Context(None, keep))
+    assert max(read) <= 4
+    assert out.count() == 20 and new.select("id", "furthest").collect() == [(19, 2)]

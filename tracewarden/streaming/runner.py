@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def late_rows(progress: list) -> int:
 
 @dataclass(frozen=True)
 class Context:
-    """What a step may use beside its rows: the clock, and a table that is written once and read where needed."""
+    """What a step may use beside its rows: the clock, and tables that are written once and read where needed."""
 
     now: int | None
     keep: Callable[[DataFrame], DataFrame]
@@ -113,7 +114,8 @@ def run_keyed(streams: DataFrame | Iterable[DataFrame], name: str, step: Step, s
 
     def advance(batch: DataFrame, n: int, now: int | None, late: int) -> None:
         own, held = state.touched(n - 1, batch, now)
-        out, new = step(batch, held, Context(now, lambda df: _kept(df, f"{root}/work/v{n}")))
+        number = count()
+        out, new = step(batch, held, Context(now, lambda df: _kept(df, f"{root}/work/v{n}/{next(number)}")))
         out.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
         state.write(n, own, new, now)
         batch.sparkSession.createDataFrame([(late,)], "late bigint").coalesce(1).write.mode("overwrite").parquet(f"{root}/late/batch={n}")

@@ -35,11 +35,13 @@ def chain_tracker(key: str, t: str, tie: str, phase: str, order=chains.CHAIN_PHA
     """
     def step(batch: DataFrame, state: DataFrame, context):
         rows = _both(batch.select(key, t, tie, phase), state).withColumn("_i", F.coalesce("furthest", chains.phase_index(F.col(phase), order)))
-        keys = [key]
+        keys, prev = [key], tl.with_previous(rows.drop("furthest"), [key], t, tie, {"_p": phase, "_prev_t": t})
         if idle is not None:
-            rows = tl.sessions(rows, [key], t, tie, idle, "_s")
+            # one look back gives the sessions and the phase before; what is read twice is written once
+            begins = F.col("_prev_t").isNull() | (F.col(t) - F.col("_prev_t") > F.lit(idle))
+            prev = context.keep(prev.withColumns({"_begins": begins.cast("bigint"), "_p": F.when(~begins, F.col("_p"))}))
+            prev = context.keep(tl.running(prev, [key], t, tie, {"_s": ("sum", F.col("_begins"))}))
             keys = [key, "_s"]
-        prev = tl.with_previous(rows.drop("furthest"), keys, t, tie, {"_p": phase})
         run = context.keep(tl.running(prev, keys, t, tie, {"furthest": ("max", F.col("_i"))}))
         newest = run.groupBy(key).agg(F.max_by(F.struct(t, tie, phase, "furthest"), F.struct(t, tie)).alias("x")).select(key, "x.*")
         changed = F.col("_p").isNull() | (F.col("_p") != F.col(phase))
