@@ -175,7 +175,7 @@ def test_rows_of_the_last_hour_get_their_result(spark, tmp_path, name):
 
 
 def test_chain_step_reads_its_rows_few_times(spark):
-    """Each table that the step writes reads the batch and the state twice at most; reading all of them in one plan took 16 times."""
+    """Each table that the step writes reads the batch and the state twice at most; one plan for all of it had 24 reads."""
     rows = [("u0", k * 40 * S, k, PHASES[k % 3]) for k in range(20)]
     state = spark.createDataFrame([("u0", -10 * S, -1, PHASES[1], 2)], STATE)
     read = []
