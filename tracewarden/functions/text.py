@@ -47,16 +47,51 @@ SPECIALS = "<>\"';%|&`$(){}\\/*#=?![]"
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
-#: A word edge before one of several words, and one before or after a character that is surely of a word.
+#: A word edge before one of several words, and one after a character that is surely of a word.
 _EDGE_GROUP = re.compile(r"\\b(?=\(\?:((?:[A-Za-z0-9_]+\|)*[A-Za-z0-9_]+)\)\\b)")
-_EDGE_AHEAD = re.compile(r"\\b(?=[A-Za-z0-9_](?![?*{]))")
 _EDGE_BEHIND = re.compile(r"(?<=(?<!\\)[A-Za-z0-9_])\\b")
 
 
+def _first_chars(items) -> set[str] | None:
+    """The ASCII word characters with one of which every match of a parsed pattern begins, or None."""
+    for op, arg in items:
+        if op is _re.LITERAL:
+            return {chr(arg)} if re.fullmatch("[A-Za-z0-9_]", chr(arg)) else None
+        if op is _re.SUBPATTERN:
+            return None if arg[1] or arg[2] else _first_chars(arg[3])
+        if op in (_re.MAX_REPEAT, _re.MIN_REPEAT):
+            return _first_chars(arg[2]) if arg[0] >= 1 else None
+        if op in (_re.BRANCH, _re.IN):
+            each = [_first_chars(b) for b in (arg[1] if op is _re.BRANCH else [[x] for x in arg])]
+            return None if None in each else set().union(*each)
+        return None
+    return None
+
+
+def _edges_ahead(pattern: str) -> str:
+    """Word edges before what surely begins with a word character, as a look at that one and one behind."""
+    parts = re.split(r"(?<!\\)\\b", pattern)
+    out = parts[0]
+    for k, part in enumerate(parts[1:], 1):
+        # what follows this edge, up to the end of its group; a branch of that group may not begin here
+        rest, depth, at = r"\b".join(parts[k:]), 0, 0
+        for at, x in enumerate(re.finditer(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", rest, re.S)):
+            depth += (x[0] == "(") - (x[0] == ")")
+            if depth < 0 or depth == 0 and x[0] == "|":
+                rest = rest[: x.start()]
+                break
+        try:
+            first = _first_chars(_re_parser.parse(rest))
+        except re.error:  # of the other dialect
+            first = None
+        out += (rf"(?=[{''.join(sorted(first))}])(?<![A-Za-z0-9_])" if first else r"\b") + part
+    return out
+
+
 def java_regex(pattern: str) -> str:
     """Word edges between ASCII word characters only, whatever letters stand around.
 
-    Beside a character that is surely of a word one look aside tells the edge; before a list of words
+    Beside a character that is surely of a word one look aside tells the edge; before a word or one of several
     their first letters are looked at first, so that most places of a text cost one test.
     """
     group = _EDGE_GROUP.search(pattern)
@@ -65,7 +100,7 @@ def java_regex(pattern: str) -> str:
         pattern = pattern[: group.start()] + f"(?=[{first}])(?<![A-Za-z0-9_]){group[0][2:]}" + pattern[group.end() :]
         words = f"(?:{group[1]})"
         pattern = pattern.replace(words + r"\b", words + "(?![A-Za-z0-9_])", 1)
-    pattern = _EDGE_AHEAD.sub("(?<![A-Za-z0-9_])", pattern)
+    pattern = _edges_ahead(pattern)
     if "\\x" not in pattern and "\\u" not in pattern:  # the last digit of an escaped character is none of the text
         pattern = _EDGE_BEHIND.sub("(?![A-Za-z0-9_])", pattern)
     return pattern.replace(r"\b", _EDGE)
@@ -138,6 +173,11 @@ def count_chars(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def count_runs(text: Column, one: str) -> Column:
+    """How many characters of the text the class ``one`` matches: what is left without their runs, one match a run."""
+    return F.length(text) - F.length(F.regexp_replace(text, one + "+", ""))
+
+
 def char_grams(text: Column, n: int) -> Column:
     """All runs of ``n`` characters in order, with repeats.
 
@@ -377,7 +417,7 @@ def obfuscation(df: DataFrame, text: str, depth: Column, kinds: Column, double:
     d = df.select(
         "*", script_count(x, MIXED_RANGES).alias("_mixed"), count_chars(x, INVISIBLE).alias("_inv"),
         (F.regexp_count(x, F.lit(r"/\*[\s\S]*?\*/")) + F.regexp_count(x, F.lit(r"<!--[\s\S]*?-->"))).alias("_com"),
-        F.regexp_count(x, F.lit("[A-Z]")).alias("_up"), F.regexp_count(x, F.lit("[a-z]")).alias("_lo"),
+        count_runs(x, "[A-Z]").alias("_up"), count_runs(x, "[a-z]").alias("_lo"),
         F.regexp_count(x, F.lit(r"[\x{0400}-\x{04FF}\x{0370}-\x{03FF}]")).alias("_alien"), F.regexp_count(x, F.lit(r"\x00")).alias("_nul"),
         (F.regexp_count(x, F.lit("0x[0-9a-fA-F]{4,}")) + F.regexp_count(x, F.lit(r"\\x[0-9a-fA-F]{2}"))).alias("_hex"),
         (F.octet_length(x) - F.octet_length(F.regexp_replace(x, r"\s+", ""))).alias("_ws"), F.octet_length(x).alias("_n"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewarden import rulesets
 from tracewarden.functions.scores import first_of
+from tracewarden.functions.text import required_pieces
 from tracewarden.operators import timeline as tl
 
 
@@ -32,9 +33,10 @@ def type_trend(df: DataFrame, day: str, kind: str, kinds: Sequence[str], as_of:
 COMMON_CALLS = ["if", "for", "while", "echo", "print", "array", "strlen", "count", "isset", "empty", "date", "time"]
 # Call names that never become a signature for others.
 NEVER_SHARED = COMMON_CALLS + ["substr", "trim", "explode", "implode", "sprintf", "printf"]
-# Shapes of learnable tokens, (pattern, group).
+# The name of a call at the end of a text, and the shapes of the other learnable tokens.
+CALL_NAME = r"(?i)(?<![A-Za-z0-9_])([a-z_]{3,20})\z"
 TOKEN_SHAPES = {
-    "call": r"(?i)(?<![A-Za-z0-9_])([a-z_]{3,20})\s*\(", "verb": r"(?i)(?<![A-Za-z0-9_])((?:union|select|insert|drop|delete|update|create)\s+\w+)",
+    "verb": r"(?i)(?=[cdisu])(?<![A-Za-z0-9_])((?:union|select|insert|drop|delete|update|create)\s+\w+)",
     "path": r"(?i)(\.\.[/\\]|/etc/\w+|/var/\w+|/proc/\w+|[a-z]:\\\w+)", "tag": r"(?i)<(script|iframe|img|svg|object|embed)[^>]",
 }
 
@@ -44,10 +46,15 @@ def tokens(text: Column) -> Column:
     def all_of(shape: str) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(TOKEN_SHAPES[shape]), 1), lambda x: F.lower(x))
 
-    common = F.array(*[F.lit(c) for c in COMMON_CALLS])
-    calls = F.transform(F.filter(all_of("call"), lambda c: ~F.array_contains(common, c)), lambda c: F.concat(c, F.lit("(")))
+    common = F.array(*[F.lit("")] + [F.lit(c) for c in COMMON_CALLS])
+    # a call ends at a parenthesis, so its name is looked for only in the end of what stands before one
+    before = F.split(text, r"\(", -1)
+    names = F.transform(F.slice(before, F.lit(1), F.size(before) - 1), lambda x: F.lower(F.regexp_extract(F.right(F.rtrim(x, F.lit(" \t\n\x0b\f\r")), F.lit(21)), CALL_NAME, 1)))
+    calls = F.transform(F.filter(names, lambda c: ~F.array_contains(common, c)), lambda c: F.concat(c, F.lit("(")))
     tags = F.transform(all_of("tag"), lambda t: F.concat(F.lit("<"), t))
-    return F.array_distinct(F.concat(calls, all_of("verb"), all_of("path"), tags))
+    some = F.array(*[F.contains(F.lower(text), F.lit(p)) for p in required_pieces(TOKEN_SHAPES["path"])])
+    paths = F.when(F.array_contains(some, True), all_of("path")).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(calls, all_of("verb"), paths, tags))
 
 
 def learn_rules(df: DataFrame, payload: str, kind: str, seen: int = 3, sources: int = 5) -> DataFrame:

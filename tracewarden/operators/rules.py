@@ -22,6 +22,20 @@ def _sql(value) -> str:
     return str(value)
 
 
+#: Characters that many rules need and few texts hold.
+MARKS = "`\\^~$@|[{%*#'}]!&;?+_(:="
+
+
+def _cases(low: str, cases: Sequence[tuple[list[str] | None, str]]) -> str:
+    """SQL array of the cases (pieces of which a match needs one, SQL text), those that need a character of
+    ``MARKS`` looked at only where the lower-case column has it: one byte scan for all of them."""
+    groups: dict[str | None, list[str]] = {}
+    for pieces, case in cases:
+        groups.setdefault(next((m for m in MARKS if pieces and all(m in p for p in pieces)), None), []).append(case)
+    arrays = [f"if(contains({low}, {_sql(m)}), array({', '.join(g)}), array())" if m else f"array({', '.join(g)})" for m, g in groups.items()]
+    return f"flatten(array({', '.join(arrays)}))"
+
+
 def hits(text: str, low: str, rules: Sequence[tuple], fields: Sequence[str]) -> Column:
     """Array of the rules (pattern, values..) that the text column matches; ``low`` names its
     lower-case column.
@@ -41,8 +55,8 @@ def hits(text: str, low: str, rules: Sequence[tuple], fields: Sequence[str]) ->
         if also and also[0]:
             cond += f" and {text} rlike {_sql(java_regex(also[0]))}"
         rule = ", ".join(f"{_sql(f)}, {_sql(v)}" for f, v in zip(fields, values))
-        cases.append(f"case when {cond} then named_struct({rule}) end")
-    return F.expr(f"filter(array({', '.join(cases)}), h -> h is not null)")
+        cases.append((pieces, f"case when {cond} then named_struct({rule}) end"))
+    return F.expr(f"filter({_cases(low, cases)}, h -> h is not null)")
 
 
 def rule_hits(df: DataFrame, ids: Sequence[str], text: str, rules=None) -> DataFrame:
@@ -53,15 +67,24 @@ def rule_hits(df: DataFrame, ids: Sequence[str], text: str, rules=None) -> DataF
     return low.select(*ids, F.explode(hits("_t", "_t", keyed, ["rule_id", "type", "severity"])).alias("h")).select(*ids, "h.*")
 
 
+#: Up to so many pieces are looked for one by one, more are met by a join with all pieces of the texts.
+FEW_PIECES = 256
+
+
 def learned_rule_hits(df: DataFrame, ids: Sequence[str], text: str, rules: DataFrame, gram: int = 4) -> DataFrame:
     """Matches of a table of learned substrings (pattern, type, severity) of any size.
 
     A substring is filed under the rarest of its pieces of ``gram`` characters, by the number of
     texts that hold each, and is looked for only in texts with that piece; substrings with a piece
-    that no text holds are in none. Shorter substrings are pieces themselves. Pieces carry the ids only,
-    and are written once; the texts come back by a join on the ids for the candidates.
+    that no text holds are in none. Shorter substrings are pieces themselves. Pieces carry the ids only;
+    the rules and they are written once; the texts come back by a join on the ids for the candidates.
     """
-    r = rules.select(F.lower("pattern").alias("pattern"), "type", "severity").distinct().filter(F.length("pattern") > 0)
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        path = new_path(df.sparkSession, name)
+        rows.write.parquet(path)
+        return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+    r = stored(rules.select(F.lower("pattern").alias("pattern"), "type", "severity").distinct().filter(F.length("pattern") > 0), "learned-rules")
     n = F.least(F.lit(gram), F.length("pattern"))
     whole = F.expr(f"transform(sequence(1, length(pattern) - least({gram}, length(pattern)) + 1), i -> substr(pattern, i, {gram}))")
     filed = r.select("pattern").distinct().select("pattern", n.alias("_n"), F.explode(F.array_distinct(whole)).alias("_g"))
@@ -74,11 +97,14 @@ def learned_rule_hits(df: DataFrame, ids: Sequence[str], text: str, rules: DataF
     def of_length(k: int) -> Column:
         return F.transform(F.array_distinct(char_grams(F.col("_t"), k)), lambda g: F.struct(F.lit(k).alias("_n"), g.alias("_g")))
 
-    pieces = F.concat(*map(of_length, lengths))
-    grams = low.select(*ids, F.explode(pieces).alias("_p")).select(*ids, "_p.*").join(used, ["_n", "_g"], "left_semi")
-    path = new_path(df.sparkSession, "rule-grams")
-    grams.write.parquet(path)
-    grams = df.sparkSession.read.schema(grams.schema).parquet(path)
+    few = used.limit(FEW_PIECES + 1).collect()
+    if len(few) <= FEW_PIECES:
+        pieces = F.array(*[F.when(F.contains("_t", F.lit(x["_g"])), F.struct(F.lit(x["_n"]).alias("_n"), F.lit(x["_g"]).alias("_g"))) for x in few])
+        grams = low.select(*ids, F.explode(pieces).alias("_p")).filter(F.col("_p").isNotNull()).select(*ids, "_p.*")
+    else:
+        pieces = F.concat(*map(of_length, lengths))
+        grams = low.select(*ids, F.explode(pieces).alias("_p")).select(*ids, "_p.*").join(used, ["_n", "_g"], "left_semi")
+    grams = stored(grams, "rule-grams")
     texts = grams.groupBy("_n", "_g").agg(F.count("*").alias("_d"))
     rarest = filed.join(texts, ["_n", "_g"], "left").groupBy("pattern").agg(
         F.min(F.struct(F.coalesce("_d", F.lit(0)).alias("d"), F.col("_n"), F.col("_g"))).alias("_m")).filter("_m.d > 0")
@@ -91,32 +117,29 @@ def family_rule_hits(params: DataFrame, families: dict[str, Family] | None = Non
     rule_id, family, category and score.
 
     The score is the severity times the weight of the name times the share for a missing second
-    pattern. Every pattern runs once on a value, every second pattern and context once, and rules
-    that hold for certain names run only there.
+    pattern. Every pattern runs once on a value, second patterns and contexts only where a first one
+    has hit, and rules that hold for certain names run only there.
     """
     families = family_rules.FAMILIES if families is None else families
     rows = family_rules.rule_rows(families)
-    seconds = list(dict.fromkeys(r[5] for r in rows if r[5]))
-    name, value = F.lower("name"), F.col("_v")
     d = params.withColumn("_v", F.trim("value")).withColumn("_l", F.lower("_v"))
-    flags = {f"_s{i}": value.rlike(java_regex(p)) for i, p in enumerate(seconds)}
-    for fam, f in families.items():
-        flags[f"_n_{fam}"] = F.coalesce(name.isin(f.names), F.lit(False)) if f.names else F.lit(True)
-        flags[f"_w_{fam}"] = F.lit(True) if not f.names else F.coalesce(name.isin(f.names), F.lit(False)) | (value.rlike(java_regex(f.context)) if f.context else F.lit(False))
-    d = d.withColumns(flags)
+    named = {f"_n_{fam}": F.coalesce(F.lower("name").isin(f.names), F.lit(False)) if f.names else F.lit(True) for fam, f in families.items()}
+    d = d.withColumns(named)
     cases = []
     for rule_id, fam, category, pattern, severity, also, gated in rows:
         f = families[fam]
-        score = f"{severity} * if(_w_{fam}, 1.0D, {f.other}D)" + (f" * if(_s{seconds.index(also)}, 1.0D, {f.short}D)" if also else "")
+        here = f"_n_{fam}" + (f" or _v rlike {_sql(java_regex(f.context))}" if f.names and f.context else "")
+        second = f"_v rlike {_sql(java_regex(also))}" if also else ""
+        score = f"{severity} * if({here}, 1.0D, {f.other}D)" + (f" * if({second}, 1.0D, {f.short}D)" if also else "")
         cond = f"_v rlike {_sql(java_regex(pattern))}"
         if pieces := required_pieces(pattern):
             cond = "(" + " or ".join(f"contains(_l, {_sql(p)})" for p in pieces) + f") and {cond}"
         if gated:
             cond = f"_n_{fam} and {cond}"
         if also and not f.short:
-            cond = f"_s{seconds.index(also)} and {cond}"
-        cases.append(f"case when {cond} then named_struct('rule_id', {_sql(rule_id)}, 'family', {_sql(fam)}, 'category', {_sql(category)}, 'score', cast(floor({score}) as int)) end")
-    d = d.withColumn("_h", F.expr(f"filter(array({', '.join(cases)}), h -> h is not null and h.score > 0)")).drop("_v", "_l", *flags)
+            cond += f" and {second}"
+        cases.append((pieces, f"case when {cond} then named_struct('rule_id', {_sql(rule_id)}, 'family', {_sql(fam)}, 'category', {_sql(category)}, 'score', cast(floor({score}) as int)) end"))
+    d = d.withColumn("_h", F.expr(f"filter({_cases('_l', cases)}, h -> h is not null and h.score > 0)")).drop("_v", "_l", *named)
     # an outer explode: for a plain one Spark would put the whole expression into a filter once more
     return d.select(*params.columns, F.explode_outer("_h").alias("_h")).filter(F.col("_h").isNotNull()).select(*params.columns, "_h.*")
 
