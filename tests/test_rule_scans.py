@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracewarden import rulesets
 from tracewarden.functions import text as tx
 from tracewarden.operators import learning, rules
+from tracewarden.operators import verdict as vd
 
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 CALL = r"(?i)(?<![A-Za-z0-9_])([a-z_]{3,20})\s*\("
@@ -76,3 +77,8 @@ def test_counted_runs(spark):
     texts = ["", "aB", "\u00e9aa\U0001f600bZ z", "ABC" * 9, None]
     got = [x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.count_runs(F.col("t"), "[a-z]")).collect()]
     assert got == [None if t is None else len(re.findall("[a-z]", t)) for t in texts]
+
+
+def test_verdict_scans_the_rules_once(spark):
+    df = spark.createDataFrame([(1, "/a?x=1", "b")], "id int, u string, b string")
+    assert reads(vd.request_verdicts(df, "id", "u", "b")) <= 3  # families of both parts and the evidence

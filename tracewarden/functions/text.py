@@ -413,16 +413,24 @@ def obfuscation(df: DataFrame, text: str, depth: Column, kinds: Column, double:
 
     ``depth`` and ``kinds`` are the decoding depth and the number of encodings seen.
     """
-    x = F.col(text)
-    d = df.select(
-        "*", script_count(x, MIXED_RANGES).alias("_mixed"), count_chars(x, INVISIBLE).alias("_inv"),
-        (F.regexp_count(x, F.lit(r"/\*[\s\S]*?\*/")) + F.regexp_count(x, F.lit(r"<!--[\s\S]*?-->"))).alias("_com"),
+    x, rest = F.col(text), F.col("_rest")
+
+    def count(pattern: str, piece: str) -> Column:
+        return F.when(~F.contains(x, F.lit(piece)), 0).otherwise(F.regexp_count(x, F.lit(pattern)))
+
+    def found(pattern: str, piece: str | None) -> Column:
+        return (F.contains(x, F.lit(piece)) & x.rlike(pattern) if piece else x.rlike(pattern)).cast("int")
+
+    # characters beyond ASCII are told apart in what is left without the others
+    d = df.withColumn("_rest", F.regexp_replace(x, r"[\x00-\x7F]+", "")).select(
+        "*", (script_count(x, MIXED_RANGES[:1]) + script_count(rest, MIXED_RANGES[1:])).alias("_mixed"), count_chars(rest, INVISIBLE).alias("_inv"),
+        (count(r"/\*[\s\S]*?\*/", "/*") + count(r"<!--[\s\S]*?-->", "<!--")).alias("_com"),
         count_runs(x, "[A-Z]").alias("_up"), count_runs(x, "[a-z]").alias("_lo"),
-        F.regexp_count(x, F.lit(r"[\x{0400}-\x{04FF}\x{0370}-\x{03FF}]")).alias("_alien"), F.regexp_count(x, F.lit(r"\x00")).alias("_nul"),
-        (F.regexp_count(x, F.lit("0x[0-9a-fA-F]{4,}")) + F.regexp_count(x, F.lit(r"\\x[0-9a-fA-F]{2}"))).alias("_hex"),
+        F.regexp_count(rest, F.lit(r"[\x{0400}-\x{04FF}\x{0370}-\x{03FF}]")).alias("_alien"), count(r"\x00", "\x00").alias("_nul"),
+        (count("0x[0-9a-fA-F]{4,}", "0x") + count(r"\\x[0-9a-fA-F]{2}", "\\x")).alias("_hex"),
         (F.octet_length(x) - F.octet_length(F.regexp_replace(x, r"\s+", ""))).alias("_ws"), F.octet_length(x).alias("_n"),
-        sum((x.rlike(p).cast("int") for p in CONCAT_SHAPES), F.lit(0)).alias("_cat"),
-        sum((x.rlike(p).cast("int") for p in BROKEN_WORDS), F.lit(0)).alias("_brk"), depth.alias("_d"), kinds.alias("_k"),
+        sum((found(p, "$" if r"\$" in p else None) for p in CONCAT_SHAPES), F.lit(0)).alias("_cat"),
+        sum((found(p, "/*") for p in BROKEN_WORDS), F.lit(0)).alias("_brk"), depth.alias("_d"), kinds.alias("_k"),
         double.alias("_2"), entropy.alias("_e"))
     c = F.col
     alpha = c("_up") + c("_lo")
@@ -447,4 +455,4 @@ def obfuscation(df: DataFrame, text: str, depth: Column, kinds: Column, double:
         "encoding_multilayer", "double_encoding", "structure_break", "homoglyph")])))
     d = d.withColumn("obfuscation_depth", first_of([(s >= 70, "extreme"), (s >= 50, "heavy"), (s >= 30, "moderate"), (s >= 10, "light")], "none"))
     return d.withColumn("bypass_intent", F.least(F.lit(100), risky * 20 + F.when(F.size("techniques") >= 4, 20).otherwise(0)).cast("bigint")) \
-        .drop("_mixed", "_inv", "_com", "_up", "_lo", "_alien", "_nul", "_hex", "_ws", "_n", "_cat", "_brk", "_d", "_k", "_2", "_e")
+        .drop("_rest", "_mixed", "_inv", "_com", "_up", "_lo", "_alien", "_nul", "_hex", "_ws", "_n", "_cat", "_brk", "_d", "_k", "_2", "_e")

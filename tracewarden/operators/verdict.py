@@ -12,6 +12,7 @@ from tracewarden.functions import text as tx
 from tracewarden.functions import uri as ur
 from tracewarden.functions.scores import first_of
 from tracewarden.operators import chains, learning, params, rules, scoring
+from tracewarden.session import new_path
 
 #: Component of the score <- families and rule types that speak for it.
 COMPONENT_FAMILIES = {"path": "file_inclusion", "xxe": "xxe", "ssrf": "ssrf", "ssti": "template", "deser": "deserialization", "crlf": "crlf"}
@@ -46,7 +47,7 @@ def payloads(df: DataFrame, key: str, uri: str, body: str) -> DataFrame:
     u, x = F.col("_u"), F.col("_x")
     d = df.select(F.col(key), F.coalesce(uri, F.lit("")).alias("_u"), payload(uri, body).alias("_x"))
     d = d.withColumns({"_ent": tx.byte_entropy(x), "depth": tx.escape_depth(u)})
-    kinds = sum((x.rlike(p).cast("int") for p in ENCODINGS.values()), F.lit(0))
+    kinds = sum((tx.matches(x, p, x).cast("int") for p in ENCODINGS.values()), F.lit(0))
     return tx.obfuscation(d, "_x", F.col("depth"), kinds, F.col("depth") >= 2, F.col("_ent"))
 
 
@@ -107,7 +108,8 @@ def request_verdicts(df: DataFrame, key: str, uri: str, body: str, *, bayes: Dat
     Discounts for probable false positives, a floor by clear evidence and the share of the
     behaviour follow. A request is an attack if the detection score or the total reaches ``block``.
 
-    Texts are read where they lie; only scores travel, by the key of the request, which is unique.
+    Texts are read where they lie; only scores travel, by the key of the request, which is unique. The scores
+    from the own text and the rules are written once, as the normal requests are learned from them too.
     A request without any hit has zeros; null texts are empty texts.
     """
     d = df.select(key, F.coalesce(uri, F.lit("")).alias("url"), F.coalesce(body, F.lit("")).alias("data"))
@@ -116,6 +118,9 @@ def request_verdicts(df: DataFrame, key: str, uri: str, body: str, *, bayes: Dat
     fam = family_scores(d, key, {"url": "url", "data": "data"})
     clue = rules.intent_evidence(rules.evidence_hits(d.select(key, payload("url", "data").alias("_x")), [key], "_x"), [key])
     s = own.join(hit, key, "left").na.fill(0, ["_hits", "_high"]).withColumn("detection", detection(F.col("depth")))
+    path = new_path(df.sparkSession, "request-scores")
+    s.write.parquet(path)
+    s = df.sparkSession.read.schema(s.schema).parquet(path)
 
     normal = s.filter(F.col("detection") < calm)
     paths = normal.groupBy("path").agg(F.count("*").alias("seen"))
